@@ -116,6 +116,58 @@ def correlation_distance(a, b):
     return 1.0 - (correlation(a, b) + 1.0) / 2.0
 
 
+# ---------------------------------------------------------------- sketches
+
+def _postings(lists):
+    """Vocabulary of a list of sorted arrays, and the rows holding each word."""
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    words = np.concatenate(lists) if lists else np.empty(0)
+    order = np.argsort(words, kind="stable")
+    vocabulary, starts = np.unique(words[order], return_index=True)
+    return vocabulary, np.append(starts, len(words)), rows[order]
+
+
+def shared_counts(a, b):
+    """Number of common elements of every pair of sorted arrays, at the cost of the actual co-occurrences."""
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    vocabulary, starts, rows = _postings(b)
+    for i, words in enumerate(a):
+        at = np.searchsorted(vocabulary, words)
+        at = at[at < len(vocabulary)]
+        at = at[np.isin(vocabulary[at], words, assume_unique=True)]
+        sizes = starts[at + 1] - starts[at]
+        picks = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        out[i] = np.bincount(rows[picks], minlength=len(b))
+    return out
+
+
+def sketch_resemblance(a, b, sketch_size):
+    """Jaccard estimate over the hash range that both sketches cover completely.
+
+    A sketch with fewer than ``sketch_size`` values is the whole set; a full one is complete up to its largest value.
+    """
+    limit_a = np.array([x[-1] if len(x) >= sketch_size else np.inf for x in a])
+    limit_b = np.array([x[-1] if len(x) >= sketch_size else np.inf for x in b])
+    limit = np.minimum(limit_a[:, None], limit_b[None, :])
+    within_a = np.stack([np.searchsorted(x, limit[i], side="right") for i, x in enumerate(a)])
+    within_b = np.stack([np.searchsorted(x, limit[:, j], side="right") for j, x in enumerate(b)], axis=1)
+    shared = shared_counts(a, b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return shared / (within_a + within_b - shared)
+
+
+def sketch_distance(a, b, theta=21.0, sketch_size=3000):
+    """Mutation distance ``-ln(2J / (1 + J)) / k``; 1 when nothing is shared, undefined for two empty sketches."""
+    j = sketch_resemblance(a, b, sketch_size)
+    with np.errstate(divide="ignore"):
+        return np.where(j == 0, 1.0, -np.log(2 * j / (1 + j)) / theta + 0.0)
+
+
+def sketch_identity(a, b, theta=21.0, sketch_size=3000):
+    percent = 100.0 - 100.0 * sketch_distance(a, b, theta, sketch_size)
+    return np.where(percent > 100, 0.0, percent)
+
+
 @dataclass(frozen=True)
 class Method:
     name: str
@@ -125,8 +177,9 @@ class Method:
     takes_theta: bool = False
     takes_scale: bool = False
     profile_tail: str = "use"  # what to do with the length element of a length-extended profile
+    sets: bool = False  # rows are sorted sets of any size rather than vectors of one length
 
-    def bind(self, theta=None, scale="none", common_format=False):
+    def bind(self, theta=None, scale="none", common_format=False, sketch_size=None):
         """A function of two raw blocks with the parameters fixed."""
         block = self.similarity if common_format and self.similarity else self.block
         extra = {}
@@ -134,6 +187,8 @@ class Method:
             extra["theta"] = theta
         if self.takes_scale:
             extra["scale"] = scale
+        if self.sets and sketch_size is not None:
+            extra["sketch_size"] = sketch_size
         prepare = self.prepare or (lambda m: m)
         return prepare, lambda a, b: block(a, b, **extra)
 
@@ -153,6 +208,7 @@ METHODS = {
         Method("PaSiTL", log_length_saturated, takes_theta=True),
         Method("pearson", correlation_distance, prepare=_standardise, similarity=correlation),
         Method("spearman", correlation_distance, prepare=_rank_standardise, similarity=correlation),
+        Method("approxANI", sketch_distance, similarity=sketch_identity, takes_theta=True, sets=True),
         Method("exceed", exceed_share, takes_theta=True),
         Method("element_hamming", element_hamming, takes_scale=True),
     )

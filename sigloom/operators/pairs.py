@@ -87,6 +87,8 @@ class _Rows:
     def matrix(self, rows, tail):
         """Rows of one common length as a dense matrix."""
         width = self.lengths[rows[0]]
+        if tail == "sets":
+            return [self.values[self.starts[r]:self.starts[r] + self.lengths[r]] for r in rows]
         out = self.values[self.starts[rows][:, None] + np.arange(width)[None, :]]
         return out[:, :-1] if tail == "skip_last" else out
 
@@ -96,7 +98,7 @@ def _flatten(column):
     if isinstance(chunk, pa.ChunkedArray):
         chunk = pa.concat_arrays(chunk.chunks) if chunk.num_chunks else pa.array([], chunk.type)
     lengths = np.asarray(chunk.value_lengths().fill_null(0)).astype(np.int64)
-    values = chunk.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    values = chunk.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
     return lengths, values
 
 
@@ -142,13 +144,12 @@ def _compare(left, right, same_side, spec):
     prepare, block = (None, None)
     if spec["method"]:
         method = method_named(spec["method"])
-        prepare, block = method.bind(spec["theta"], spec["scale"], spec["common_format"])
-        tail = "skip_last" if spec["length_tail"] and method.profile_tail == "skip" else "use"
+        prepare, block = method.bind(spec["theta"], spec["scale"], spec["common_format"], spec["sketch_size"])
+        tail = "sets" if method.sets else "skip_last" if spec["length_tail"] and method.profile_tail == "skip" else "use"
     for rows, cols in _row_groups(left, right, spec):
         ready = None
         if spec["method"]:
-            ready_cols = prepare(right.matrix(cols, tail)) if _comparable(left, right, rows, cols) else None
-            ready = ready_cols
+            ready = prepare(right.matrix(cols, tail)) if _comparable(left, right, rows, cols, method.sets) else None
         for start in range(0, len(rows), _BLOCK_ROWS):
             part = rows[start:start + _BLOCK_ROWS]
             wanted = np.ones((len(part), len(cols)), dtype=bool)
@@ -175,7 +176,8 @@ def _compare(left, right, same_side, spec):
                 if spec["low"] is not None or spec["high"] is not None or spec["drop_incomparable"]:
                     continue
             else:
-                dist = block(prepare(left.matrix(part, tail)), ready[keep_c])
+                partners = [ready[c] for c in np.flatnonzero(keep_c)] if method.sets else ready[keep_c]
+                dist = block(prepare(left.matrix(part, tail)), partners)
                 wanted &= ~np.isnan(dist)
                 if spec["low"] is not None:
                     wanted &= dist >= spec["low"]
@@ -186,18 +188,23 @@ def _compare(left, right, same_side, spec):
                 yield part[i], used[j], None if relation is None else relation[i, j], dist[i, j]
 
 
-def _comparable(left, right, rows, cols):
+def _comparable(left, right, rows, cols, sets):
+    if sets:
+        return not left.missing[rows[0]] and not right.missing[cols[0]]
     width = left.lengths[rows[0]]
     return width > 0 and width == right.lengths[cols[0]] and not left.missing[rows[0]] and not right.missing[cols[0]]
 
 
 def _row_groups(left, right, spec):
     """Split a tile so that every block has one vector length per side (and one group when pairs stay within one)."""
+    sets = bool(spec["method"]) and method_named(spec["method"]).sets
+
     def keyed(side):
         buckets = {}
         for i in range(side.n):
             group = side.group[i] if side.group is not None else None
-            buckets.setdefault((group, bool(side.missing[i]), int(side.lengths[i])), []).append(i)
+            width = 0 if sets else int(side.lengths[i])
+            buckets.setdefault((group, bool(side.missing[i]), width), []).append(i)
         return {k: np.asarray(v) for k, v in buckets.items()}
 
     cols = keyed(right)
@@ -335,7 +342,7 @@ class PairJob:
 
     def __init__(self, sigs: DataFrame, method=None, *, queries=None, theta=None, scale="none", id_col="id",
                  order_col=None, low=None, high=None, only=None, include_self=False, within=None,
-                 common_format=False, length_tail=False, drop_incomparable=False, rows_per_tile=1024,
+                 common_format=False, length_tail=False, drop_incomparable=False, sketch_size=None, rows_per_tile=1024,
                  n_rows=None, n_queries=None):
         if method:
             method = method_named(method).name
@@ -357,7 +364,7 @@ class PairJob:
         self.spec = dict(
             id=id_col, order=self.order_col, method=method, theta=theta, scale=scale, low=low, high=high, only=only,
             include_self=include_self, within=within, common_format=common_format, length_tail=length_tail,
-            drop_incomparable=drop_incomparable, lineage=self.has_lineage, weighted=False,
+            drop_incomparable=drop_incomparable, sketch_size=sketch_size, lineage=self.has_lineage, weighted=False,
             rectangle=queries is not None, oriented=queries is None, carry_order=self.order_col != id_col)
 
     def _tiles(self, weighted=False):
