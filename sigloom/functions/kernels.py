@@ -133,8 +133,9 @@ def shared_counts(a, b):
     vocabulary, starts, rows = _postings(b)
     for i, words in enumerate(a):
         at = np.searchsorted(vocabulary, words)
-        at = at[at < len(vocabulary)]
-        at = at[np.isin(vocabulary[at], words, assume_unique=True)]
+        found = at < len(vocabulary)
+        found[found] = vocabulary[at[found]] == words[found]
+        at = at[found]
         sizes = starts[at + 1] - starts[at]
         picks = np.repeat(starts[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         out[i] = np.bincount(rows[picks], minlength=len(b))

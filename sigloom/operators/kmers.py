@@ -85,30 +85,33 @@ def _partial_counts(k, double_strand, names):
             genomes, group = _local_groups(batch.column(0))
             raw, offsets = _text_buffers(batch.column(1))
             held = [_count_by(group[row], code) for row, _, code in rolling_codes(raw, offsets, k) if len(row)]
-            if not held:
-                continue
+            # a zero row per genome keeps genomes without any k-mer in the result of this one pass
+            every = np.arange(len(genomes))
+            held.append((every, np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)))
             owner, code, n = (np.concatenate(parts) for parts in zip(*held))
             if double_strand:
                 owner, n = np.concatenate((owner, owner)), np.concatenate((n, n))
                 code = np.concatenate((code, reverse_complement_codes(code, k)))
-            if double_strand or len(held) > 1:
-                owner, code, n = _count_by(owner, code, n)
+            owner, code, n = _count_by(owner, code, n)
             yield pa.RecordBatch.from_arrays([genomes.take(pa.array(owner)), pa.array(code), pa.array(n)], names=names)
     return run
 
 
-def kmer_counts(contigs: DataFrame, k, *, double_strand=True, genome_col="genome_id", seq_col="seq") -> DataFrame:
+def kmer_counts(contigs: DataFrame, k, *, double_strand=True, keep_empty=False,
+                genome_col="genome_id", seq_col="seq") -> DataFrame:
     """``genome_id, code, n``: k-mer occurrences per genome, never across contigs or an N.
 
     ``code`` is the base-4 number of the k-mer (first base most significant).  With ``double_strand`` the reverse
-    complement of every occurrence counts as well, so a palindrome counts twice.
+    complement of every occurrence counts as well, so a palindrome counts twice.  ``keep_empty`` leaves a zero row for
+    genomes without k-mers.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     frame = contigs.select(F.col(genome_col).alias("genome_id"), F.col(seq_col).alias("seq"))
     schema = T.StructType([frame.schema["genome_id"], T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
     partial = frame.mapInArrow(_partial_counts(k, double_strand, schema.fieldNames()), schema)
-    return partial.groupBy("genome_id", "code").agg(F.sum("n").alias("n"))
+    counts = partial.groupBy("genome_id", "code").agg(F.sum("n").alias("n"))
+    return counts if keep_empty else counts.where(F.col("n") > 0)
 
 
 def kmer_text(code, k):

@@ -8,11 +8,8 @@ from sigloom.operators import kmers
 
 def counts_signature(contigs: DataFrame, k=4, double_strand=True) -> DataFrame:
     """Dense k-mer counts; a genome without any k-mer keeps an all-zero vector."""
-    profile = kmers.dense_profile(kmers.kmer_counts(contigs, k, double_strand=double_strand), k)
-    genomes = contigs.select("genome_id").distinct()
-    zeros = F.array_repeat(F.lit(0.0), 4 ** k)
-    return genomes.join(profile, "genome_id", "left").select(
-        F.col("genome_id").alias("id"), F.coalesce("sig", zeros).alias("sig"))
+    counts = kmers.kmer_counts(contigs, k, double_strand=double_strand, keep_empty=True)
+    return kmers.dense_profile(counts, k).withColumnRenamed("genome_id", "id")
 
 
 def frequency_signature(contigs, k=4, double_strand=True):
