@@ -14,7 +14,7 @@ def _positions(sigs, by, weight_col=None):
 def _gather(stats, by, columns):
     entries = F.sort_array(F.collect_list(F.struct("pos", *columns)))
     grouped = stats.groupBy(*by).agg(entries.alias("_e")) if by else stats.agg(entries.alias("_e"))
-    return grouped.select(*by, *[F.transform("_e", lambda e, c=c: e[c]).alias(c) for c in columns])
+    return grouped.select(*by, *[F.col(f"_e.{c}").alias(c) for c in columns])
 
 
 def average_signature(sigs: DataFrame, by=(), weight_col=None) -> DataFrame:

@@ -47,7 +47,11 @@ def _col(c):
 def gtdb_lineage(text):
     """Lineage of ``d__…;p__…;…`` text; the domain fills the first rank."""
     parts = F.transform(F.split(_col(text), ";"), lambda p: F.regexp_replace(F.trim(p), "^d__", RANK_PREFIXES[0]))
-    return F.array(*[F.get(F.filter(parts, lambda p, x=prefix: F.startswith(p, F.lit(x))), F.lit(0)) for prefix in RANK_PREFIXES])
+
+    def first_with(prefix):
+        return F.get(F.filter(parts, lambda p: F.startswith(p, F.lit(prefix))), F.lit(0))
+
+    return F.array(*[first_with(prefix) for prefix in RANK_PREFIXES])
 
 
 def _ranked(values):
