@@ -66,13 +66,16 @@ def _finite(column):
     return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
 
 
+NUDGE = 1e-9  # many ratios are exact binary fractions; moves them off the rounding boundary on both sides
+
+
 def by_kmer(sigs, k, value, extra_tail=False):
     """Dense profiles as one row per k-mer."""
     rows = sigs.select(F.col("id").alias("genome_id"), F.posexplode("sig").alias("pos", "v"))
     text = kmers.kmer_text(F.col("pos").cast("long"), k)
     if extra_tail:
         text = F.when(F.col("pos") == 4 ** k, "total").otherwise(text)
-    return rows.select("genome_id", text.alias("kmer"), F.round(_finite(F.col("v")), 6).alias(value))
+    return rows.select("genome_id", text.alias("kmer"), F.round(_finite(F.col("v")) + NUDGE, 6).alias(value))
 
 
 # ---------------------------------------------------------------- contigs
@@ -162,33 +165,33 @@ def canonical_profile(spark, d):
 
 
 @query("frequency_profile", f"""with {counts_sql(2, CONV_N)}, {full_sql(2)}
-select genome_id, kmer, round(coalesce(n / nullif(sum(n) over (partition by genome_id), 0), 0), 6) as freq from c_f""")
+select genome_id, kmer, round(coalesce(n / nullif(sum(n) over (partition by genome_id), 0), 0) + 1e-9::double, 6) as freq from c_f""")
 def frequency_profile(spark, d):
     return by_kmer(S.frequency_signature(conversation_contigs(spark, d, Q.decode), 2), 2, "freq")
 
 
-@query("kmer_presence", f"with {counts_sql(3)}, {full_sql(3)} select genome_id, kmer, (n <> 0)::int::double as present from c_f")
+@query("kmer_presence", f"with {counts_sql(3)}, {full_sql(3)} select genome_id, kmer, round((n <> 0)::int::double + 1e-9::double, 6) as present from c_f")
 def kmer_presence(spark, d):
     return by_kmer(S.presence_signature(conversation_contigs(spark, d), 3), 3, "present")
 
 
-@query("karlin_k2", f"with {karlin_sql(2)} select genome_id, kmer, round(rho, 6) as rho from karl")
+@query("karlin_k2", f"with {karlin_sql(2)} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl")
 def karlin_k2(spark, d):
     return by_kmer(S.karlin_signature(conversation_contigs(spark, d), 2), 2, "rho")
 
 
-@query("karlin_k3", f"with {karlin_sql(3)} select genome_id, kmer, round(rho, 6) as rho from karl")
+@query("karlin_k3", f"with {karlin_sql(3)} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl")
 def karlin_k3(spark, d):
     return by_kmer(S.karlin_signature(conversation_contigs(spark, d), 3), 3, "rho")
 
 
-@query("karlin_single_strand", f"with {karlin_sql(2).replace(counts_sql(2), counts_sql(2, both=False))} select genome_id, kmer, round(rho, 6) as rho from karl")
+@query("karlin_single_strand", f"with {karlin_sql(2).replace(counts_sql(2), counts_sql(2, both=False))} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl")
 def karlin_single_strand(spark, d):
     return by_kmer(S.karlin_signature(conversation_contigs(spark, d), 2, double_strand=False), 2, "rho")
 
 
-@query("karlin_len", f"""with {karlin_sql(2)} select genome_id, kmer, round(rho, 6) as rho from karl
-union all select genome_id, 'total', total from tot""")
+@query("karlin_len", f"""with {karlin_sql(2)} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl
+union all select genome_id, 'total', round(total + 1e-9::double, 6) from tot""")
 def karlin_len(spark, d):
     return by_kmer(S.karlin_length_signature(conversation_contigs(spark, d), 2), 2, "rho", extra_tail=True)
 
@@ -220,7 +223,7 @@ def length_profile_pairs(spark, d):
 
 
 def _markov(k, parts):
-    return f"""select genome_id, kmer, round(case when m > 0 and v > 0 then (n - e) / sqrt(v) end, 6) as z from (
+    return f"""select genome_id, kmer, round(case when m > 0 and v > 0 then (n - e) / sqrt(v) end + 1e-9::double, 6) as z from (
   select genome_id, kmer, n, m, l * r / nullif(m, 0) as e, l * r / nullif(m, 0) * (m - l) * (m - r) / nullif(m * m, 0) as v from ({parts}))"""
 
 
@@ -247,7 +250,7 @@ def markov_z_inf_k3(spark, d):
     return by_kmer(S.markov_independent_signature(conversation_contigs(spark, d), 3), 3, "z")
 
 
-@query("tetra_pairs", f"""with {counts_sql(4)}, {full_sql(4)}, q as ({_markov(4, _MARKOV_SUMS.replace(', 2))', ', 3))').replace('2, 1)', '2, 2)')).replace('round(case', '(case').replace('end, 6)', 'end)')}),
+@query("tetra_pairs", f"""with {counts_sql(4)}, {full_sql(4)}, q as ({_markov(4, _MARKOV_SUMS.replace(', 2))', ', 3))').replace('2, 1)', '2, 2)')).replace('round(case', '(case').replace('end + 1e-9::double, 6)', 'end)')}),
 whole as (select genome_id from q group by 1 having count(z) = 256),
 ctr as (select genome_id, kmer, z - avg(z) over (partition by genome_id) as x from q join whole using (genome_id)),
 v as (select genome_id as id, list(x order by kmer) as sig from ctr group by 1)
