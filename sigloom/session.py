@@ -1,6 +1,7 @@
 """Session defaults and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -54,6 +55,13 @@ def ensure_checkpoint_dir(spark):
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so losing an executor never replays the whole loop."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from the written table.
+
+    A lost executor then never replays a loop.  A table is used rather than ``checkpoint()`` because the latter hands
+    inferred constraints on to the next plan, which grow from round to round in a loop of self-joins; a table also
+    has true sizes for the choice of join.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
