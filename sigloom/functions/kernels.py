@@ -9,6 +9,8 @@ from typing import Callable, Optional
 
 import numpy as np
 
+from sigloom.functions.alignment import gene_set_distance
+
 SCALES = ("none", "dims", "inverse_dims", "mean")
 _ROW_BLOCK = 64
 
@@ -188,7 +190,7 @@ class Method:
             extra["theta"] = theta
         if self.takes_scale:
             extra["scale"] = scale
-        if self.sets and sketch_size is not None:
+        if self.sets and self.takes_theta and sketch_size is not None:
             extra["sketch_size"] = sketch_size
         prepare = self.prepare or (lambda m: m)
         return prepare, lambda a, b: block(a, b, **extra)
@@ -210,6 +212,7 @@ METHODS = {
         Method("pearson", correlation_distance, prepare=_standardise, similarity=correlation),
         Method("spearman", correlation_distance, prepare=_rank_standardise, similarity=correlation),
         Method("approxANI", sketch_distance, similarity=sketch_identity, takes_theta=True, sets=True),
+        Method("alignseqs", gene_set_distance, sets=True),
         Method("exceed", exceed_share, takes_theta=True),
         Method("element_hamming", element_hamming, takes_scale=True),
     )

@@ -1 +1,233 @@
-"""Queries."""
+"""Queries on clustering, marks, alignment and gene search."""
+
+from pyspark.sql import Window, functions as F
+
+from sigloom.functions import alignment, sequences as Q
+from sigloom.functions.stats import f_distribution_cdf
+from sigloom.operators import cluster, genes, marks, signatures as S
+from sigloom.operators.pairs import PairJob
+from sigloom.plans.catalog import query, table
+from sigloom.plans.queries_sequences import CONV, NUDGE, conversation_contigs, counts_sql, full_sql
+from sigloom.plans.queries_vectors import P_SQL, supplier_profiles
+
+# ---------------------------------------------------------------- clustering
+
+
+def _supplier_pairs(spark, d):
+    return PairJob(supplier_profiles(spark, d), "manhattan").pairs()
+
+
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
+_PRIM = f"""with recursive {P_SQL},
+pr as (select a.id as a, b.id as b, list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: abs(x[1]-x[2]))) as dist from p a join p b on a.id < b.id),
+grow as (select [(select min(id) from p)] as seen, null::bigint as a, null::bigint as b, null::double as dist
+  union all
+  select list_append(seen, case when list_contains(seen, a) then b else a end), a, b, dist from (
+    select g.seen, e.a, e.b, e.dist from grow g join pr e on list_contains(g.seen, e.a) <> list_contains(g.seen, e.b) order by e.dist, e.a, e.b limit 1)),
+tree as (select a, b, dist, row_number() over (order by dist, a, b) - 1 as rank from grow where a is not null),
+size as (select max(id) + 1 as n from p)"""
+_MERGE = f"""{_PRIM},
+st as (select 0 as step, list(i order by i) as lab, null::bigint as l, null::bigint as r, null::double as h, null::bigint as c from (select unnest(range(n)) as i from size)
+  union all
+  select step + 1, list_transform(lab, lambda x: case when x = la or x = lb then n + step else x end),
+    case when list_position(lab, la) < list_position(lab, lb) then la else lb end, case when list_position(lab, la) < list_position(lab, lb) then lb else la end,
+    dist, len(list_filter(lab, lambda x: x = la or x = lb))
+  from (select st.step, st.lab, n, t.dist, st.lab[t.a + 1] as la, st.lab[t.b + 1] as lb from st join tree t on t.rank = st.step cross join size))"""
+
+
+@query("spanning_tree", _PRIM + " select a as id_a, b as id_b, dist from tree")
+def spanning_tree(spark, d):
+    return cluster.minimum_spanning_tree(_supplier_pairs(spark, d))
+
+
+@query("single_linkage", _MERGE + ' select (step - 1)::bigint as step, l as "left", r as "right", h as height, c as size from st where step > 0')
+def single_linkage(spark, d):
+    return cluster.single_linkage(_supplier_pairs(spark, d), _suppliers(spark, d))
+
+
+@query("single_linkage_cut", _MERGE + """, cutoff as (select median(h) as m from st where step > 0),
+fin as (select lab from st where step = (select count(*) from st s2, cutoff where s2.step > 0 and s2.h <= m))
+select (generate_subscripts(lab, 1) - 1)::bigint as id, unnest(lab) as cluster from fin""")
+def single_linkage_cut(spark, d):
+    """Clusters below the median merge height."""
+    leaves = _suppliers(spark, d)
+    merges = cluster.single_linkage(_supplier_pairs(spark, d), leaves)
+    middle = merges.agg(F.median("height")).first()[0]
+    return cluster.cut_tree(merges, leaves, leaves.count(), middle)
+
+
+@query("single_linkage_text")
+def single_linkage_text(spark, d):
+    leaves = _suppliers(spark, d)
+    return cluster.newick_tokens(cluster.single_linkage(_supplier_pairs(spark, d), leaves), leaves, leaves.count())
+
+
+@query("clustered_order")
+def clustered_order(spark, d):
+    leaves = _suppliers(spark, d)
+    return cluster.leaf_order(cluster.single_linkage(_supplier_pairs(spark, d), leaves), leaves, leaves.count())
+
+
+@query("cluster_count")
+def cluster_count(spark, d):
+    return cluster.single_linkage_clusters(cluster.single_linkage(_supplier_pairs(spark, d), _suppliers(spark, d)))
+
+
+def _conversation_pairs(spark, d):
+    return PairJob(S.frequency_signature(conversation_contigs(spark, d), 3), "manhattan").pairs()
+
+
+def _conversations(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
+
+
+@query("ward_linkage", f"""with recursive {counts_sql(3)}, {full_sql(3)},
+f as (select genome_id as id, list(f order by kmer) as sig from (select genome_id, kmer, n / sum(n) over (partition by genome_id) as f from c_f) group by 1),
+size as (select count(*)::int as n from f),
+base as (select list(d order by i, j) as m from (select a.id as i, b.id as j, case when a.id = b.id then 'inf'::double else
+    pow(list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: abs(x[1]-x[2]))), 2) end as d from f a cross join f b)),
+st as (select 0 as step, m, list_transform(range(n), lambda x: 1.0::double) as w, range(n)::bigint[] as lab,
+    null::bigint as l, null::bigint as r, null::double as h, null::bigint as c from base, size
+  union all
+  select step + 1,
+    [case when k // n = j or k % n = j or k // n = k % n then 'inf'::double
+          when k % n = i then case when isinf(m[i*n + k//n + 1]) then 'inf'::double else
+            ((w[i+1] + w[k//n+1]) * m[i*n + k//n + 1] + (w[j+1] + w[k//n+1]) * m[j*n + k//n + 1] - w[k//n+1] * hh) / (w[i+1] + w[j+1] + w[k//n+1]) end
+          when k // n = i then case when isinf(m[i*n + k%n + 1]) then 'inf'::double else
+            ((w[i+1] + w[k%n+1]) * m[i*n + k%n + 1] + (w[j+1] + w[k%n+1]) * m[j*n + k%n + 1] - w[k%n+1] * hh) / (w[i+1] + w[j+1] + w[k%n+1]) end
+          else m[k + 1] end for k in range(n * n)],
+    [case when k = i then w[i+1] + w[j+1] else w[k+1] end for k in range(n)], [case when k = i then n + step else lab[k+1] end for k in range(n)],
+    lab[i+1], lab[j+1], hh, (w[i+1] + w[j+1])::bigint
+  from (select *, p // n as i, p % n as j from (select st.*, n, list_min(m) as hh, list_position(m, list_min(m)) - 1 as p from st, size where step < n - 1)))
+select (step - 1)::bigint as step, l as "left", r as "right", round(h, 6) as height, c as size from st where step > 0""")
+def ward_linkage(spark, d):
+    merges = cluster.ward_linkage(_conversation_pairs(spark, d), _conversations(spark, d))
+    return merges.withColumn("height", F.round("height", 6))
+
+
+@query("ward_branches")
+def ward_branches(spark, d):
+    leaves = _conversations(spark, d)
+    return cluster.ward_branches(cluster.ward_linkage(_conversation_pairs(spark, d), leaves), leaves.count())
+
+
+@query("value_breakpoint", """with v as (select c_acctbal as v, row_number() over (order by c_acctbal) - 1 as i, count(*) over () as n, max(c_acctbal) over () as top from customer),
+e as (select b.i, b.v, sum(case when a.i < b.i then pow(a.v - b.v / b.i * a.i, 2) else pow(a.v - (b.v + (b.top - b.v) / (b.n - b.i) * (a.i - b.i)), 2) end) as mse
+  from v b join v a on true where b.i > 0 group by b.i, b.v)
+select i as rank, v, round(mse / 1e6, 3) as mse from e order by e.mse, i limit 1""")
+def value_breakpoint(spark, d):
+    found = cluster.best_breakpoint(table(spark, d, "customer"), "c_acctbal")
+    return found.withColumn("mse", F.round(F.col("mse") / 1e6, 3))
+
+
+# ---------------------------------------------------------------- marks
+
+_MARK = "event_type in ('click', 'view')"
+
+
+def event_marks(spark, d):
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, d, "events").select(
+        "user_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("event_type").isin("click", "view").alias("mark"), "value")
+
+
+_M = f"m as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as pos, {_MARK} as mark, value from events)"
+_CHUNK = 16  # short chunks, so that small tables cross chunk borders too
+
+
+@query("mark_runs", f"""with {_M}, g as (select *, pos - row_number() over (partition by user_id, mark order by pos) as g from m)
+select user_id, mark, min(pos) as begin, count(*) as length from g group by user_id, mark, g""")
+def mark_runs(spark, d):
+    return marks.runs(event_marks(spark, d), ["user_id"], "pos", "mark", _CHUNK)
+
+
+@query("marked_intervals", f"""with {_M}, g as (select *, pos - row_number() over (partition by user_id, mark order by pos) as g from m),
+r as (select user_id, mark, min(pos) as begin, count(*) as length, max(pos) as stop from g group by user_id, mark, g),
+e as (select user_id, min(pos) filter (where mark) as lo, max(pos) filter (where mark) as hi from m group by 1)
+select r.user_id, begin, length from r join e using (user_id) where not mark and begin > lo and stop < hi""")
+def marked_intervals(spark, d):
+    return marks.split_marked(event_marks(spark, d), ["user_id"], "pos", "mark", "intervals", _CHUNK)
+
+
+def _near(fold, flag):
+    return f"""with {_M} select user_id, pos, {fold}(mark::int) over (partition by user_id order by pos range between 2 preceding and 2 following) = 1 as mark from m"""
+
+
+@query("dilate_marks", _near("max", 1))
+def dilate_marks(spark, d):
+    return marks.dilate(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+
+
+@query("erode_marks", _near("min", 0))
+def erode_marks(spark, d):
+    return marks.erode(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+
+
+@query("bridge_gaps", f"""with {_M}, b as (select *, max(case when mark then pos end) over (partition by user_id order by pos rows between unbounded preceding and current row) as before,
+  min(case when mark then pos end) over (partition by user_id order by pos rows between current row and unbounded following) as after from m)
+select user_id, pos, mark or coalesce(after - before - 1 <= 2, false) as mark from b""")
+def bridge_gaps(spark, d):
+    return marks.bridge_gaps(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+
+
+@query("high_deltas", f"""with {_M}, b as (select *, lag(value) over (partition by user_id order by pos) as before from m)
+select user_id, pos, value from b where case when value > before then value - before > 20 + 5 else before - value > 20 - 5 end""")
+def high_deltas(spark, d):
+    return marks.high_deltas(event_marks(spark, d), ["user_id"], "pos", "value", 20.0, 5.0, _CHUNK).drop("mark")
+
+
+# ---------------------------------------------------------------- alignment and genes
+
+
+@query("edit_identity")
+def edit_identity(spark, d):
+    """Alignment of every turn with the next one of its conversation."""
+    turns = conversation_contigs(spark, d)
+    following = turns.select("genome_id", (F.col("ord") - 1).alias("ord"), F.col("seq").alias("next"))
+    found = turns.join(following, ["genome_id", "ord"]).withColumn("a", alignment.edit_identity(F.col("seq"), F.col("next")))
+    return found.select("genome_id", "ord", "a.cost", "a.identities", "a.length")
+
+
+def _benchmark_genes(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("gene_id"), Q.compact("text").alias("gene"))
+
+
+@query("gene_seeds", f"""with {CONV}, g as (select item_id as gene_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as gene from benchmark),
+gs as (select distinct gene_id, length(gene) as span, unnest([substr(gene, i, 9) for i in range(1, length(gene) - 7)]) as s from g),
+st as (select genome_id, ord, '+' as strand, seq from t union all select genome_id, ord, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from t),
+cs as (select genome_id, ord, strand, i - 1 as pos, substr(seq, i, 9) as s from (select *, unnest(range(1, length(seq) - 7)) as i from st)),
+h as (select genome_id, ord, strand, gene_id, s, unnest([pos // span, pos // span - 1]) as bin from cs join gs using (s))
+select genome_id, ord, strand, gene_id, bin::bigint as bin, count(distinct s) as seeds from h where bin >= 0 group by all having count(distinct s) >= 4""")
+def gene_seeds(spark, d):
+    return genes.candidate_stretches(conversation_contigs(spark, d), _benchmark_genes(spark, d))
+
+
+@query("gene_hits")
+def gene_hits(spark, d):
+    return genes.find_genes(conversation_contigs(spark, d), _benchmark_genes(spark, d))
+
+
+@query("gene_identity_pairs")
+def gene_identity_pairs(spark, d):
+    """Genomes compared by the benchmark genes found in them."""
+    panel = _benchmark_genes(spark, d)
+    hits = genes.find_genes(conversation_contigs(spark, d), panel).select("genome_id", "gene_id", "seq")
+    return PairJob(genes.gene_signature(hits, panel), "alignseqs", rows_per_tile=64).pairs()
+
+
+@query("tabular_identity", """with h as (select l_suppkey % 50 as q, l_partkey % 50 as t, 100 - 100 * l_discount as pident, l_quantity as length from lineitem),
+o as (select q, t, sum((1 - pident / 100) * length) / sum(length) as d from h where q <> t group by all)
+select least(q, t) as id_a, greatest(q, t) as id_b, round(case when count(*) = 2 then avg(d) end + 1e-9::double, 6) as dist from o group by 1, 2""")
+def tabular_identity(spark, d):
+    hits = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("query"), (F.col("l_partkey") % 50).alias("target"), (100 - 100 * F.col("l_discount")).alias("pident"), F.col("l_quantity").alias("length"))
+    return genes.tabular_identity(hits).withColumn("dist", F.round(F.col("dist") + NUDGE, 6))
+
+
+@query("f_distribution", "select p_partkey, round(1 - pow(1 + p_size / 4.0, -2.0), 6) as p from part")
+def f_distribution(spark, d):
+    """For 2 and 4 degrees of freedom the distribution has a closed form."""
+    return table(spark, d, "part").select("p_partkey", F.round(f_distribution_cdf(F.col("p_size") / F.lit(2.0), 2.0, 4.0), 6).alias("p"))
