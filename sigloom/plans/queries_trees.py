@@ -22,13 +22,13 @@ def _suppliers(spark, d):
 
 
 _PRIM = f"""with recursive {P_SQL},
-pr as (select a.id as a, b.id as b, list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: abs(x[1]-x[2]))) as dist from p a join p b on a.id < b.id),
+pr as materialized (select a.id as a, b.id as b, list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: abs(x[1]-x[2]))) as dist from p a join p b on a.id < b.id),
 grow as (select [(select min(id) from p)] as seen, null::bigint as a, null::bigint as b, null::double as dist
   union all
   select list_append(seen, case when list_contains(seen, a) then b else a end), a, b, dist from (
     select g.seen, e.a, e.b, e.dist from grow g join pr e on list_contains(g.seen, e.a) <> list_contains(g.seen, e.b) order by e.dist, e.a, e.b limit 1)),
-tree as (select a, b, dist, row_number() over (order by dist, a, b) - 1 as rank from grow where a is not null),
-size as (select max(id) + 1 as n from p)"""
+tree as materialized (select a, b, dist, row_number() over (order by dist, a, b) - 1 as rank from grow where a is not null),
+size as materialized (select max(id) + 1 as n from p)"""
 _MERGE = f"""{_PRIM},
 st as (select 0 as step, list(i order by i) as lab, null::bigint as l, null::bigint as r, null::double as h, null::bigint as c from (select unnest(range(n)) as i from size)
   union all
@@ -85,9 +85,9 @@ def _conversations(spark, d):
 
 
 @query("ward_linkage", f"""with recursive {counts_sql(3)}, {full_sql(3)},
-f as (select genome_id as id, list(f order by kmer) as sig from (select genome_id, kmer, n / sum(n) over (partition by genome_id) as f from c_f) group by 1),
-size as (select count(*)::int as n from f),
-base as (select list(d order by i, j) as m from (select a.id as i, b.id as j, case when a.id = b.id then 'inf'::double else
+f as materialized (select genome_id as id, list(f order by kmer) as sig from (select genome_id, kmer, n / sum(n) over (partition by genome_id) as f from c_f) group by 1),
+size as materialized (select count(*)::int as n from f),
+base as materialized (select list(d order by i, j) as m from (select a.id as i, b.id as j, case when a.id = b.id then 'inf'::double else
     pow(list_sum(list_transform(list_zip(a.sig, b.sig), lambda x: abs(x[1]-x[2]))), 2) end as d from f a cross join f b)),
 st as (select 0 as step, m, list_transform(range(n), lambda x: 1.0::double) as w, range(n)::bigint[] as lab,
     null::bigint as l, null::bigint as r, null::double as h, null::bigint as c from base, size
