@@ -84,7 +84,7 @@ def _conversations(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("id")).distinct()
 
 
-@query("ward_linkage", f"""with recursive {counts_sql(3)}, {full_sql(3)},
+_WARD = f"""with recursive {counts_sql(3)}, {full_sql(3)},
 f as materialized (select genome_id as id, list(f order by kmer) as sig from (select genome_id, kmer, n / sum(n) over (partition by genome_id) as f from c_f) group by 1),
 size as materialized (select count(*)::int as n from f),
 base as materialized (select list(d order by i, j) as m from (select a.id as i, b.id as j, case when a.id = b.id then 'inf'::double else
@@ -102,16 +102,22 @@ st as (select 0 as step, m, list_transform(range(n), lambda x: 1.0::double) as w
     [case when k = i then w[i+1] + w[j+1] else w[k+1] end for k in range(n)], [case when k = i then n + step else lab[k+1] end for k in range(n)],
     lab[i+1], lab[j+1], hh, (w[i+1] + w[j+1])::bigint
   from (select *, p // n as i, p % n as j from (select st.*, n, list_min(m) as hh, list_position(m, list_min(m)) - 1 as p from st, size where step < n - 1)))
-select (step - 1)::bigint as step, l as "left", r as "right", round(h, 6) as height, c as size from st where step > 0""")
+"""
+
+
+@query("ward_linkage", _WARD + ' select (step - 1)::bigint as step, l as "left", r as "right", round(h, 6) as height, c as size from st where step > 0')
 def ward_linkage(spark, d):
     merges = cluster.ward_linkage(_conversation_pairs(spark, d), _conversations(spark, d))
     return merges.withColumn("height", F.round("height", 6))
 
 
-@query("ward_branches")
+@query("ward_branches", _WARD + """, mm as (select step - 1 as step, unnest([l, r]) as child, h, c from st where step > 0),
+cs as (select n + step - 1 as child, c as cc from st, size where step > 0)
+select mm.step::bigint as step, child, round(sqrt(h) * coalesce(cc, 1) / c, 6) as branch from mm left join cs using (child)""")
 def ward_branches(spark, d):
     leaves = _conversations(spark, d)
-    return cluster.ward_branches(cluster.ward_linkage(_conversation_pairs(spark, d), leaves), leaves.count())
+    branches = cluster.ward_branches(cluster.ward_linkage(_conversation_pairs(spark, d), leaves), leaves.count())
+    return branches.withColumn("branch", F.round("branch", 6))
 
 
 @query("value_breakpoint", """with v as (select c_acctbal as v, row_number() over (order by c_acctbal) - 1 as i, count(*) over () as n, max(c_acctbal) over () as top from customer),
