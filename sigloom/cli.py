@@ -101,7 +101,12 @@ def run(spark, args):
     sigs = cut_lineage(signatures_of(spark, file_lists.listed_files(spark, args.filelist, inputs), plan, args))
     if args.keepsigs and not signature_store.save_signatures(sigs, f"{args.output}.signatures", args.keepsigs, signature_store.KIND_OF_BASIS.get(plan.signature.basis, "UNKNOWN")):
         return
-    queries = signatures_of(spark, file_lists.listed_files(spark, extra=[search]), plan, args) if search else None
+    queries = None
+    if search and search.endswith(".signatures"):
+        saved = signature_store.load(spark, search)
+        queries = saved.withColumn("ord", F.col("ord") + file_lists.SEARCH_OFFSET).withColumn("id", F.col("ord"))
+    elif search:
+        queries = signatures_of(spark, file_lists.listed_files(spark, search=search), plan, args)
     names = sigs.select("id", "name") if queries is None else sigs.select("id", "name").unionByName(queries.select("id", "name"))
 
     if args.histogram is not None:
@@ -127,10 +132,12 @@ def run(spark, args):
         lines.orderBy("ord").select("line").write.mode("overwrite").text(args.output)
     else:
         found = plan.job(plan.prepare(sigs), queries).pairs()
-        a, b = names.select(F.col("id").alias("id_a"), F.col("name").alias("_a")), names.select(F.col("id").alias("id_b"), F.col("name").alias("_b"))
+        a, b = (names.select(F.col("id").alias(f"ord_{e}"), F.col("name").alias(f"id_{e}")) for e in "ab")
+        found = found.withColumnsRenamed({"id_a": "ord_a", "id_b": "ord_b"}) if "ord_a" not in found.columns else found.drop("id_a", "id_b")
+        found = found.join(a, "ord_a").join(b, "ord_b")
         if args.ordered or args.sort_by_distance:
             found = reports.by_distance(found, args.common_format) if args.sort_by_distance else reports.in_input_order(found)
-        printed = reports.pair_list(found.join(a, "id_a").join(b, "id_b").drop("id_a", "id_b").withColumnsRenamed({"_a": "id_a", "_b": "id_b"}))
+        printed = reports.pair_list(found)
         if args.ordered or args.sort_by_distance:
             printed = printed.withColumnRenamed("Distance", "Similarity" if args.common_format else "Distance")
         printed.write.mode("overwrite").csv(args.output, header=True)

@@ -2,6 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+_PART = 1 << 40
+SEARCH_OFFSET = 2 * _PART  # the search input is numbered behind everything else
+
 
 def listed_files(spark, list_path=None, extra=(), search=None) -> DataFrame:
     """``ord, path``: the lines of the list file, then ``extra`` paths, then the search file last."""
@@ -13,7 +16,7 @@ def listed_files(spark, list_path=None, extra=(), search=None) -> DataFrame:
     if tail or not parts:
         parts.append(spark.createDataFrame(tail, "part int, pos int, path string"))
     listed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return listed.select((F.col("part").cast("long") * (1 << 40) + F.col("pos")).alias("ord"), "path")
+    return listed.select((F.col("part").cast("long") * _PART + F.col("pos")).alias("ord"), "path")
 
 
 def existing(spark, paths):
