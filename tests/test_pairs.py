@@ -9,7 +9,7 @@ from sigloom.model import RELATION_LABELS
 from sigloom.operators import profiles, reports, taxonomy as T
 from sigloom.operators.pairs import PairJob, slice_count
 
-A, B = [1, 1.01, 0.9, 1.2], [1, 1, 0.95, 1.3]
+A, B = [1.0, 1.01, 0.9, 1.2], [1.0, 1.0, 0.95, 1.3]
 
 
 @pytest.fixture(scope="module")
