@@ -27,6 +27,7 @@ def parser():
     p.add_argument("-s", "--search", nargs="?", const="", help="query file or saved table; the last input when no file is named")
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-t", "--taxonomy", nargs=2, metavar=("FILE", "FORM"))
+    p.add_argument("--genes", help="FASTA file of reference genes for the findgene and sequence bases")
     p.add_argument("-g", "--histogram", nargs="?", type=float, const=DEFAULT_BIN_WIDTH)
     p.add_argument("-x", "--distancematrix", action="store_true")
     p.add_argument("-d", "--ordered", action="store_true")
@@ -72,7 +73,10 @@ def signatures_of(spark, files, plan, args):
     if not present:
         raise SystemExit("no input files")
     contigs = fasta.validate(fasta.filter_short(fasta.read_fasta(spark, present), args.filtershort)).withColumn("genome_id", F.col("path"))
-    sigs = plan.signature.build(contigs)
+    panel = None
+    if args.genes:
+        panel = fasta.validate(fasta.read_fasta(spark, args.genes)).select(F.col("ord").alias("gene_id"), F.col("seq").alias("gene"))
+    sigs = plan.signature.build(contigs, panel)
     order = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_p"), "ord")
     sigs = sigs.withColumn("filepath", F.regexp_replace("id", "^file:/*", "/"))
     sigs = sigs.join(order, sigs["filepath"] == order["_p"]).drop("_p", "id").withColumn("name", fasta.genome_name("filepath"))

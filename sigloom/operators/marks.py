@@ -39,7 +39,8 @@ def erode(marks: DataFrame, key, pos, mark, amount, chunk=CHUNK) -> DataFrame:
 def runs(marks: DataFrame, key, pos, mark, chunk=CHUNK) -> DataFrame:
     """``key…, mark, begin, length``: maximal runs of equal marks.
 
-    Runs are found per chunk first; a second pass over the (few) chunk-local runs joins those that touch.
+    Runs are found per chunk.  Only those touching a chunk border, at most two per chunk, go into the second pass that
+    joins them along the sequence; all others are final, however many there are.
     """
     key = list(key)
     chunked = marks.withColumn("_chunk", F.floor(F.col(pos) / chunk))
@@ -47,22 +48,27 @@ def runs(marks: DataFrame, key, pos, mark, chunk=CHUNK) -> DataFrame:
     turn = F.coalesce((F.col(mark) != F.lag(mark).over(local)).cast("int"), F.lit(1))
     pieces = (chunked.withColumn("_turn", turn).withColumn("_piece", F.sum("_turn").over(local))
               .groupBy(*key, "_chunk", "_piece", mark).agg(F.min(pos).alias("begin"), F.count("*").alias("length")))
-    whole = Window.partitionBy(*key).orderBy("begin")
-    fresh = F.coalesce((F.col(mark) != F.lag(mark).over(whole)).cast("int"), F.lit(1))
-    return (pieces.withColumn("_turn", fresh).withColumn("_run", F.sum("_turn").over(whole))
-            .groupBy(*key, "_run", mark).agg(F.min("begin").alias("begin"), F.sum("length").alias("length")).drop("_run"))
+    touches = (F.col("begin") % chunk == 0) | ((F.col("begin") + F.col("length")) % chunk == 0)
+    inner = pieces.where(~touches).select(*key, mark, "begin", "length")
+    along = Window.partitionBy(*key).orderBy("begin")
+    joins = (F.lag(mark).over(along) == F.col(mark)) & (F.lag(F.col("begin") + F.col("length")).over(along) == F.col("begin"))
+    border = (pieces.where(touches).withColumn("_turn", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("_run", F.sum("_turn").over(along))
+              .groupBy(*key, "_run", mark).agg(F.min("begin").alias("begin"), F.sum("length").alias("length")))
+    return inner.unionByName(border.select(*key, mark, "begin", "length"))
 
 
 def split_marked(marks: DataFrame, key, pos, mark, keep="marked", chunk=CHUNK) -> DataFrame:
     """Runs that are ``marked``, ``unmarked``, or unmarked ``intervals`` lying between two marked runs."""
+    key = list(key)
     found = runs(marks, key, pos, mark, chunk)
     if keep == "marked":
         return found.where(F.col(mark)).drop(mark)
     if keep == "unmarked":
         return found.where(~F.col(mark)).drop(mark)
-    order = Window.partitionBy(*key).orderBy("begin")
-    inner = found.withColumn("_prev", F.lag(mark).over(order)).withColumn("_next", F.lead(mark).over(order))
-    return inner.where(~F.col(mark) & F.col("_prev").isNotNull() & F.col("_next").isNotNull()).drop(mark, "_prev", "_next")
+    # an unmarked run has marked neighbours on both sides unless it begins or ends its sequence
+    ends = marks.groupBy(*key).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
+    inside = (F.col("begin") > F.col("_lo")) & (F.col("begin") + F.col("length") - 1 < F.col("_hi"))
+    return found.where(~F.col(mark)).join(ends, key).where(inside).drop(mark, "_lo", "_hi")
 
 
 def bridge_gaps(marks: DataFrame, key, pos, mark, amount, chunk=CHUNK) -> DataFrame:

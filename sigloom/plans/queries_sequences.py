@@ -116,14 +116,14 @@ def fastq_records(spark, d):
     return conversation_contigs(spark, d).select("genome_id", "ord", Q.fastq_record("name", "seq").alias("record"))
 
 
-@query("fasta_parse", f"""with {CONV} select genome_id, (row_number() over (partition by genome_id order by ord) - 1)::bigint as ord, name, seq
-  from t""")
+@query("fasta_parse", f"""with {CONV} select genome_id, ord as turn, 0::bigint as ord, name, seq from t
+union all select genome_id, ord, 1::bigint, name || ' rc', {_RC.format(x='seq')} from t""")
 def fasta_parse(spark, d):
-    """Whole FASTA texts are put together per genome and parsed back into contigs."""
-    record = Q.fasta_record("name", F.concat(F.substring("seq", 1, 7), F.lit("\r\n"), F.expr("substring(seq, 8)")))
-    texts = conversation_contigs(spark, d).groupBy("genome_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", record.alias("r")))), lambda s: s["r"]), "\n").alias("value"))
-    return fasta.parse_texts(texts, keep=("genome_id",)).select("genome_id", "ord", "name", "seq")
+    """A FASTA text of two wrapped records per turn, parsed back into contigs."""
+    wrapped = F.concat(F.substring("seq", 1, 7), F.lit("\r\n"), F.expr("substring(seq, 8)"))
+    value = F.concat(Q.fasta_record("name", wrapped), F.lit("\n"), Q.fasta_record(F.concat("name", F.lit(" rc")), Q.reverse_complement("seq")), F.lit("\n"))
+    texts = conversation_contigs(spark, d).select("genome_id", F.col("ord").alias("turn"), value.alias("value"))
+    return fasta.parse_texts(texts, keep=("genome_id", "turn")).select("genome_id", "turn", "ord", "name", "seq")
 
 
 # ---------------------------------------------------------------- k-mer signatures
@@ -460,6 +460,9 @@ def min_quality(spark, d):
     return table(spark, d, "events").select("event_id", Q.min_quality("props").alias("quality"))
 
 
-@query("concatenated_genomes", f"with {CONV} select genome_id, string_agg(seq, '' order by ord) as seq from t group by 1")
+@query("concatenated_genomes", f"""with {CONV} select genome_id, ord, length(seq)::bigint as length,
+  coalesce(sum(length(seq)) over (partition by genome_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as offset from t""".replace("as offset", 'as "offset"'))
 def concatenated_genomes(spark, d):
-    return fasta.concatenate(conversation_contigs(spark, d))
+    """Contigs with their place in the joined sequence of the genome."""
+    placed = fasta.contig_offsets(conversation_contigs(spark, d), chunk=3)
+    return placed.select("genome_id", "ord", F.length("seq").cast("long").alias("length"), "offset")

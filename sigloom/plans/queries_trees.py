@@ -1,6 +1,6 @@
 """Queries on clustering, marks, alignment and gene search."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from sigloom.functions import alignment, sequences as Q
 from sigloom.functions.stats import f_distribution_cdf
@@ -65,13 +65,24 @@ def single_linkage_text(spark, d):
     return cluster.newick_tokens(cluster.single_linkage(_supplier_pairs(spark, d), leaves), leaves, leaves.count())
 
 
-@query("clustered_order")
+@query("clustered_order", _PRIM + """,
+st as (select 0 as step, list(i order by i) as slot, list([i] order by i) as ords from (select unnest(range(n)) as i from size)
+  union all
+  select step + 1, list_transform(slot, lambda x: case when x = greatest(sa, sb) then least(sa, sb) else x end),
+    [case when k = least(sa, sb) then list_concat(ords[least(sa, sb) + 1], ords[greatest(sa, sb) + 1]) else ords[k + 1] end for k in range(n)]
+  from (select st.*, n, st.slot[t.a + 1] as sa, st.slot[t.b + 1] as sb from st join tree t on t.rank = st.step cross join size)),
+fin as (select ords[1] as o from st, size where step = n - 1)
+select unnest(o) as id, (generate_subscripts(o, 1) - 1)::bigint as pos from fin""")
 def clustered_order(spark, d):
     leaves = _suppliers(spark, d)
     return cluster.leaf_order(cluster.single_linkage(_supplier_pairs(spark, d), leaves), leaves, leaves.count())
 
 
-@query("cluster_count")
+@query("cluster_count", _MERGE + """, hs as (select h as v from st where step > 0 union all select max(h) + 1 from st),
+v as (select v, row_number() over (order by v) - 1 as i, count(*) over () as n, max(v) over () as top from hs),
+e as (select b.i, b.v, b.n, sum(case when a.i < b.i then pow(a.v - b.v / b.i * a.i, 2) else pow(a.v - (b.v + (b.top - b.v) / (b.n - b.i) * (a.i - b.i)), 2) end) as mse
+  from v b join v a on true where b.i > 0 group by b.i, b.v, b.n)
+select (n - i)::bigint as clusters, v from e order by round(mse, 9), i limit 1""")
 def cluster_count(spark, d):
     return cluster.single_linkage_clusters(cluster.single_linkage(_supplier_pairs(spark, d), _suppliers(spark, d)))
 
@@ -135,54 +146,54 @@ _MARK = "event_type in ('click', 'view')"
 
 
 def event_marks(spark, d):
-    order = Window.partitionBy("user_id").orderBy("event_id")
+    """The events of all users as one long marked sequence."""
     return table(spark, d, "events").select(
-        "user_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("event_type").isin("click", "view").alias("mark"), "value")
+        F.lit(0).alias("seq_id"), F.col("event_id").alias("pos"), F.col("event_type").isin("click", "view").alias("mark"), "value")
 
 
-_M = f"m as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as pos, {_MARK} as mark, value from events)"
-_CHUNK = 16  # short chunks, so that small tables cross chunk borders too
+_M = f"m as (select 0 as seq_id, event_id as pos, {_MARK} as mark, value from events)"
+_CHUNK = 256  # short chunks, so that small tables cross chunk borders too
 
 
-@query("mark_runs", f"""with {_M}, g as (select *, pos - row_number() over (partition by user_id, mark order by pos) as g from m)
-select user_id, mark, min(pos) as begin, count(*) as length from g group by user_id, mark, g""")
+@query("mark_runs", f"""with {_M}, g as (select *, pos - row_number() over (partition by seq_id, mark order by pos) as g from m)
+select seq_id, mark, min(pos) as begin, count(*) as length from g group by seq_id, mark, g""")
 def mark_runs(spark, d):
-    return marks.runs(event_marks(spark, d), ["user_id"], "pos", "mark", _CHUNK)
+    return marks.runs(event_marks(spark, d), ["seq_id"], "pos", "mark", _CHUNK)
 
 
-@query("marked_intervals", f"""with {_M}, g as (select *, pos - row_number() over (partition by user_id, mark order by pos) as g from m),
-r as (select user_id, mark, min(pos) as begin, count(*) as length, max(pos) as stop from g group by user_id, mark, g),
-e as (select user_id, min(pos) filter (where mark) as lo, max(pos) filter (where mark) as hi from m group by 1)
-select r.user_id, begin, length from r join e using (user_id) where not mark and begin > lo and stop < hi""")
+@query("marked_intervals", f"""with {_M}, g as (select *, pos - row_number() over (partition by seq_id, mark order by pos) as g from m),
+r as (select seq_id, mark, min(pos) as begin, count(*) as length, max(pos) as stop from g group by seq_id, mark, g),
+e as (select seq_id, min(pos) filter (where mark) as lo, max(pos) filter (where mark) as hi from m group by 1)
+select r.seq_id, begin, length from r join e using (seq_id) where not mark and begin > lo and stop < hi""")
 def marked_intervals(spark, d):
-    return marks.split_marked(event_marks(spark, d), ["user_id"], "pos", "mark", "intervals", _CHUNK)
+    return marks.split_marked(event_marks(spark, d), ["seq_id"], "pos", "mark", "intervals", _CHUNK)
 
 
 def _near(fold, flag):
-    return f"""with {_M} select user_id, pos, {fold}(mark::int) over (partition by user_id order by pos range between 2 preceding and 2 following) = 1 as mark from m"""
+    return f"""with {_M} select seq_id, pos, {fold}(mark::int) over (partition by seq_id order by pos range between 2 preceding and 2 following) = 1 as mark from m"""
 
 
 @query("dilate_marks", _near("max", 1))
 def dilate_marks(spark, d):
-    return marks.dilate(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+    return marks.dilate(event_marks(spark, d), ["seq_id"], "pos", "mark", 2, _CHUNK).drop("value")
 
 
 @query("erode_marks", _near("min", 0))
 def erode_marks(spark, d):
-    return marks.erode(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+    return marks.erode(event_marks(spark, d), ["seq_id"], "pos", "mark", 2, _CHUNK).drop("value")
 
 
-@query("bridge_gaps", f"""with {_M}, b as (select *, max(case when mark then pos end) over (partition by user_id order by pos rows between unbounded preceding and current row) as before,
-  min(case when mark then pos end) over (partition by user_id order by pos rows between current row and unbounded following) as after from m)
-select user_id, pos, mark or coalesce(after - before - 1 <= 2, false) as mark from b""")
+@query("bridge_gaps", f"""with {_M}, b as (select *, max(case when mark then pos end) over (partition by seq_id order by pos rows between unbounded preceding and current row) as before,
+  min(case when mark then pos end) over (partition by seq_id order by pos rows between current row and unbounded following) as after from m)
+select seq_id, pos, mark or coalesce(after - before - 1 <= 2, false) as mark from b""")
 def bridge_gaps(spark, d):
-    return marks.bridge_gaps(event_marks(spark, d), ["user_id"], "pos", "mark", 2, _CHUNK).drop("value")
+    return marks.bridge_gaps(event_marks(spark, d), ["seq_id"], "pos", "mark", 2, _CHUNK).drop("value")
 
 
-@query("high_deltas", f"""with {_M}, b as (select *, lag(value) over (partition by user_id order by pos) as before from m)
-select user_id, pos, value from b where case when value > before then value - before > 20 + 5 else before - value > 20 - 5 end""")
+@query("high_deltas", f"""with {_M}, b as (select *, lag(value) over (partition by seq_id order by pos) as before from m)
+select seq_id, pos, value from b where case when value > before then value - before > 20 + 5 else before - value > 20 - 5 end""")
 def high_deltas(spark, d):
-    return marks.high_deltas(event_marks(spark, d), ["user_id"], "pos", "value", 20.0, 5.0, _CHUNK).drop("mark")
+    return marks.high_deltas(event_marks(spark, d), ["seq_id"], "pos", "value", 20.0, 5.0, _CHUNK).drop("mark")
 
 
 # ---------------------------------------------------------------- alignment and genes

@@ -1,6 +1,6 @@
 """FASTA input: files to contigs, contigs to genomes."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sigloom.functions import sequences as Q
 from sigloom.model import DEFAULT_MIN_CONTIG
@@ -83,7 +83,17 @@ def as_genomes(contigs: DataFrame, min_length=DEFAULT_MIN_CONTIG, strict=True) -
     return validate(filter_short(contigs, min_length), strict).withColumn("genome_id", genome_name("path"))
 
 
-def concatenate(contigs: DataFrame) -> DataFrame:
-    """``genome_id, seq``: the contigs of each genome joined in order (one genome is one file's worth of text)."""
-    ordered = F.sort_array(F.collect_list(F.struct("ord", "seq")))
-    return contigs.groupBy("genome_id").agg(F.array_join(F.transform(ordered, lambda c: c["seq"]), "").alias("seq"))
+def contig_offsets(contigs: DataFrame, chunk=1 << 16) -> DataFrame:
+    """``…, offset``: where each contig starts in the concatenation of its genome's contigs.
+
+    Joined sequences are addressed by offset instead of being built as one value.  Running lengths are taken per chunk of
+    ``ord`` and completed with the sums of the chunks before, so a genome of any size is spread over many tasks.
+    """
+    chunked = contigs.withColumn("_chunk", F.floor(F.col("ord") / chunk))
+    length = F.length("seq").cast("long")
+    before = Window.orderBy("_chunk").partitionBy("genome_id").rowsBetween(Window.unboundedPreceding, -1)
+    bases = chunked.groupBy("genome_id", "_chunk").agg(F.sum(length).alias("_n"))
+    bases = bases.select("genome_id", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("genome_id", "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunked.withColumn("_inside", F.coalesce(F.sum(length).over(inside), F.lit(0)))
+    return placed.join(bases, ["genome_id", "_chunk"]).withColumn("offset", F.col("_base") + F.col("_inside")).drop("_chunk", "_base", "_inside")
