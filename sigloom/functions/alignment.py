@@ -97,6 +97,23 @@ def edit_identity(a, b):
     return F.arrow_udf(apply, "cost long, identities long, length long")(a, b)
 
 
+def best_offset(a, b):
+    """Shift of ``b`` against ``a`` with the most equal bases, and their number; the smallest shift on equal numbers."""
+    if not len(a) or not len(b):
+        return 0, 0
+    matches = sum(np.correlate((a == base).astype(float), (b == base).astype(float), "full") for base in range(4))
+    at = int(np.rint(matches).argmax())
+    return at - (len(b) - 1), int(np.rint(matches[at]))
+
+
+def gapless_alignment(a, b):
+    """Struct ``offset, matches``: the best placement of ``b`` along ``a`` without gaps."""
+    def apply(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = [best_offset(encode(x), encode(y)) for x, y in zip(left.to_pylist(), right.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["offset", "matches"])
+    return F.arrow_udf(apply, "offset long, matches long")(a, b)
+
+
 SEPARATOR = -1.0
 
 

@@ -208,6 +208,30 @@ def edit_identity(spark, d):
     return found.select("genome_id", "ord", "a.cost", "a.identities", "a.length")
 
 
+@query("gapless_alignment", f"""with {CONV}, p as (select a.genome_id, a.ord, a.seq as x, b.seq as y from t a join t b on a.genome_id = b.genome_id and b.ord = a.ord + 1),
+o as (select *, unnest(range(1 - length(y), length(x))) as off from p where length(x) > 0 and length(y) > 0),
+m as (select genome_id, ord, off, list_sum([(substr(x, i, 1) = substr(y, i - off, 1))::int for i in range(greatest(1, off + 1), least(length(x), length(y) + off) + 1)]) as n from o)
+select p.genome_id, p.ord, coalesce(off, 0)::bigint as "offset", coalesce(n, 0)::bigint as matches from p left join
+  (select * from m qualify row_number() over (partition by genome_id, ord order by n desc, off) = 1) b using (genome_id, ord)""")
+def gapless_alignment(spark, d):
+    turns = conversation_contigs(spark, d)
+    following = turns.select("genome_id", (F.col("ord") - 1).alias("ord"), F.col("seq").alias("next"))
+    found = turns.join(following, ["genome_id", "ord"]).withColumn("a", alignment.gapless_alignment(F.col("seq"), F.col("next")))
+    return found.select("genome_id", "ord", "a.offset", "a.matches")
+
+
+@query("shared_regions", f"""with {CONV}, g as (select upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as gene from benchmark),
+w as (select distinct unnest([substr(gene, i, 10) for i in range(1, length(gene) - 8)]) as s from g),
+cs as (select genome_id, ord, unnest(range(0, length(seq) - 9)) as pos, seq from t),
+st as (select genome_id, ord, pos from cs where substr(seq, pos + 1, 10) in (select s from w)),
+f as (select *, case when pos - lag(pos) over (partition by genome_id, ord order by pos) <= 10 then 0 else 1 end as fresh from st),
+r as (select *, sum(fresh) over (partition by genome_id, ord order by pos) as run from f)
+select genome_id, ord, min(pos)::bigint as begin, (max(pos) + 10 - min(pos))::bigint as length from r group by genome_id, ord, run""")
+def shared_regions(spark, d):
+    """Stretches of every turn that occur in a benchmark text."""
+    return genes.shared_regions(conversation_contigs(spark, d), _benchmark_genes(spark, d).withColumnRenamed("gene", "seq"), 10, chunk=64)
+
+
 def _benchmark_genes(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("gene_id"), Q.compact("text").alias("gene"))
 

@@ -83,6 +83,15 @@ def as_genomes(contigs: DataFrame, min_length=DEFAULT_MIN_CONTIG, strict=True) -
     return validate(filter_short(contigs, min_length), strict).withColumn("genome_id", genome_name("path"))
 
 
+def write_fasta(contigs: DataFrame, path):
+    """One record per contig, the sequence on one line."""
+    contigs.select(Q.fasta_record(F.coalesce("name", F.lit("")), "seq")).write.mode("overwrite").text(path)
+
+
+def write_fastq(contigs: DataFrame, path, quality=None):
+    contigs.select(Q.fastq_record(F.coalesce("name", F.lit("")), "seq", quality)).write.mode("overwrite").text(path)
+
+
 def contig_offsets(contigs: DataFrame, chunk=1 << 16) -> DataFrame:
     """``…, offset``: where each contig starts in the concatenation of its genome's contigs.
 

@@ -147,3 +147,21 @@ def test_streaming_search(spark, tmp_path):
     search_stream(stream, saved, plan, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination(120)
     got = {(r["id_a"], r["id_b"]): r["dist"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(got) == {(0, 1), (1, 1), (2, 1)} and got[1, 1] == 0.0
+
+
+def test_external_hits(spark):
+    from sigloom.operators.genes import tabular_identity
+    from sigloom.sources.external import tabular_hits
+
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "query string, target string")
+    hits = tabular_hits(pairs, ["printf", "{query}\t{target}\t90\t100\n{query}\t{target}\t80\t300\n"])
+    got = tabular_identity(hits).first()
+    assert (got["id_a"], got["id_b"]) == ("a", "b") and got["dist"] == pytest.approx((0.1 * 100 + 0.2 * 300) / 400)
+
+
+def test_fasta_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("x", "ACGT"), ("y", "GGN")], "name string, seq string").coalesce(1)
+    fasta.write_fasta(df, str(tmp_path / "f"))
+    assert [(r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "f" / "*.txt")).orderBy("ord").collect()] == [("x", "ACGT"), ("y", "GGN")]
+    fasta.write_fastq(df, str(tmp_path / "q"))
+    assert (lines(tmp_path / "q"))[:4] == ["@x", "ACGT", "+", "5555"]
