@@ -79,12 +79,25 @@ def _count_by(group, code, weight=None):
     return group[first], code[first], total
 
 
+_DENSE_BINS = 1 << 24  # up to this many (genome, k-mer) cells a batch is counted by direct addressing
+
+
+def _count_words(group, code, k, n_groups):
+    """``_count_by`` for k-mer codes: a histogram where the key space is small, sorting where it is not."""
+    size = 4 ** k
+    if n_groups * size > _DENSE_BINS:
+        return _count_by(group, code)
+    counts = np.bincount(group * size + code, minlength=n_groups * size)
+    used = np.flatnonzero(counts)
+    return used // size, used % size, counts[used]
+
+
 def _partial_counts(k, double_strand, names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             genomes, group = _local_groups(batch.column(0))
             raw, offsets = _text_buffers(batch.column(1))
-            held = [_count_by(group[row], code) for row, _, code in rolling_codes(raw, offsets, k) if len(row)]
+            held = [_count_words(group[row].astype(np.int64), code, k, len(genomes)) for row, _, code in rolling_codes(raw, offsets, k) if len(row)]
             # a zero row per genome keeps genomes without any k-mer in the result of this one pass
             every = np.arange(len(genomes))
             held.append((every, np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)))

@@ -22,11 +22,23 @@ _SIDE_A, _SIDE_B, _SIDE_BOTH = 0, 1, 2
 
 # ---------------------------------------------------------------- grid
 
+_SLICE_BYTES = 64 << 20
+_SLICE_ROWS = 16_384
+
+
+def rows_that_fit(width):
+    """Rows of ``width`` doubles that make one slice of a tile: bounded in bytes and in number."""
+    return max(256, min(_SLICE_ROWS, _SLICE_BYTES // (8 * max(1, width))))
+
+
 def slice_count(n_rows, rows_per_tile, parallelism):
-    """Slices needed to bound a tile, raised (on small inputs) until there is a tile for every task slot."""
+    """Slices needed to bound a tile, raised until there are a few tiles for every task slot (while slices stay useful).
+
+    Every further slice ships all rows once more, so tiles are no smaller than memory and parallelism ask for.
+    """
     need = max(1, math.ceil(n_rows / rows_per_tile))
-    wanted = math.ceil(math.sqrt(2 * parallelism))
-    return max(need, min(wanted, max(1, n_rows // 64)))
+    wanted = math.ceil(math.sqrt(4 * parallelism))
+    return max(need, min(wanted, max(1, n_rows // 128)))
 
 
 def _slice_of(col, n):
@@ -337,12 +349,13 @@ class PairJob:
     """A pairwise comparison described once and read out in several shapes.
 
     ``sigs`` is compared with itself (each unordered pair once) or, when ``queries`` is given, every row of
-    ``sigs`` with every query.  ``n_rows``/``n_queries`` save the counting jobs when the sizes are known.
+    ``sigs`` with every query.  Without ``rows_per_tile`` the tile size follows from the vector width; giving it together
+    with ``n_rows`` (and ``n_queries``) saves the measuring pass.
     """
 
     def __init__(self, sigs: DataFrame, method=None, *, queries=None, theta=None, scale="none", id_col="id",
                  order_col=None, low=None, high=None, only=None, include_self=False, within=None,
-                 common_format=False, length_tail=False, drop_incomparable=False, sketch_size=None, rows_per_tile=1024,
+                 common_format=False, length_tail=False, drop_incomparable=False, sketch_size=None, rows_per_tile=None,
                  n_rows=None, n_queries=None):
         if method:
             method = method_named(method).name
@@ -372,15 +385,23 @@ class PairJob:
         if self.has_weight and not weighted:
             frame = frame.drop("weight")
             queries = queries.drop("weight") if queries is not None else None
-        n = self.n_rows if self.n_rows is not None else frame.count()
+        n, rows = self._measured(frame, self.n_rows)
         if queries is None:
-            slices = slice_count(n, self.rows_per_tile, self.parallelism)
+            slices = slice_count(n, rows, self.parallelism)
             return _spread(_triangle(frame, self.id_col, slices), slices * (slices + 1) // 2, self.parallelism)
-        m = self.n_queries if self.n_queries is not None else queries.count()
-        q = max(1, math.ceil(m / self.rows_per_tile))
-        r = max(1, math.ceil(n / self.rows_per_tile), min(self.parallelism, n // 64))
+        m, _ = self._measured(queries, self.n_queries)
+        q = max(1, math.ceil(m / rows))
+        r = max(1, math.ceil(n / rows), min(2 * self.parallelism, n // 128))
         return _spread(_rectangle(frame, queries, self.id_col, r, q), r * q, self.parallelism)
 
+    def _measured(self, frame, known):
+        """Number of rows and rows per slice, from one pass over the (small) signature table unless both are given."""
+        if known is not None and self.rows_per_tile is not None:
+            return known, self.rows_per_tile
+        width = F.max(F.size("sig")) if self.spec["method"] else F.lit(1)
+        n, widest = frame.agg(F.count("*"), width).first()
+        return n, self.rows_per_tile or rows_that_fit(widest or 1)
+
     def _run(self, emitter, schema, weighted=False, **extra):
         spec = {**self.spec, "weighted": weighted, "names": schema.fieldNames(), **extra}
         return self._tiles(weighted).groupBy("_part", "_tile").applyInArrow(emitter(spec), schema)

@@ -93,7 +93,7 @@ class ComparePlan:
     common_format: bool = False
     include_self: bool = True
     weights: Optional[tuple] = None
-    rows_per_tile: int = 1024
+    rows_per_tile: Optional[int] = None
     signature: SignaturePlan = field(default_factory=SignaturePlan)
 
     @classmethod
