@@ -21,7 +21,7 @@ def _collapse(batches):
     """Merge a sorted stream: the first entry of a (block, digest) stays, sizes add up.  Keeps one open entry between batches."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        rows = pa.table(batch.columns, names=batch.schema.names)  # without the nullability marks, which differ between batches and results
         rows = rows if held is None else pa.concat_tables([held, rows])
         if not rows.num_rows:
             continue
