@@ -1,6 +1,6 @@
 """One query per operator over the whole tables, and SQL for the same rows where SQL can express them."""
 
-from sigloom.llm import exact_dedup, quality, sharding, toxicity
+from sigloom.llm import exact_dedup, pii, quality, sharding, toxicity
 from sigloom.llm.sql import EXACT_DEDUP, QUALITY, sharding_sql
 
 SHARDS = 24
@@ -26,5 +26,10 @@ def op9_weighted_lexicon(spark, folder):
     return toxicity.score_by_labels(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op7_exact_copies, op8_line_frequency, op9_weighted_lexicon)}
+def op10_surrogates(spark, folder):
+    return pii.report(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_feistel_shards, op7_exact_copies, op8_line_frequency, op9_weighted_lexicon,
+                                  op10_surrogates)}
 SQL = {"op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS), "op7_exact_copies": EXACT_DEDUP, "op8_line_frequency": QUALITY}
