@@ -147,7 +147,7 @@ def _given(entity: Column, out: Column, key: str) -> Column:
     shift = F.xxhash64(F.lit(key), family)
     for names in GIVEN.values():
         listed = F.array(*map(F.lit, names))
-        chosen = F.element_at(listed, (F.pmod(F.array_position(listed, name) - 1 + F.pmod(shift, F.lit(len(names))), F.lit(len(names))) + 1).cast("int"))
+        chosen = F.element_at(listed, (F.pmod(F.array_position(listed, name) + F.pmod(shift, F.lit(len(names) - 1)), F.lit(len(names))) + 1).cast("int"))
         found = F.when(F.array_contains(listed, name), F.concat(F.regexp_extract(entity, r"^\S+ ", 0), chosen, F.lit(" "), family)).otherwise(found)
     return found
 

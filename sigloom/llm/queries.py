@@ -1,7 +1,7 @@
 """One query per operator over the whole tables, and SQL for the same rows where SQL can express them."""
 
-from sigloom.llm import exact_dedup, pii, quality, sharding, toxicity
-from sigloom.llm.sql import EXACT_DEDUP, QUALITY, sharding_sql
+from sigloom.llm import chat, exact_dedup, pii, quality, sharding, toxicity
+from sigloom.llm.sql import CHAT, EXACT_DEDUP, QUALITY, sharding_sql
 
 SHARDS = 24
 
@@ -14,6 +14,11 @@ def op3_feistel_shards(spark, folder):
     return sharding.shard_rows(_table(spark, folder, "documents"), SHARDS)
 
 
+def op6_preference_pairs(spark, folder):
+    out = chat.format_pairs(chat.stale_answer_pairs(_table(spark, folder, "conversations")))
+    return out.withColumns({name: chat.spans_text(out[name]) for name in ("chosen_spans", "rejected_spans")})
+
+
 def op7_exact_copies(spark, folder):
     return exact_dedup.group_copies(_table(spark, folder, "documents"))
 
@@ -30,6 +35,6 @@ def op10_surrogates(spark, folder):
     return pii.report(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op7_exact_copies, op8_line_frequency, op9_weighted_lexicon,
+QUERIES = {f.__name__: f for f in (op3_feistel_shards, op6_preference_pairs, op7_exact_copies, op8_line_frequency, op9_weighted_lexicon,
                                   op10_surrogates)}
-SQL = {"op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS), "op7_exact_copies": EXACT_DEDUP, "op8_line_frequency": QUALITY}
+SQL = {"op6_preference_pairs": CHAT, "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS), "op7_exact_copies": EXACT_DEDUP, "op8_line_frequency": QUALITY}

@@ -71,3 +71,22 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   and not (n_removed_words > 0 and (n_words - n_removed_words < 10 or (word_chars - gone_chars) * 100 < word_chars * 30)) as kept
 from c
 """
+
+_TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+CHAT = f"""
+with t as (select conv_id, replace(coalesce(role, ''), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as rn from conversations where conv_id is not null),
+e as (select conv_id, max(rn) filter (role = 'assistant') as last, max(rn) as n from t group by conv_id),
+p as (select conv_id, coalesce(arg_max(text, rn), '') as stale from t join e using (conv_id) where role = 'assistant' and rn < last group by conv_id),
+c as (select e.conv_id, last, n, coalesce(stale, '') as stale, a.text as answer,
+  case when last is null then n when a.text = coalesce(stale, '') then last else last - 1 end as n_common
+  from e left join p on p.conv_id = e.conv_id left join t a on a.conv_id = e.conv_id and a.rn = e.last),
+q as (select conv_id, string_agg({_TURN}, '' order by rn) filter (rn <= n_common) as prompt from t join c using (conv_id) group by conv_id)
+select conv_id as pair_id, n_common::integer as n_common,
+  coalesce(prompt, '') || case when n_common < last then '<|im_start|>assistant' || chr(10) else '' end as prompt,
+  case when n_common < last then answer || '<|im_end|>' || chr(10) else '' end as chosen,
+  case when n_common < last then stale || '<|im_end|>' || chr(10) else '' end as rejected,
+  case when n_common < last then '0-' || (length(answer) + 10) else '' end as chosen_spans,
+  case when n_common < last then '0-' || (length(stale) + 10) else '' end as rejected_spans
+from c join q using (conv_id)
+"""
