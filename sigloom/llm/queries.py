@@ -1,19 +1,59 @@
 """One query per operator over the whole tables, and SQL for the same rows where SQL can express them."""
 
-from sigloom.llm import chat, exact_dedup, pii, quality, sharding, toxicity
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from sigloom.llm import chat, exact_dedup, packing, pii, quality, sharding, spiece, token_counts, toxicity
+from sigloom.llm.common import pick
 from sigloom.llm.sql import CHAT, EXACT_DEDUP, QUALITY, sharding_sql
+from sigloom.session import ensure_checkpoint_dir
 
 SHARDS = 24
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: How the byte-level vocabulary cuts a text before merging: a fixed value that belongs to the vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+VERSION = "byte_bpe_50k"
 
 
 def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_rollup(spark, folder):
+    """All documents come in; those labelled low in quality go again; those labelled toxic are revised to have no tokens; each batch is sent twice."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    counted = token_counts.counted_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN, VERSION)
+    marks = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    none = F.lit(None).cast("long")
+    counted.write.parquet(f"{rollup.folder}/counted")
+    counted = spark.read.parquet(f"{rollup.folder}/counted")
+    marked = counted.join(marks, "doc_id")
+    loaded = counted.withColumns({"op": F.lit(token_counts.INSERT), "old_tokens": none})
+    dropped = marked.filter("quality = 0").withColumns({"op": F.lit(token_counts.DELETE), "old_tokens": none})
+    revised = marked.filter("quality = 1 and toxic = 1").withColumns({"op": F.lit(token_counts.REVISE), "old_tokens": F.col("tokens"), "tokens": F.lit(0).cast("long")})
+    for batch, changes in (("load", loaded), ("load", loaded), ("quality", dropped), ("toxic", revised), ("quality", dropped)):
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
+def op2_best_fit(spark, folder):
+    return packing.pack_documents(packing.utf8_lengths(_table(spark, folder, "documents")))
+
+
 def op3_feistel_shards(spark, folder):
     return sharding.shard_rows(_table(spark, folder, "documents"), SHARDS)
 
 
+def op5_pieces(spark, folder):
+    docs = _table(spark, folder, "documents")
+    coded = spiece.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "decoded", "parity")
+
+
 def op6_preference_pairs(spark, folder):
     out = chat.format_pairs(chat.stale_answer_pairs(_table(spark, folder, "conversations")))
     return out.withColumns({name: chat.spans_text(out[name]) for name in ("chosen_spans", "rejected_spans")})
@@ -35,6 +75,11 @@ def op10_surrogates(spark, folder):
     return pii.report(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op6_preference_pairs, op7_exact_copies, op8_line_frequency, op9_weighted_lexicon,
-                                  op10_surrogates)}
-SQL = {"op6_preference_pairs": CHAT, "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS), "op7_exact_copies": EXACT_DEDUP, "op8_line_frequency": QUALITY}
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_best_fit, op3_feistel_shards, op5_pieces, op6_preference_pairs, op7_exact_copies, op8_line_frequency,
+                                  op9_weighted_lexicon, op10_surrogates)}
+SQL = {
+    "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS),
+    "op6_preference_pairs": CHAT,
+    "op7_exact_copies": EXACT_DEDUP,
+    "op8_line_frequency": QUALITY,
+}
