@@ -209,8 +209,8 @@ def _calibrated(lexicon: Lexicon, rows: DataFrame, stands_for: dict[int, float])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lexicon.density(t, automaton) for t in batch.column("text").to_pylist()], "float64"), batch.column("label")], names=["x", "label"])
 
-    got = rows.select("text", "label").mapInArrow(measure, "x double, label int").orderBy("x", "label").collect()
-    x, y = np.array([r["x"] for r in got], "f8"), np.array([r["label"] for r in got], "f8")
+    got = sorted((r["x"], r["label"]) for r in rows.select("text", "label").mapInArrow(measure, "x double, label int").collect())
+    x, y = np.array([x for x, _ in got], "f8"), np.array([label for _, label in got], "f8")
     if not (y == 1).any() or not (y == 0).any():
         return lexicon
     weight = np.where(y == 1, stands_for[1], stands_for[0])
