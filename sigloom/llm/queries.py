@@ -5,9 +5,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sigloom.llm import chat, exact_dedup, packing, pii, quality, sharding, spiece, token_counts, toxicity
+from sigloom.llm import chat, exact_dedup, ngram_join, packing, pii, quality, sharding, spiece, token_counts, toxicity
 from sigloom.llm.common import pick
-from sigloom.llm.sql import CHAT, EXACT_DEDUP, QUALITY, sharding_sql
+from sigloom.llm.sql import CHAT, EXACT_DEDUP, NEAR_COPIES, QUALITY, sharding_sql
 from sigloom.session import ensure_checkpoint_dir
 
 SHARDS = 24
@@ -48,6 +48,10 @@ def op3_feistel_shards(spark, folder):
     return sharding.shard_rows(_table(spark, folder, "documents"), SHARDS)
 
 
+def op4_ngram_jaccard(spark, folder):
+    return ngram_join.near_copies(_table(spark, folder, "documents"))
+
+
 def op5_pieces(spark, folder):
     docs = _table(spark, folder, "documents")
     coded = spiece.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -75,10 +79,11 @@ def op10_surrogates(spark, folder):
     return pii.report(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_best_fit, op3_feistel_shards, op5_pieces, op6_preference_pairs, op7_exact_copies, op8_line_frequency,
+QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_best_fit, op3_feistel_shards, op4_ngram_jaccard, op5_pieces, op6_preference_pairs, op7_exact_copies, op8_line_frequency,
                                   op9_weighted_lexicon, op10_surrogates)}
 SQL = {
     "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS),
+    "op4_ngram_jaccard": NEAR_COPIES,
     "op6_preference_pairs": CHAT,
     "op7_exact_copies": EXACT_DEDUP,
     "op8_line_frequency": QUALITY,

@@ -90,3 +90,15 @@ select conv_id as pair_id, n_common::integer as n_common,
   case when n_common < last then '0-' || (length(stale) + 10) else '' end as rejected_spans
 from c join q using (conv_id)
 """
+
+NEAR_COPIES = r"""
+with recursive d as (select row_number() over () as k, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select distinct k, doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as gram from d, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as u(i) where len(ws) > 0),
+n as (select k, doc_id, count(*) as n from g group by k, doc_id),
+both_ as (select a.k as a, b.k as b, count(*) as c from g a join g b on a.gram = b.gram and a.k <> b.k group by a.k, b.k),
+link as (select a, b from both_ join n x on x.k = a join n y on y.k = b where 100 * c >= 80 * (x.n + y.n - c)),
+reach(k, r) as (select k, k from n union select reach.k, link.b from reach join link on link.a = reach.r),
+low as (select reach.k, min(n.doc_id) as component_id from reach join n on n.k = reach.r group by reach.k)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(low.component_id, d.doc_id) as component_id from d left join n on n.k = d.k left join low on low.k = d.k
+"""
