@@ -45,8 +45,10 @@ def with_counts(df: DataFrame, text: Column) -> DataFrame:
     covered = F.aggregate(
         "q_found", F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("end")),
         lambda acc, i: F.struct((acc["total"] + i + WINDOW - F.greatest(i, acc["end"])).alias("total"), (i + WINDOW).alias("end")), lambda acc: acc["total"])
+    # the always true test on a row number keeps a later filter on the counts above this step: pushed below it, the filter would
+    # repeat the whole chain of expressions for each count it names
     out = at.withColumns({
-        "n_words": n.cast("long"),
+        "n_words": F.when(F.monotonically_increasing_id() >= 0, n.cast("long")),
         "word_chars": F.length(without_space(F.col("q_text"))).cast("long"),
         "n_symbols": (F.length("q_text") - F.length(F.translate("q_text", SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
