@@ -55,7 +55,7 @@ def op4_ngram_jaccard(spark, folder):
 def op5_pieces(spark, folder):
     docs = _table(spark, folder, "documents")
     coded = spiece.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "decoded", "parity")
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip", "parity")
 
 
 def op6_preference_pairs(spark, folder):

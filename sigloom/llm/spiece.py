@@ -153,20 +153,20 @@ def ship_model(spark, path: str) -> str:
 
 
 def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", threads=2, verify_every=8) -> DataFrame:
-    """One row per row: ``doc_id, ids, decoded, parity``.
+    """One row per row: ``doc_id, ids, round_trip, parity``.
 
-    ``decoded`` is the text of the ids.  ``parity`` tells that the model's own library gives the same ids; it is asked for one row in
-    ``verify_every`` (1: all, 0: none), chosen by the hash of the text, and null for the others.  A null text has null ids and a null
-    ``decoded``; an empty one has none and is empty.  ``threads`` encode the texts of a batch side by side.
+    ``round_trip`` tells that the ids decode to the very text.  ``parity`` tells that the model's own library gives the same ids; it is asked for one row in
+    ``verify_every`` (1: all, 0: none), chosen by the hash of the text, and null for the others.  A null text has null ids and a
+    null ``round_trip``; an empty one has no ids.  ``threads`` encode the texts of a batch side by side.
     """
     def run(batches):
         tokenizer, own = _loaded(path, threads)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, back, same = [], [], [None] * len(texts)
+            ids, whole, same = [], [], [None] * len(texts)
             for part in _chunks(texts):
                 got = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                back += tokenizer.decode_batch(got, skip_special_tokens=False)
+                whole += [a == b for a, b in zip(part, tokenizer.decode_batch(got, skip_special_tokens=False))]
                 ids += got
             asked = [i for i, t in enumerate(texts) if verify_every and zlib.crc32(t.encode()) % verify_every == 0]
             for i, other in zip(asked, own.encode([texts[i] for i in asked], num_threads=threads)):
@@ -174,11 +174,11 @@ def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", thread
             null = batch.column("text").is_null().to_pylist()
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([None if n else i for i, n in zip(ids, null)], pa.list_(pa.int32())),
-                pa.array([None if n else t for t, n in zip(back, null)], pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "decoded", "parity"])
+                pa.array([None if n else w for w, n in zip(whole, null)], pa.bool_()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip", "parity"])
 
     ship_model(texts.sparkSession, path)
     rows = pick(texts, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string, parity boolean")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean, parity boolean")
 
 
 def decode(rows: DataFrame, path: str, id_col="doc_id", ids_col="ids", threads=2) -> DataFrame:
