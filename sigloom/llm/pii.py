@@ -216,13 +216,16 @@ def replace_entities(docs: DataFrame, key: str = "surrogate key", text_col="text
     return rows.unionByName(plain.withColumns({"p_text": text, "p_count": F.lit(0)})), carried
 
 
-def rewrite(docs: DataFrame, key: str = "surrogate key", text_col="text") -> DataFrame:
-    """``docs`` with every entity in ``text_col`` replaced; all columns stay.
+def rewrite(docs: DataFrame, key: str = "surrogate key", text_col="text", chars_col: str | None = None) -> DataFrame:
+    """``docs`` with every entity in ``text_col`` replaced; all columns stay, and ``chars_col`` gets the new number of code points.
 
     A null text stays null, a text without entities stays as it is, repeated rows stay repeated.
     """
     rows, carried = replace_entities(docs, key, text_col)
-    return carried.back(rows, **{text_col: F.col("p_text")})
+    replaced = {text_col: F.col("p_text")}
+    if chars_col:
+        replaced[chars_col] = F.length("p_text").cast(docs.schema[chars_col].dataType)
+    return carried.back(rows, **replaced)
 
 
 def report(docs: DataFrame, key: str = "surrogate key", id_col="doc_id", text_col="text") -> DataFrame:
