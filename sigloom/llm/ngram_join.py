@@ -12,7 +12,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import Carried, Written, pick
@@ -204,9 +204,14 @@ def _led(batches):
             yield pa.RecordBatch.from_arrays([pa.array(m.astype(k)) for m, k in zip(made, kinds)], names=["gram", "pos", "sid", "n", "lead_sid", "lead_pos", "lead_n"])
 
 
-def _positions_allow(pa_: Column, na: Column, pb: Column, nb: Column) -> Column:
+def _ranked(led: DataFrame) -> DataFrame:
+    """``led`` with ``before``: how many earlier prefix shingles of the item others have too.  The rest of what precedes ``pos`` is shared with none."""
+    return led.withColumn("before", F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1)
+
+
+def _positions_allow(before_a: Column, pa_: Column, na: Column, before_b: Column, pb: Column, nb: Column) -> Column:
     """Length and positional filter for one shared shingle: what may precede it, it, and what may follow must reach the threshold."""
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    most = F.least(before_a, before_b) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (most >= needed(na, nb))
 
 
@@ -291,21 +296,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, items: DataFrame, seed: int, wr
 # ---------------------------------------------------------------------------------------------------------------- the join
 def _leader_pairs(led: DataFrame) -> DataFrame:
     """For each item the leader that it shares most prefix shingles with, if the filters allow it."""
-    rows = led.filter("sid <> lead_sid").filter(_positions_allow(F.col("pos"), F.col("n"), F.col("lead_pos"), F.col("lead_n")))
+    rows = led.filter("sid <> lead_sid").filter(_positions_allow(F.col("before"), F.col("pos"), F.col("n"), F.col("lead_pos"), F.col("lead_pos"), F.col("lead_n")))
     counted = rows.groupBy("sid", "n", "lead_sid", "lead_n").agg(F.count("*").alias("k"))
     best = counted.groupBy("sid", "n").agg(F.max(F.struct("k", "lead_sid", "lead_n")).alias("best"))
     return best.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("best.lead_sid").alias("b"), F.col("best.lead_n").alias("n_b"))
 
 
-def _open_pairs(led: DataFrame, classes: DataFrame) -> DataFrame:
-    """All candidate pairs of items in different classes that pass the filters."""
-    rows = led.select("gram", "pos", "sid", "n").join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    rows = rows.select("gram", "pos", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
-    rows = rows.join(mixed, "gram", "left_semi")
-    x, y = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("pos", "sid", "n", "label")]) for side in ("x", "y"))
-    met = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("label_x") != F.col("label_y"))
-                                   & _positions_allow(F.col("pos_x"), F.col("n_x"), F.col("pos_y"), F.col("n_y")))
+def _open_pairs(led: DataFrame, classes: DataFrame, written: Written) -> DataFrame:
+    """All candidate pairs of items in different classes that pass the filters.
+
+    A row goes before the join when not even the smallest item of its shingle could reach the threshold with it, or when its shingle has
+    a single class left: a group of near copies that is one class by now meets no one, and what differs too much from it meets none of them.
+    """
+    at = led.select("gram", "before", "pos", "sid", "n").join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left")
+    at = at.withColumn("label", F.coalesce("label", "sid"))
+    least = at.groupBy("gram").agg(F.min("n").alias("least_n"))
+    low = F.greatest(F.col("least_n"), F.ceil(F.col("n") * PERCENT / 100))
+    able = at.join(least, "gram").filter(F.col("before") + F.col("n") - F.col("pos") >= needed(F.col("n"), low)).drop("least_n")
+    able = written.table(able)
+    mixed = able.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
+    rows = able.join(mixed, "gram", "left_semi")
+    x, y = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("before", "pos", "sid", "n", "label")]) for side in ("x", "y"))
+    allowed = _positions_allow(*(F.col(f"{c}_{side}") for side in ("x", "y") for c in ("before", "pos", "n")))
+    met = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("label_x") != F.col("label_y")) & allowed)
     pairs = met.groupBy("sid_x", "n_x", "sid_y", "n_y").agg(F.count("*").alias("k"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y"))
     pairs = pairs.filter(_matches_allow(F.col("k"), F.col("n_x"), F.col("last_x"), F.col("n_y"), F.col("last_y")))
     return pairs.select(F.col("sid_x").alias("a"), F.col("n_x").alias("n_a"), F.col("sid_y").alias("b"), F.col("n_y").alias("n_b"))
@@ -315,8 +328,10 @@ def _item_links(docs: DataFrame, scanned: DataFrame, items: DataFrame, seed: int
     levels = _frequencies(scanned)
     postings = _prefixes(docs, levels, seed)
     led = written.table(postings.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "pos", "sid").mapInArrow(_led, _LED))
+    plain, led = led, written.table(_ranked(led))
+    written.drop(plain)
     first = _verified(written.table(_leader_pairs(led)), docs, items, seed, written)
-    second = _verified(written.table(_open_pairs(led, components(first, written))), docs, items, seed, written)
+    second = _verified(written.table(_open_pairs(led, components(first, written), written)), docs, items, seed, written)
     return written.table(first.unionAll(second))
 
 
