@@ -1,0 +1,394 @@
+"""Near copies, packing, pieces, chat, toxicity, surrogates and the pipeline against plain Python."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sigloom.llm import chat, ngram_join, packing, pii, shingles, spiece, toxicity
+from sigloom.llm.queries import TOKENIZERS
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def shingle_set(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+def brute_components(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    low = defaultdict(list)
+    for i, (doc_id, _) in enumerate(rows):
+        low[root(i)].append(doc_id)
+    return Counter((doc_id, len(sets[i]), min((x for x in low[root(i)] if x is not None), default=None) if sets[i] else doc_id) for i, (doc_id, _) in enumerate(rows))
+
+
+def edited(words, changes, rng):
+    words = list(words)
+    for _ in range(changes):
+        at = rng.randrange(len(words))
+        words[at:at + rng.choice([0, 1])] = [f"w{rng.randrange(10**6)}"]
+    return " ".join(words)
+
+
+def near_rows(seed=1):
+    rng, rows = random.Random(seed), []
+    passage = [f"p{i}" for i in range(60)]
+    for base in range(12):
+        words = [f"b{base}x{rng.randrange(500)}" for _ in range(rng.choice([3, 5, 8, 30, 120, 400]))]
+        rows += [" ".join(words)] + [edited(words, rng.choice([0, 1, 1, 2, 4, 9]), rng) for _ in range(12)]
+    hub = [f"h{i}" for i in range(150)]
+    rows += [edited(hub, rng.choice([1, 2, 3, 4]), rng) for _ in range(80)]
+    rows += [" ".join(passage + [f"own{i}n{j}" for j in range(rng.choice([4, 8, 12, 40]))]) for i in range(40)]
+    rows += ["A b C d e", "a B c D E", "a b c d", "a b c d", "", None, "\t", "one", "one"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_are_those_of_all_pairs(spark, seed):
+    rows = near_rows(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in ngram_join.near_copies(df).collect()) == brute_components(rows)
+
+
+def test_near_copies_of_odd_rows(odd_docs, no_docs):
+    rows = [(r[0], r[1]) for r in odd_docs.collect()]
+    assert Counter(tuple(r) for r in ngram_join.near_copies(odd_docs).collect()) == brute_components(rows)
+    kept = ngram_join.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns and {r[0] for r in kept.collect()} >= {None, 1, 3, 4, 5, 6, 8} and 2 not in {r[0] for r in kept.collect()}
+    assert ngram_join.near_copies(no_docs).count() == 0
+
+
+def test_salted_leaders_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAD_BITS", 2)
+    rows = near_rows(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ngram_join.near_copies(df).collect()) == brute_components(rows)
+
+
+@pytest.mark.parametrize("size", range(1, 9))
+def test_leaders_do_not_depend_on_batches(size):
+    import pyarrow as pa
+    rows = sorted([(1, 0, 0, 5, 9), (2, 0, 1, 5, 9), (2, 0, 1, 5, 9), (2, 0, 2, 6, 9), (2, 0, 3, 7, 9), (3, 0, 0, 6, 9), (4, 0, 4, 5, 9), (4, 0, 5, 8, 9), (5, 1, 0, 5, 9), (6, 0, 1, 1, 9)])
+    names, kinds = ["gram", "salt", "pos", "sid", "n"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + size]), kinds)], names=names) for i in range(0, len(rows), size)]
+    out = [tuple(r.values()) for b in ngram_join._led(iter(batches)) for r in b.to_pylist()]
+    assert sorted(out) == [(2, 1, 5, 9, 5, 1, 9), (2, 2, 6, 9, 5, 1, 9), (2, 3, 7, 9, 5, 1, 9), (4, 4, 5, 9, 5, 4, 9), (4, 5, 8, 9, 5, 4, 9), (5, 0, 5, 9, 5, 0, 9)]
+
+
+def test_shingles_follow_words_whatever_the_chunks(monkeypatch):
+    import pyarrow as pa
+    texts = ["a b c d e f", "A B C D E F", None, "", " é\tü  ñ\nß x y ", "a b", "b a", "x" * 50, "a b c d e f a b c d e f"]
+    whole = [s.tolist() for s in shingles.shingle_sets(pa.array(texts))]
+    monkeypatch.setattr(shingles, "CHUNK", 7)
+    assert [s.tolist() for s in shingles.shingle_sets(pa.array(["skip"] + texts).slice(1))] == whole
+    assert [len(s) for s in whole] == [len(shingle_set(t)) for t in texts]
+    assert whole[0] == whole[1] and whole[5] != whole[6]
+
+
+def test_suffix_filter_never_drops_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        keep = rng.random(len(a)) < rng.uniform(0.75, 1)
+        b = np.unique(np.r_[a[keep], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 10))).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            assert ngram_join._cells_reach(ngram_join._cells(a), ngram_join._cells(b), len(a), len(b))
+
+
+def cost(bins, how):
+    return sum(how.cost(b) for b in bins)
+
+
+def test_packing_is_valid_and_near_the_bound(spark, odd_docs, no_docs):
+    how = packing.Lengths(permitted=(16, 32, 64), fixed=2.0, per_square=0.0, pieces_per_task=50)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 1, 5, 15, 16, 17, 30, 64, 65, 200])) for i in range(300)] + [(None, None), (7, -3)]
+    df = spark.createDataFrame(rows, "doc_id long, length long")
+    got = packing.pack_documents(df, how).collect()
+    covered = Counter()
+    for r in got:
+        covered[r["doc_id"]] += r["length"]
+        assert r["start"] == r["piece"] * 64 and 0 <= r["bin_start"] and r["bin_start"] + r["length"] <= r["bin_length"] and r["bin_length"] in how.permitted
+    expected = Counter()
+    for doc_id, length in rows:
+        expected[doc_id] += max(length or 0, 0)
+    assert +covered == +expected
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["bin"], r["bin_length"]].append((r["bin_start"], r["length"]))
+    assert len({b for b, _ in bins}) == len(bins)
+    for (_, size), spans in bins.items():
+        ends = [a + n for a, n in sorted(s for s in spans if s[1])]
+        assert all(a >= e for (a, _), e in zip(sorted(s for s in spans if s[1])[1:], ends))
+        used = sum(n for _, n in spans)
+        assert size == min(s for s in how.permitted if s >= used)
+    total = sum(expected.values())
+    assert cost([s for _, s in bins], how) <= 1.15 * total * how.cost(64) / 64
+    assert packing.pack_documents(no_docs.withColumn("length", F.lit(1)), how).count() == 0
+    assert packing.pack_documents(packing.utf8_lengths(odd_docs)).count() == len([1 for r in odd_docs.collect() for _ in range(0, max(1, len((r[1] or "").encode()) + 1), 16384)])
+
+
+def best_cost(lengths, how):
+    """The least cost over all packings, by trying every place for every piece."""
+    best = [float("inf")]
+
+    def place(i, bins):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(how.cost(min(s for s in how.permitted if s >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= max(how.permitted):
+                bins[k] += lengths[i]
+                place(i + 1, bins)
+                bins[k] -= lengths[i]
+        place(i + 1, bins + [lengths[i]])
+    place(0, [])
+    return best[0]
+
+
+def test_packing_is_close_to_the_best_on_small_inputs():
+    how = packing.Lengths(permitted=(8, 16, 24), fixed=3.0, per_square=0.01)
+    rng, worst = random.Random(8), 1.0
+    for _ in range(60):
+        lengths = [rng.randint(1, 24) for _ in range(7)]
+        bins, starts, closed = packing.pack(lengths, how)
+        used = {int(b): int(c) for b, c in zip(bins, closed)}
+        worst = max(worst, cost(used.values(), how) / best_cost(lengths, how))
+    assert worst < 1.35
+
+
+def test_no_bin_is_opened_while_another_has_room():
+    how = packing.Lengths(permitted=(10,), fixed=0.0)
+    bins, _, _ = packing.pack([6, 4, 4, 6, 5, 5], how)
+    assert len(set(bins.tolist())) == 3
+    assert [len(x) for x in packing.pack([], how)] == [0, 0, 0]
+
+
+def test_pieces_agree_with_the_models_library(spark, odd_docs, no_docs):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = spiece.encode(odd_docs, MODEL, verify_every=1)
+    rows = got.collect()
+    expected = Counter((r[0], None if r[1] is None else tuple(own.encode(r[1]))) for r in odd_docs.collect())
+    assert Counter((r["doc_id"], None if r["ids"] is None else tuple(r["ids"])) for r in rows) == expected
+    assert all(r["parity"] for r in rows) and all(r["round_trip"] for r in rows if r["ids"] is not None)
+    back = spiece.decode(got, MODEL).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r[0], r[1]) for r in odd_docs.collect())
+    assert spiece.encode(no_docs, MODEL).count() == 0
+
+
+def test_piece_edge_cases():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    tokenizer = spiece.build(spiece.parse_model(open(MODEL, "rb").read()))
+    rng = random.Random(3)
+    texts = ["", " ", "\n", "<s> </s> <unk> <0x41>", "▁▁ ▁", "日本語 🙂 \u0000", *[" " * k + "x" for k in range(20)]]
+    texts += ["".join(rng.choice(" ▁ ab\n🙂éz<>") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == own.encode(texts)
+    assert tokenizer.decode_batch(got, skip_special_tokens=False) == [own.decode(g) for g in got]
+
+
+def field(number, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_models_are_rebuilt_from_their_scores():
+    """A unigram model written by hand: the best segmentation by score, byte fallback, and runs of spaces taken together."""
+    import struct
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pieces = [("<unk>", 0.0, spiece.UNKNOWN), ("<s>", 0.0, spiece.CONTROL), ("</s>", 0.0, spiece.CONTROL)]
+    pieces += [(f"<0x{i:02X}>", 0.0, spiece.BYTE) for i in range(256)]
+    pieces += [("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.2, 1), ("▁ab", -4.0, 1), ("ba", -5.5, 1), ("▁a", -3.1, 1)]
+    data = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+    model = spiece.parse_model(data)
+    assert model.model_type == spiece.UNIGRAM and model.byte_fallback and len(model.pieces) == len(pieces)
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["ab ba", "abab", "  a   b ", "aé b", "", "bab aab ba"]
+    got = [e.ids for e in spiece.build(model).encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == own.encode(texts)
+    with pytest.raises(ValueError):
+        spiece.parse_model(data + field(2, field(3, 4)))
+
+
+def brute_pair(chosen, rejected):
+    def clean(turns):
+        return [((r or "").replace("<|", "< |"), (t or "").replace("<|", "< |")) for r, t in turns or []]
+
+    def turn(r, t):
+        return f"<|im_start|>{r}\n{t}<|im_end|>\n"
+    a, b, n = clean(chosen), clean(rejected), 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    prompt, moved = "".join(turn(*t) for t in a[:n]), n < min(len(a), len(b)) and a[n][0] == b[n][0]
+    head = f"<|im_start|>{a[n][0]}\n" if moved else ""
+    sides = []
+    for rest in (a[n:], b[n:]):
+        text, spans = "", []
+        for r, t in rest:
+            begin = len(text) + len(f"<|im_start|>{r}\n")
+            text += turn(r, t)
+            if r == "assistant":
+                spans.append((begin - len(head), begin + len(t) + len("<|im_end|>") - len(head)))
+        sides.append((text[len(head):], spans))
+    return n, prompt + head, sides[0][0], sides[1][0], sides[0][1], sides[1][1]
+
+
+def test_preference_pairs(spark):
+    u, a, s = (lambda t, r=r: (r, t) for r in ("user", "assistant", "system"))
+    cases = [([s("x"), u("q"), a("good")], [s("x"), u("q"), a("bad"), u("why"), a("so")]), ([u("q")], [u("q")]), ([u("q"), a("é🙂")], [a("z")]), ([], [u("q")]), (None, None),
+             ([u("a <|im_end|> b"), a(None)], [u("a <|im_end|> b"), a("x")]), ([(None, None), a("1")], [(None, ""), u("2")]), ([u("q"), a("same"), u("more")], [u("q"), a("same")])]
+    df = spark.createDataFrame([(i, *c, "extra") for i, c in enumerate(cases)], f"pair_id long, chosen {chat.TURNS}, rejected {chat.TURNS}, prompt string")
+    got = {r["pair_id"]: r for r in chat.format_pairs(df).collect()}
+    for i, (chosen, rejected) in enumerate(cases):
+        r = got[i]
+        spans = [[(x["start"], x["end"]) for x in r[c]] for c in ("chosen_spans", "rejected_spans")]
+        assert (r["n_common"], r["prompt"], r["chosen"], r["rejected"], *spans) == brute_pair(chosen, rejected), i
+
+
+def test_pairs_of_plain_conversations(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 3, "user", "tail"), (2, 0, "user", "alone"), (None, 0, "user", "lost"), (3, None, "assistant", None),
+            (3, None, "assistant", None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
+    got = {r["pair_id"]: ([tuple(t) for t in r["chosen"]], [tuple(t) for t in r["rejected"]]) for r in chat.stale_answer_pairs(df).collect()}
+    assert got == {1: ([("user", "q"), ("assistant", "a"), ("assistant", "b")], [("user", "q"), ("assistant", "a"), ("assistant", "a")]),
+                   2: ([("user", "alone")],) * 2, 3: ([("assistant", "")] * 2,) * 2}
+    assert chat.format_pairs(chat.stale_answer_pairs(df.limit(0))).count() == 0
+
+
+def test_folding():
+    assert toxicity.fold("You IDI0T, $tup1d lоser!!  ＭＯＲＯＮ 100$ a_b") == " you idiot stupid loser moron 100 a b "
+    lexicon = toxicity.Lexicon({" trash ": 4.0, " los": 1.0, " loser ": 3.0}, ("trash can",))
+    automaton = lexicon.automaton()
+    assert lexicon.hits(toxicity.fold("trash can loser lost trash"), automaton) == {10: (3.0, 7), 16: (1.0, 4), 21: (4.0, 7)}
+    assert lexicon.density("", automaton) == 0.0 and lexicon.density("trash", automaton) > lexicon.density("trash " + "fine " * 50, automaton)
+
+
+def test_toxicity_learns_only_outside_the_held_out_fold(spark, odd_docs):
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        toxic = i % 5 == 0
+        if toxic:
+            for w in rng.sample(["badword", "ugl1er", "stemmier", "stemming", "stemxyz"], 2):
+                words.insert(rng.randrange(60), w)
+        rows.append((i, " ".join(words), "en" if toxic else "fr"))
+        labels.append((i, int(toxic), 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    how = toxicity.Training()
+    got = {r["doc_id"]: r for r in toxicity.score_by_labels(docs, marks, how).collect()}
+    assert all(r["held_out"] == (toxicity.held_out_fold(i) == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in got.items())
+    held = [(r["predicted"], i % 5 == 0) for i, r in got.items() if r["held_out"]]
+    assert sum(p == t for p, t in held) >= 0.98 * len(held) and len(held) > 80
+    flipped = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r["doc_id"]: r["score"] for r in toxicity.score_by_labels(docs, flipped, how).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.score_by_labels(odd_docs, none).collect()
+    assert len(got) == odd_docs.count() and len({r["score"] for r in got}) == 1
+    marks = spark.createDataFrame([(1, 1), (1, None), (8, 0), (None, 1), (5, 7)], "doc_id long, toxic int")
+    assert toxicity.score_by_labels(odd_docs, marks).count() == odd_docs.count()
+    assert toxicity.score_by_labels(no_docs, marks).count() == 0
+
+
+def test_surrogates_keep_kind_format_and_identity(spark, odd_docs, no_docs):
+    text = ("Mail to mary.jones@mail4.example.com, Mrs. Mary Jones or Госпожа Анна Иванова: +1 (509) 555-6973, card 4539578763621486 or 4539 5787 6362 1486, "
+            "19.37.233.111. SSN 123-45-6789; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" password: Hunter2Hunter2")
+    rows = [(1, text), (2, "again mary.jones@mail4.example.com"), (3, "nothing here, 12 apples and 3.5 pears, version 1.2.3"), (4, None), (5, ""), (6, text)]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3]["text"] == rows[2][1] and got[4]["text"] is None and got[5]["text"] == "" and got[3]["n_entities"] == 0
+    assert got[1]["n_entities"] == 10 and got[1]["text"] == got[6]["text"]
+    new = got[1]["text"]
+    shape = (r"Mail to ([a-z]{4}\.[a-z]{5}@[a-z]{4}\d\.[a-z]{7}\.com), (Mrs\. [A-Z][a-z]+ [A-Z][a-z]{4}) or (Госпожа [А-Я][а-я]+ [А-Я][а-я]{6}): (\+1 \(\d{3}\) \d{3}-\d{4}), "
+             r"card (\d{16}) or (\d{4} \d{4} \d{4} \d{4}), ((?:\d{1,3}\.){3}\d{1,3})\. SSN (\d{3}-\d{2}-\d{4}); token = \"([0-9a-f]{40})\" password: ([A-Z][a-z]{5}\d[A-Z][a-z]{5}\d)")
+    found = re.fullmatch(shape, new)
+    assert found, new
+    assert found[1] in got[2]["text"] and found[5] == found[6].replace(" ", "")
+    assert found[2].split()[1] in pii.GIVEN["f", "latin"] and found[3].split()[1] in pii.GIVEN["f", "cyrillic"]
+    assert all(int(o) < 256 for o in found[7].split("."))
+    for piece in ("mary.jones", "Jones", "Иванова", "555-6973", "4539578763621486", "19.37.233.111", "123-45-6789", "24be64439e", "Hunter2Hunter2"):
+        assert piece not in new
+
+    def luhn(digits):
+        doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 * (d > 9) for d in doubled) % 10
+    assert luhn(found[5]) == luhn("4539578763621486")
+    out = pii.rewrite(odd_docs)
+    assert out.columns == odd_docs.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, odd_docs.collect()))
+    assert pii.rewrite(no_docs).count() == 0
+    assert pii.report(spark.createDataFrame(rows, "doc_id long, text string"), key="other").filter("doc_id = 1").first()["text"] != new
+
+
+def test_surrogates_stay_distinct_in_narrow_and_wide_shapes(spark):
+    rng = random.Random(2)
+    narrow = [f"{a}@b.com" for a in "abcdefghijklmnopqrstuvwxyz"]
+    octets = [f"{rng.randrange(256)}.{rng.randrange(256)}.1.{i % 256}" for i in range(600)]
+    names = [f"Mr. {g} {f}" for g in pii.GIVEN["m", "latin"] for f in ("Smith", "Miller", "Brown", "Jones")]
+    phones = [f"+1 (555) 555-{i:04d}" for i in range(800)]
+    rows = [(i, f"x {e} y") for i, e in enumerate(narrow + octets + names + phones)]
+    got = {r["doc_id"]: r["text"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    old = {t for _, t in rows}
+    assert len({got[i] for i, _ in rows}) == len(old)
+    wide = [got[i] for i, t in rows if "@b.com" not in t]
+    assert not old & set(wide)
+
+
+def test_pipeline_stages_work_on_what_is_left(spark, tmp_path, odd_docs):
+    import corpus_pipeline
+    rng = random.Random(9)
+    words = [[f"q{rng.randrange(3000)}" for _ in range(80)] for _ in range(30)]
+    texts = [" ".join(w) for w in words]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i] + "  ", "s") for i in range(5)] + [(200 + i, edited(words[i], 1, rng), "s") for i in range(5, 10)]
+    rows += [(300, "too short", "s"), (301, None, "s"), (302, "echo " * 50, "s"), (303, "call a.b@c.example.org " + texts[20], "s"), (304, texts[21] + " and a.b@c.example.org too", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    at, left = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        left[name] = at
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert at.columns == docs.columns
+    ids = {name: {r["doc_id"] for r in df.collect()} for name, df in left.items()}
+    everyone = {r[0] for r in rows}
+    assert ids["quality rules"] == everyone - {300, 301, 302}
+    assert ids["exact dedup"] == ids["quality rules"] - set(range(5))  # the copies have more characters
+    near = brute_components([(r[0], r[1]) for r in rows if r[0] in ids["exact dedup"]])
+    assert ids["n-gram Jaccard join"] == {doc for doc, _, low in near if doc == low}
+    private = {r["doc_id"]: r["text"] for r in left["PII surrogates"].collect()}
+    assert not any("a.b@c.example.org" in t for t in private.values()) and all(private[i] == texts[i] for i in range(22, 30))
+    packed = left["best-fit packing"].collect()
+    assert Counter({r["doc_id"]: 0 for r in packed}).keys() == private.keys() and sum(r["length"] for r in packed) == sum(len(t.encode()) + 1 for t in private.values())
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in run.collect()} == ids["n-gram Jaccard join"]
