@@ -133,15 +133,16 @@ def _loaded(path: str, threads: int):
     return build(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
-def _chunks(texts, limit=CHUNK):
-    """Neighbouring texts whose lengths add up to ``limit`` at most."""
+def _chunks(column, limit=CHUNK):
+    """Neighbouring texts whose lengths add up to ``limit`` at most; only one part of the column is held as Python strings."""
     part, size = [], 0
-    for text in texts:
-        if part and size + len(text) > limit:
+    for value in column:
+        text = value.as_py()
+        if part and size + len(text or "") > limit:
             yield part
             part, size = [], 0
         part.append(text)
-        size += len(text)
+        size += len(text or "")
     if part:
         yield part
 
@@ -162,19 +163,20 @@ def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", thread
     def run(batches):
         tokenizer, own = _loaded(path, threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, whole, same = [], [], [None] * len(texts)
-            for part in _chunks(texts):
-                got = [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                whole += [a == b for a, b in zip(part, tokenizer.decode_batch(got, skip_special_tokens=False))]
-                ids += got
-            asked = [i for i, t in enumerate(texts) if verify_every and zlib.crc32(t.encode()) % verify_every == 0]
-            for i, other in zip(asked, own.encode([texts[i] for i in asked], num_threads=threads)):
-                same[i] = ids[i] == other
-            null = batch.column("text").is_null().to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([None if n else i for i, n in zip(ids, null)], pa.list_(pa.int32())),
-                pa.array([None if n else w for w, n in zip(whole, null)], pa.bool_()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip", "parity"])
+            at = 0
+            for part in _chunks(batch.column("text")):
+                texts = [t or "" for t in part]
+                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                whole = [a == b for a, b in zip(texts, tokenizer.decode_batch(ids, skip_special_tokens=False))]
+                same = [None] * len(texts)
+                asked = [i for i, t in enumerate(texts) if verify_every and zlib.crc32(t.encode()) % verify_every == 0]
+                for i, other in zip(asked, own.encode([texts[i] for i in asked], num_threads=threads)):
+                    same[i] = ids[i] == other
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(at, len(part)), pa.array([None if t is None else i for i, t in zip(ids, part)], pa.list_(pa.int32())),
+                    pa.array([None if t is None else w for w, t in zip(whole, part)], pa.bool_()), pa.array(same, pa.bool_())],
+                    names=["doc_id", "ids", "round_trip", "parity"])
+                at += len(part)
 
     ship_model(texts.sparkSession, path)
     rows = pick(texts, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -186,9 +188,12 @@ def decode(rows: DataFrame, path: str, id_col="doc_id", ids_col="ids", threads=2
     def run(batches):
         tokenizer, _ = _loaded(path, threads)
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            texts = tokenizer.decode_batch([i or [] for i in lists], skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if i is None else t for i, t in zip(lists, texts)], pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                lists = some.column("ids").to_pylist()
+                texts = tokenizer.decode_batch([i or [] for i in lists], skip_special_tokens=False)
+                texts = pa.array([None if i is None else t for i, t in zip(lists, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), texts], names=["doc_id", "text"])
 
     ship_model(rows.sparkSession, path)
     return pick(rows, doc_id=id_col, ids=ids_col).select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
