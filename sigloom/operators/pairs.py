@@ -343,6 +343,53 @@ def _emit_nearest(spec):
     return run
 
 
+def _forest_edges(u, v, n):
+    """Indices of the edges of the minimum spanning forest, for edges in increasing order over nodes ``0 … n-1``."""
+    label, kept, left = np.arange(n), [], np.arange(len(u))
+    while len(left):
+        cu, cv = label[u[left]], label[v[left]]
+        left = left[cu != cv]
+        cu, cv = label[u[left]], label[v[left]]
+        best = np.full(n, len(u))
+        np.minimum.at(best, cu, left)
+        np.minimum.at(best, cv, left)
+        mine = np.flatnonzero(best < len(u))
+        if not len(mine):
+            break
+        edge = best[mine]
+        kept.append(np.unique(edge))
+        parent = np.arange(n)
+        parent[mine] = np.where(label[u[edge]] == mine, label[v[edge]], label[u[edge]])
+        mutual = mine[(parent[parent[mine]] == mine) & (mine < parent[mine])]
+        parent[mutual] = mutual
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _emit_forest(spec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, same = _tile_sides(batches, spec)
+        if not left.n or not right.n:
+            return
+        shift, n = (0, left.n) if same else (left.n, left.n + right.n)
+        ids = np.asarray(left.ids) if same else np.concatenate((np.asarray(left.ids), np.asarray(right.ids)))
+        order = left.order if same else np.concatenate((left.order, right.order))
+        u, v, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for i, j, _, dist in _compare(left, right, same, spec):
+            known = ~np.isnan(dist)
+            i, j = i[known], j[known] + shift
+            swap = order[i] > order[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            u, v, d = np.concatenate((u, i)), np.concatenate((v, j)), np.concatenate((d, dist[known]))
+            rank = np.lexsort((ids[v], ids[u], d))
+            keep = rank[_forest_edges(u[rank], v[rank], n)]
+            u, v, d = u[keep], v[keep], d[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(d)], names=spec["names"])
+    return run
+
+
 # ---------------------------------------------------------------- public operators
 
 class PairJob:
@@ -429,6 +476,15 @@ class PairJob:
         partial = self._run(_emit_histogram, schema, weighted=weighted, bin_width=bin_width, round_bins=rounding)
         return partial.groupBy("bin", "relation").agg(F.sum("weight").alias("weight"))
 
+    def forest(self):
+        """``id_a, id_b, dist``: of each tile only the edges of its own minimum spanning forest.
+
+        An edge that a tile leaves out is the largest of a cycle, so the minimum spanning tree of all pairs is among these edges, and their
+        number falls from the square of the rows to the rows times the slices.
+        """
+        schema = T.StructType([T.StructField("id_a", self._id_type()), T.StructField("id_b", self._id_type()), T.StructField("dist", T.DoubleType())])
+        return self._run(_emit_forest, schema)
+
     def row_sums(self):
         """``id, dist_sum, n_pairs`` of every row against all its partners."""
         schema = T.StructType([T.StructField("id", self._id_type()), T.StructField("dist_sum", T.DoubleType()),

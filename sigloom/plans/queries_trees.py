@@ -14,7 +14,7 @@ from sigloom.plans.queries_vectors import P_SQL, supplier_profiles
 
 
 def _supplier_pairs(spark, d):
-    return PairJob(supplier_profiles(spark, d), "manhattan").pairs()
+    return PairJob(supplier_profiles(spark, d), "manhattan").forest()
 
 
 def _suppliers(spark, d):

@@ -22,12 +22,15 @@ def points(spark):
 
 
 def brute(d, linkage):
+    """Merge one pair at a time; an infinite distance is a missing one."""
     d = (d ** 2 if linkage == "ward" else d).copy()
     np.fill_diagonal(d, np.inf)
     live, out = {i: (i, 1, i) for i in range(len(d))}, []
     for step in range(len(d) - 1):
         i, j = sorted(np.unravel_index(d.argmin(), d.shape))
         h = d[i, j]
+        if not np.isfinite(h):
+            break
         left, right = sorted((live[i], live[j]), key=lambda t: t[2])
         out.append((step, left[0], right[0], pytest.approx(h), left[1] + right[1]))
         for o in set(live) - {i, j}:
@@ -42,16 +45,53 @@ def rows(merges):
     return sorted(tuple(r) for r in merges.select("step", "left", "right", "height", "size").collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_edges": 9, "bounded_edges": 0}])
-def test_single_linkage(points, options):
+@pytest.mark.parametrize("block", [256, 3])
+def test_single_linkage(points, block):
     d, pairs, leaves = points
-    assert rows(cluster.single_linkage(pairs, leaves, **options)) == brute(d, "single")
+    assert rows(cluster.single_linkage(pairs, leaves, block_edges=block)) == brute(d, "single")
 
 
-@pytest.mark.parametrize("bounded", [2000, 6])
-def test_ward_linkage(points, bounded):
+def test_ward_linkage(points):
     d, pairs, leaves = points
-    assert rows(cluster.ward_linkage(pairs, leaves, bounded_clusters=bounded)) == brute(d, "ward")
+    assert rows(cluster.ward_linkage(pairs, leaves)) == brute(d, "ward")
+
+
+@pytest.fixture(scope="module")
+def holes(spark, points):
+    """Two groups without any distance between them, a leaf without distances, and pairs that are missing or NULL."""
+    d = points[0].copy()
+    d[:8, 8:] = d[8:, :8] = np.inf
+    d[17, :] = d[:, 17] = np.inf
+    d[2, 5] = d[5, 2] = d[9, 12] = d[12, 9] = np.inf
+    rows = [(i, j, float(d[i, j]) if np.isfinite(d[i, j]) else None) for i in range(N) for j in range(i + 1, N) if np.isfinite(d[i, j]) or (i + j) % 2]
+    return d, spark.createDataFrame(rows, "id_a long, id_b long, dist double")
+
+
+@pytest.mark.parametrize("linkage", ["single", "ward"])
+def test_missing_distances_keep_clusters_apart(points, holes, linkage):
+    _, _, leaves = points
+    d, pairs = holes
+    expected = [r for r in brute(d, linkage) if np.isfinite(r[3].expected)]
+    merge = cluster.single_linkage if linkage == "single" else cluster.ward_linkage
+    assert rows(merge(pairs, leaves)) == expected
+
+
+def test_forest_leaves_have_places_of_their_own(points, holes):
+    _, _, leaves = points
+    merges = cluster.single_linkage(holes[1], leaves, block_edges=4)
+    order = {r["id"]: r["pos"] for r in cluster.leaf_order(merges, leaves, N).collect()}
+    assert sorted(order.values()) == list(range(N))
+    for r in merges.where(F.col("size") == 2).collect():
+        assert abs(order[r["left"]] - order[r["right"]]) == 1
+
+
+@pytest.mark.parametrize("rows_per_tile", [5, 100])
+def test_forest_of_tiles_has_the_same_tree(spark, points, rows_per_tile):
+    p = np.random.default_rng(3).integers(0, 4, size=(40, 3)).astype(float)
+    sigs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "id long, sig array<double>")
+    job = lambda: PairJob(sigs, "manhattan", rows_per_tile=rows_per_tile, n_rows=40)
+    tree = lambda df: sorted(tuple(r) for r in cluster.minimum_spanning_tree(df).collect())
+    assert tree(job().forest()) == tree(job().pairs()) and job().forest().count() < 40 * 40 // 2 + 1
 
 
 def test_newick_reads_back(points):
