@@ -1,7 +1,7 @@
 """Gap-affine alignment of many short sequence pairs at once.
 
 Costs are minimised first; among alignments of equal cost the one with more identities, then the shorter one, wins.
-The three criteria are packed into one additive integer, so a plain minimum decides all of them.
+The three criteria are packed into one additive integer, so a plain minimum decides all of them; pairs too long for that raise.
 """
 
 import numpy as np
@@ -16,6 +16,7 @@ _BASE = 1 << 20
 _COST = _BASE * _BASE
 _FAR = np.int64(1) << 61
 _CELLS = 1 << 20
+_LONGEST = 1 << 19  # bases of both sequences together: costs then stay below 2^21, identities and lengths below 2^20
 _CODES = np.full(256, 4, dtype=np.uint8)
 for _code, _letter in enumerate("ACGT"):
     _CODES[ord(_letter)] = _code
@@ -36,6 +37,8 @@ def align_block(queries, targets, free_target_ends):
     """``cost, identities, length, end`` of every query/target pair; with free ends the query may lie anywhere in the target."""
     n = len(queries)
     nq, nt = np.array([len(q) for q in queries]), np.array([len(t) for t in targets])
+    if (nq + nt).max(initial=0) >= _LONGEST:
+        raise ValueError(f"cannot align sequences of {_LONGEST} bases or more in all")
     q, t = _pad(queries, max(1, nq.max())), _pad(targets, max(1, nt.max()))
     columns = np.arange(t.shape[1] + 1, dtype=np.int64)
     step_open, step_more, step_lead = (c * _COST + 1 for c in (GAP_OPEN, GAP_EXTEND, LEADING_GAP))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------------------------
 NUCLEOTIDES = "ACGT"
 VALID_PATTERN = "^[ACGTUNacgtun]*$"
-# standard genetic code, codons in TCAG order, '*' is a stop
-GENETIC_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+# standard genetic code, codons in TCAG order; a stop reads like an unknown codon
+GENETIC_CODE = "FFLLSSSSYYXXCCXWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -57,7 +57,7 @@ def _codon_map():
 
 
 def translate_codons(seq):
-    """Amino acids of the complete codons from position 0; codons with an N read as ``X``."""
+    """Amino acids of the complete codons from position 0; stops and codons with an N read as ``X``."""
     seq = _col(seq)
     table = F.create_map(*[F.lit(x) for pair in _codon_map().items() for x in pair])
     starts = F.when(F.length(seq) >= 3, F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3))).otherwise(F.array())
@@ -83,17 +83,32 @@ def find_from(seq, pattern, start=0):
     return F.when(at > 0, at - 1 + F.lit(start)).otherwise(F.length(seq))
 
 
-def cut_between(seq, opening, closing, max_length=None):
-    """All non-overlapping stretches from an ``opening`` marker through the next ``closing`` marker."""
-    body = f"{wildcard_pattern(opening)}.*?{wildcard_pattern(closing)}"
-    found = F.regexp_extract_all(_col(seq), F.lit(f"({body})"), F.lit(1))
-    return found if max_length is None else F.transform(found, lambda s: F.substring(s, 1, max_length))
+def cut_between(seq, opening, closing, max_length=None, require_begin=True, require_end=True, overlap=False):
+    """All stretches from an ``opening`` marker through the next ``closing`` marker.
 
-
-def cut_between_both_strands(seq, opening, closing, max_length=None):
+    Without ``require_begin`` a stretch may begin with the sequence, or right behind the one before; without ``require_end`` it may run to the end of the
+    sequence.  A stretch longer than ``max_length`` is left out when both markers are required; otherwise it keeps
+    the part at the marker that is: the front when the end is open, the tail when only the beginning is.  With ``overlap``
+    every opening marker begins a stretch of its own.
+    """
+    first = wildcard_pattern(opening) if require_begin else ""
+    last = wildcard_pattern(closing) if require_end else f"(?:{wildcard_pattern(closing)}|$)"
+    body = f"{first}.*?{last}" if require_begin else f".*?{last}"
+    found = F.regexp_extract_all(_col(seq), F.lit(f"(?=({body}))" if overlap else f"({body})"), F.lit(1))
+    found = F.filter(found, lambda s: s != "")
+    if max_length is None:
+        return found
+    if require_begin and require_end:
+        return F.filter(found, lambda s: F.length(s) <= max_length)
+    if not require_end:
+        return F.transform(found, lambda s: F.substring(s, F.lit(1), F.lit(max_length)))
+    return F.transform(found, lambda s: F.substring(s, F.greatest(F.length(s) - max_length + 1, F.lit(1)), F.lit(max_length)))
+
+
+def cut_between_both_strands(seq, opening, closing, max_length=None, **flags):
     """``cut_between`` on the forward strand followed by the hits on the reverse strand, read forward."""
-    forward = cut_between(seq, opening, closing, max_length)
-    return F.concat(forward, cut_between(reverse_complement(seq), opening, closing, max_length))
+    forward = cut_between(seq, opening, closing, max_length, **flags)
+    return F.concat(forward, cut_between(reverse_complement(seq), opening, closing, max_length, **flags))
 
 
 def _chars(seq):

@@ -127,6 +127,21 @@ def kmer_counts(contigs: DataFrame, k, *, double_strand=True, keep_empty=False,
     return counts if keep_empty else counts.where(F.col("n") > 0)
 
 
+def kmer_counts_of(contigs: DataFrame, sizes, *, double_strand=True) -> DataFrame:
+    """``genome_id, k, code, n`` for several word lengths in one pass over the contigs; a zero row per genome and length keeps empty genomes."""
+    frame = contigs.select("genome_id", "seq")
+    schema = T.StructType([frame.schema["genome_id"], T.StructField("k", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+    counters = [(k, _partial_counts(k, double_strand, ["genome_id", "code", "n"])) for k in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, count in counters:
+                for part in count(iter([batch])):
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(part.num_rows, k, np.int32)), part.column(1), part.column(2)], names=schema.fieldNames())
+
+    return frame.mapInArrow(run, schema).groupBy("genome_id", "k", "code").agg(F.sum("n").alias("n"))
+
+
 def kmer_text(code, k):
     """The bases of a k-mer code."""
     code = F.col(code) if isinstance(code, str) else code
@@ -139,8 +154,8 @@ def kmer_code(text):
     return F.conv(F.translate(text, "ACGT", "0123"), 4, 10).cast("long")
 
 
-def dense_profile(counts: DataFrame, k, value="n") -> DataFrame:
-    """``genome_id, sig``: one array of ``4^k`` values per genome, zero where a k-mer is absent."""
+def dense_profile(counts: DataFrame, k, value="n", share=False) -> DataFrame:
+    """``genome_id, sig``: one array of ``4^k`` values per genome, zero where a k-mer is absent; with ``share`` they are divided by their sum."""
     size = 4 ** k
     sparse = counts.groupBy("genome_id").agg(F.collect_list(F.struct("code", F.col(value).cast("double").alias("v"))).alias("held"))
     schema = T.StructType([counts.schema["genome_id"], T.StructField("sig", T.ArrayType(T.DoubleType()))])
@@ -154,6 +169,9 @@ def dense_profile(counts: DataFrame, k, value="n") -> DataFrame:
                 rows = np.repeat(np.arange(len(part)), np.asarray(part.value_lengths()))
                 dense = np.zeros((len(part), size))
                 dense[rows, np.asarray(entries.field("code"))] = np.asarray(entries.field("v"))
+                if share:
+                    total = dense.sum(axis=1, keepdims=True)
+                    dense /= np.where(total > 0, total, 1.0)
                 ends = pa.array(np.arange(0, dense.size + 1, size, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(ends, pa.array(dense.ravel()))],

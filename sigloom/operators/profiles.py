@@ -8,7 +8,7 @@ from sigloom.operators.pairs import PairJob
 def _positions(sigs, by, weight_col=None):
     """Long form ``by…, pos, x, w``; partial sums per position are combined before the shuffle."""
     weight = F.col(weight_col) if weight_col else F.lit(1.0)
-    return sigs.select(*by, weight.alias("w"), F.posexplode("sig").alias("pos", "x"))
+    return sigs.select(*by, weight.alias("w"), F.posexplode_outer("sig").alias("pos", "x")).where("pos is not null")
 
 
 def _gather(stats, by, columns):

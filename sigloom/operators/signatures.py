@@ -13,10 +13,9 @@ def counts_signature(contigs: DataFrame, k=4, double_strand=True) -> DataFrame:
 
 
 def frequency_signature(contigs, k=4, double_strand=True):
-    counts = counts_signature(contigs, k, double_strand)
-    total = F.aggregate("sig", F.lit(0.0), lambda s, x: s + x)
-    return counts.withColumn("_total", total).select(
-        "id", F.transform("sig", lambda x: F.coalesce(F.try_divide(x, F.col("_total")), F.lit(0.0))).alias("sig"))
+    """Shares of the k-mers; a genome without any keeps an all-zero vector."""
+    counts = kmers.kmer_counts(contigs, k, double_strand=double_strand, keep_empty=True)
+    return kmers.dense_profile(counts, k, share=True).withColumnRenamed("genome_id", "id")
 
 
 def karlin_signature(contigs, k=4, double_strand=True):
@@ -37,9 +36,9 @@ def markov_signature(contigs, k=4, double_strand=True):
 
 def markov_independent_signature(contigs, k=4, double_strand=True):
     _at_least_three(k)
-    whole, shorter, middle = (counts_signature(contigs, k - d, double_strand).withColumnRenamed("sig", f"sig{d}") for d in range(3))
-    return whole.join(shorter, "id").join(middle, "id").select(
-        "id", composition.markov_profile_independent("sig0", "sig1", "sig2", k).alias("sig"))
+    counts = kmers.kmer_counts_of(contigs, (k, k - 1, k - 2), double_strand=double_strand)
+    held = counts.groupBy("genome_id").agg(F.collect_list(F.struct("k", "code", F.col("n").cast("double").alias("v"))).alias("held"))
+    return composition.markov_from_counts(held, k).withColumnRenamed("genome_id", "id")
 
 
 def gc_signature(contigs, k=1, double_strand=True):

@@ -231,11 +231,13 @@ def ancestor_lineages(nodes: DataFrame, max_rounds=32) -> DataFrame:
     walk = nodes.select("name", F.when(~root, F.col("parent")).alias("up"), slots.alias("lineage"))
     walk = cut_lineage(walk)
     for _ in range(max_rounds):
+        # rows that have reached their root leave the join: their NULL would be one key for nearly all rows in the late rounds
         above = walk.select(F.col("name").alias("up"), F.col("up").alias("_up2"), F.col("lineage").alias("_above"))
-        joined = walk.join(above, "up", "left")
+        joined = walk.where(F.col("up").isNotNull()).join(above, "up", "left")
         merged = F.when(F.col("_above").isNull(), F.col("lineage")).otherwise(
             F.zip_with("_above", "lineage", lambda high, low: F.coalesce(high, low)))
-        walk = cut_lineage(joined.select("name", F.col("_up2").alias("up"), merged.alias("lineage")))
+        moved = joined.select("name", F.col("_up2").alias("up"), merged.alias("lineage"))
+        walk = cut_lineage(walk.where(F.col("up").isNull()).unionByName(moved))
         if walk.where(F.col("up").isNotNull()).isEmpty():
             return walk.select("name", "lineage")
     raise ValueError("the parent chain does not end: the tree has a cycle")
@@ -287,6 +289,7 @@ def include_exclude(sigs: DataFrame, include=(), exclude=(), name_cols=("name",)
     return sigs
 
 
+WEIGHT_SALTS = 16
 WEIGHT_RANKS = {"subspecies": 7, "subgroup": 7, **{r: i for i, r in enumerate(RANKS[:7]) if i > 0}}
 
 
@@ -294,13 +297,13 @@ def genome_weights(sigs: DataFrame, rank="species", approach="identity") -> Data
     """Add ``weight``, which shrinks with the number of genomes sharing the lineage through ``rank``.
 
     ``identity`` 1/n, ``sqrt`` 1/sqrt(n), ``log`` 1/ln(n), ``no_single`` 1/ln(n) above one else 0, an integer ``m`` 1/ln(n) from ``m`` genomes on
-    else 0.  A logarithm of one leaves the weight NULL.  Group sizes are counted with map-side partial sums and joined back,
-    so a dominating group is never gathered in one place.
+    else 0.  A logarithm of one leaves the weight NULL.  Group sizes are counted with map-side partial sums and joined back
+    over ``WEIGHT_SALTS`` copies of each group, so a dominating group is spread over that many tasks; rows without the rank need no join.
     """
     through = WEIGHT_RANKS[rank]
     key = F.when(F.get("lineage", F.lit(through)).isNotNull(),
                  F.concat_ws("\u0001", *[F.coalesce(F.get("lineage", F.lit(r)), F.lit("")) for r in range(through + 1)]))
-    keyed = sigs.withColumn("_key", key)
+    keyed = sigs.withColumn("_key", key).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(WEIGHT_SALTS)))
     sizes = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count("*").alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(1)).cast("double")
     log_share = F.when(n > 1, 1.0 / F.log(n))
@@ -315,4 +318,7 @@ def genome_weights(sigs: DataFrame, rank="species", approach="identity") -> Data
     else:
         least = int(approach)
         weight = F.when(n >= (least if least > 0 else 2), log_share).otherwise(0.0)
-    return keyed.join(sizes, "_key", "left").withColumn("weight", weight).drop("_key", "_n")
+    copies = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WEIGHT_SALTS - 1).cast("long"))))
+    known = keyed.where(F.col("_key").isNotNull()).join(copies, ["_key", "_salt"])
+    alone = keyed.where(F.col("_key").isNull()).withColumn("_n", F.lit(1).cast("long"))
+    return known.unionByName(alone).withColumn("weight", weight).drop("_key", "_salt", "_n")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sigloom.functions import hashing, sequences as Q
-from sigloom.functions.sequences import _codon_map
 from sigloom.operators import kmers, signatures as S, sketch
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
@@ -71,7 +70,8 @@ NUDGE = 1e-9  # many ratios are exact binary fractions; moves them off the round
 
 def by_kmer(sigs, k, value, extra_tail=False):
     """Dense profiles as one row per k-mer."""
-    rows = sigs.select(F.col("id").alias("genome_id"), F.posexplode("sig").alias("pos", "v"))
+    # the outer form: the plain one adds a filter on the array's size, which would run the kernel a second time
+    rows = sigs.select(F.col("id").alias("genome_id"), F.posexplode_outer("sig").alias("pos", "v")).where("pos is not null")
     text = kmers.kmer_text(F.col("pos").cast("long"), k)
     if extra_tail:
         text = F.when(F.col("pos") == 4 ** k, "total").otherwise(text)
@@ -161,7 +161,7 @@ def kmer_canonical(spark, d):
 select genome_id, (row_number() over (partition by genome_id order by kmer) - 1)::bigint as pos, n from c_f where kmer <= {_RC.format(x='kmer')}""")
 def canonical_profile(spark, d):
     kept = S.canonical_signature(S.counts_signature(conversation_contigs(spark, d), 2), 2)
-    return kept.select(F.col("id").alias("genome_id"), F.posexplode("sig").alias("p", "n")).select("genome_id", F.col("p").cast("long").alias("pos"), "n")
+    return kept.select(F.col("id").alias("genome_id"), F.posexplode_outer("sig").alias("p", "n")).where("p is not null").select("genome_id", F.col("p").cast("long").alias("pos"), "n")
 
 
 @query("frequency_profile", f"""with {counts_sql(2, CONV_N)}, {full_sql(2)}
@@ -284,8 +284,8 @@ def gc_pairs(spark, d):
 
 
 @query("search_documents", f"""with {counts_sql(2, DOCS, name='r')}, {full_sql(2, 'r')},
-rt as (select genome_id, sum(n) as total from r_f group by 1 having sum(n) > 0),
-rv as (select genome_id as id, list(n / total order by kmer) as sig from r_f join rt using (genome_id) group by 1),
+rt as (select genome_id, sum(n) as total from r_f group by 1),
+rv as (select genome_id as id, list(coalesce(n / nullif(total, 0), 0) order by kmer) as sig from r_f join rt using (genome_id) group by 1),
 qs as (select item_id as genome_id, {_COMPACT} as seq from benchmark),
 qo as (select genome_id, unnest([substr(seq, i, 2) for i in range(1, length(seq))]) as kmer from qs),
 qb as (select * from qo union all select genome_id, {_RC.format(x='kmer')} from qo),
@@ -294,8 +294,8 @@ qf as (select genome_id, r_k.kmer, coalesce(n, 0) / total as f from qt cross joi
 qv as (select genome_id as id, list(f order by kmer) as sig from qf group by 1)
 select rv.id as id_a, qv.id as id_b, round(list_sum(list_transform(list_zip(rv.sig, qv.sig), lambda x: abs(x[1] - x[2]))), 6) as dist from rv cross join qv""")
 def search_documents(spark, d):
-    """Every reference document against every benchmark query; documents without a 2-mer have no profile."""
-    refs = S.frequency_signature(document_contigs(spark, d), 2).where(F.exists("sig", lambda x: x > 0))
+    """Every reference document against every benchmark query; a document without a 2-mer has an all-zero profile."""
+    refs = S.frequency_signature(document_contigs(spark, d), 2)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("genome_id"), Q.compact("text").alias("seq"))
     return rounded(PairJob(refs, "manhattan", queries=S.frequency_signature(asked, 2)).pairs())
 
@@ -338,15 +338,17 @@ def minhash_ani_pairs(spark, d):
 
 
 @query("minhash_identity_pairs", f"""with {_SKETCH},
-l as (select genome_id as id, list(hash order by hash) as h from kept group by 1 having count(*) = 50),
+g as (select t0.id, coalesce(list(hash order by hash) filter (where hash is not null), []) as h from (select distinct genome_id as id from t) t0
+      left join kept on kept.genome_id = t0.id group by 1),
+l as (select id, h, case when len(h) = 50 then h[50] else 9223372036854775807 end as top from g),
 pr as (select a.id as id_a, b.id as id_b, len(list_intersect(a.h, b.h)) as shared,
-    len(list_filter(a.h, lambda x: x <= least(a.h[50], b.h[50]))) + len(list_filter(b.h, lambda x: x <= least(a.h[50], b.h[50]))) as n
+    len(list_filter(a.h, lambda x: x <= least(a.top, b.top))) + len(list_filter(b.h, lambda x: x <= least(a.top, b.top))) as n
   from l a join l b on a.id < b.id)
-select id_a, id_b, round(case when shared = 0 then 0.0 else 100 + 100 * ln(2.0 * shared / n) / 7 end, 6) as dist from pr""")
+select id_a, id_b, round(case when shared = 0 then 0.0 else 100 + 100 * ln(2.0 * shared / n) / 7 end, 6) as dist from pr where n > 0""")
 def minhash_identity_pairs(spark, d):
-    """Percent identity of the genomes whose sketch is full."""
-    full = sketch.minhash_signature(conversation_contigs(spark, d), 7, 50, 2).where(F.size("sig") == 50)
-    return rounded(PairJob(full, "approxANI", theta=7.0, sketch_size=50, common_format=True).pairs())
+    """Percent identity of all genomes by their sketches."""
+    sketches = sketch.minhash_signature(conversation_contigs(spark, d), 7, 50, 2)
+    return rounded(PairJob(sketches, "approxANI", theta=7.0, sketch_size=50, common_format=True).pairs())
 
 
 _BYTES = "[ascii(x)::hugeint for x in string_split(c_name, '')]"
@@ -395,11 +397,14 @@ def reverse_complement(spark, d):
         "genome_id", "ord", Q.reverse_complement("seq").alias("rc"), Q.complement("seq").alias("comp"), Q.subsequence("seq", 5, 20).alias("sub"))
 
 
-_MAP = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in _codon_map().items()) + "}"
+# fixed values: the standard genetic code with its codons in the order T, C, A, G
+_CODE = "FFLLSSSSYYXXCCXWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
 def _protein(s):
-    return f"array_to_string([coalesce({_MAP}[substr({s}, i, 3)], 'X') for i in range(1, length({s}) - 1, 3)], '')"
+    at = " + ".join(f"{w} * (strpos('TCAG', substr({s}, i + {p}, 1)) - 1)" for p, w in ((0, 16), (1, 4), (2, 1)))
+    return f"""array_to_string([case when strpos(substr({s}, i, 3), 'N') > 0 then 'X' else substr('{_CODE}', ({at} + 1)::int, 1) end
+  for i in range(1, length({s}) - 1, 3)], '')"""
 
 
 
@@ -441,13 +446,25 @@ def subseq_search_plain(spark, d):
 
 @query("cut_between", f"""with {CONV}, f as (select genome_id, ord, unnest(regexp_extract_all(seq, '[AN][CN].*?[GN][TN]')
   || regexp_extract_all({_RC.format(x='seq')}, '[AN][CN].*?[GN][TN]')) as piece from t)
-select genome_id, ord, left(piece, 15) as piece, count(*) as n from f group by all""")
+select genome_id, ord, piece, count(*) as n from f where length(piece) <= 15 group by all""")
 def cut_between(spark, d):
+    """Pieces with both markers; longer ones than 15 bases are left out."""
     pieces = conversation_contigs(spark, d).select(
         "genome_id", "ord", F.explode(Q.cut_between_both_strands("seq", "AC", "GT", 15)).alias("piece"))
     return pieces.groupBy("genome_id", "ord", "piece").agg(F.count("*").alias("n"))
 
 
+@query("cut_open_ended", f"""with {CONV}, f as (select genome_id, ord, 'end' as open, left(piece, 15) as piece from (select genome_id, ord, unnest(regexp_extract_all(seq, '[AN][CN].*?(?:[GN][TN]|$)')) as piece from t)
+  union all select genome_id, ord, 'begin', right(piece, 15) from (select genome_id, ord, unnest(regexp_extract_all(seq, '.*?[GN][TN]')) as piece from t))
+select genome_id, ord, open, piece, count(*) as n from f group by all""")
+def cut_open_ended(spark, d):
+    """Pieces that may lack one marker; longer ones keep 15 bases at the other."""
+    contigs = conversation_contigs(spark, d)
+    parts = [contigs.select("genome_id", "ord", F.lit(name).alias("open"), F.explode(Q.cut_between("seq", "AC", "GT", 15, **flags)).alias("piece"))
+             for name, flags in (("end", {"require_end": False}), ("begin", {"require_begin": False}))]
+    return parts[0].unionByName(parts[1]).groupBy("genome_id", "ord", "open", "piece").agg(F.count("*").alias("n"))
+
+
 @query("pack_two_bit", f"""with {CONV}, g as (select genome_id, ord, unnest(range(0, (length(seq) + 3) // 4)) as b, rpad(seq, ((length(seq) + 3) // 4 * 4)::int, 'A') as seq from t),
 h as (select genome_id, ord, b, printf('%02X', (list_sum([(strpos('ACGT', substr(seq, b * 4 + i + 1, 1)) - 1) * (64 // (4 ** i)::int) for i in range(0, 4)]))::int) as byte from g)
 select t.genome_id, t.ord, coalesce(string_agg(byte, '' order by b), '') as packed from t left join h using (genome_id, ord) group by all""")

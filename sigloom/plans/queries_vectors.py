@@ -243,7 +243,7 @@ def _long(df, *columns):
     """One row per element, which compares as plain numbers."""
     zipped = F.arrays_zip(*columns)
     others = [c for c in df.columns if c not in columns]
-    return df.select(*others, F.posexplode(zipped).alias("pos", "_z")).select(
+    return df.select(*others, F.posexplode_outer(zipped).alias("pos", "_z")).where("pos is not null").select(
         *others, F.col("pos").cast("long").alias("pos"), *[F.round(F.col(f"_z.{c}"), 6).alias(c) for c in columns])
 
 
