@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sigloom.functions.kernels import method_named
 from sigloom.model import N_RANKS
@@ -368,6 +368,29 @@ def _forest_edges(u, v, n):
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+def _smallest(owner, dist, order, k):
+    """Positions of the ``k`` smallest ``(dist, order)`` of every owner."""
+    at = np.lexsort((order, dist, owner))
+    first = np.flatnonzero(np.r_[True, owner[at][1:] != owner[at][:-1]]) if len(at) else np.zeros(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return at[rank < k]
+
+
+def _emit_topk(spec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, _ = _tile_sides(batches, spec)
+        if not left.n or not right.n:
+            return
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for a, b, _, dist in _compare(left, right, False, spec):
+            known = ~np.isnan(dist)
+            i, j, d = np.concatenate((i, a[known])), np.concatenate((j, b[known])), np.concatenate((d, dist[known]))
+            keep = _smallest(j, d, left.order[i], spec["k"])  # what a block leaves out, k others of its query have beaten
+            i, j, d = i[keep], j[keep], d[keep]
+        yield pa.RecordBatch.from_arrays([right.ids.take(pa.array(j)), left.ids.take(pa.array(i)), pa.array(left.order[i]), pa.array(d)], names=spec["names"])
+    return run
+
+
 def _emit_forest(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, same = _tile_sides(batches, spec)
@@ -476,6 +499,19 @@ class PairJob:
         partial = self._run(_emit_histogram, schema, weighted=weighted, bin_width=bin_width, round_bins=rounding)
         return partial.groupBy("bin", "relation").agg(F.sum("weight").alias("weight"))
 
+    def search_topk(self, k):
+        """``query_id, rank, id, dist``: the ``k`` closest rows of every query, the earlier row on equal distances.
+
+        A tile sends at most ``k`` rows per query, so the result and what is shuffled for it do not grow with the pairs.
+        """
+        if self.queries is None:
+            raise ValueError("a top-k search needs queries")
+        order_type = self.frame.schema[self.order_col].dataType
+        schema = T.StructType([T.StructField("query_id", self._id_type()), T.StructField("id", self._id_type()), T.StructField("ord", order_type), T.StructField("dist", T.DoubleType())])
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "ord"))
+        found = self._run(_emit_topk, schema, k=k)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
+
     def forest(self):
         """``id_a, id_b, dist``: of each tile only the edges of its own minimum spanning forest.
 

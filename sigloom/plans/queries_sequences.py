@@ -30,6 +30,7 @@ _CONV = "conv_id as genome_id, turn::bigint as ord, conv_id::varchar || '.' || r
 CONV = f"t as (select {_CONV}, {_COMPACT} as seq from conversations)"
 CONV_N = f"t as (select {_CONV}, {_DECODE} as seq from conversations)"
 DOCS = f"t as (select doc_id as genome_id, 0::bigint as ord, doc_id::varchar as name, {_COMPACT} as seq from documents)"
+_SOME = f"t as (select item_id as genome_id, {_COMPACT} as seq from benchmark)"
 _RC = "reverse(translate({x}, 'ACGT', 'TGCA'))"
 
 
@@ -185,6 +186,13 @@ def karlin_k3(spark, d):
     return by_kmer(S.karlin_signature(conversation_contigs(spark, d), 3), 3, "rho")
 
 
+@query("karlin_k6", f"with {karlin_sql(6, _SOME)} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl")
+def karlin_k6(spark, d):
+    """The word length of the largest preset, over the benchmark texts."""
+    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("genome_id"), Q.compact("text").alias("seq"))
+    return by_kmer(S.karlin_signature(texts, 6), 6, "rho")
+
+
 @query("karlin_single_strand", f"with {karlin_sql(2).replace(counts_sql(2), counts_sql(2, both=False))} select genome_id, kmer, round(rho + 1e-9::double, 6) as rho from karl")
 def karlin_single_strand(spark, d):
     return by_kmer(S.karlin_signature(conversation_contigs(spark, d), 2, double_strand=False), 2, "rho")
@@ -300,6 +308,22 @@ def search_documents(spark, d):
     return rounded(PairJob(refs, "manhattan", queries=S.frequency_signature(asked, 2)).pairs())
 
 
+@query("search_topk_documents", f"""with {counts_sql(2, DOCS, name='r')}, {full_sql(2, 'r')},
+rv as (select genome_id as id, list(n order by kmer) as sig from r_f group by 1),
+qs as (select item_id as genome_id, {_COMPACT} as seq from benchmark),
+qo as (select genome_id, unnest([substr(seq, i, 2) for i in range(1, length(seq))]) as kmer from qs),
+qb as (select * from qo union all select genome_id, {_RC.format(x='kmer')} from qo),
+qc as (select genome_id, kmer, count(*) as n from qb group by all),
+qv as (select g.genome_id as id, list(coalesce(n, 0)::double order by r_k.kmer) as sig from qs g cross join r_k left join qc on qc.genome_id = g.genome_id and qc.kmer = r_k.kmer group by 1),
+pr as (select qv.id as query_id, rv.id as id, list_sum(list_transform(list_zip(rv.sig, qv.sig), lambda x: abs(x[1] - x[2]))) as dist from rv cross join qv)
+select query_id, (row_number() over (partition by query_id order by dist, id))::integer as rank, id, dist from pr qualify rank <= 5""")
+def search_topk_documents(spark, d):
+    """The five documents closest to each benchmark text by their counts of two bases."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("genome_id"), Q.compact("text").alias("seq"))
+    refs = S.counts_signature(document_contigs(spark, d), 2)
+    return PairJob(refs, "manhattan", queries=S.counts_signature(asked, 2)).search_topk(5)
+
+
 # ---------------------------------------------------------------- sketches
 
 
@@ -314,9 +338,13 @@ def _hash_sql(k):
     return f"select genome_id, ((h0 * 25214903917 + 1) % 281474976710656 % 281474976710655)::bigint as hash from ({out})"
 
 
-_SKETCH = f"""{counts_sql(7, both=False)}, canon as (select genome_id, least(kmer, {_RC.format(x='kmer')}) as m from c),
-hashed as (select distinct genome_id, hash from ({_hash_sql(7)}) where hash % 2 = 0),
-kept as (select genome_id, hash from hashed qualify row_number() over (partition by genome_id order by hash) <= 50)"""
+def _sketch_sql(k, size, modulus, source=CONV):
+    return f"""{counts_sql(k, source, both=False)}, canon as (select genome_id, least(kmer, {_RC.format(x='kmer')}) as m from c),
+hashed as (select distinct genome_id, hash from ({_hash_sql(k)}) where hash % {modulus} = 0),
+kept as (select genome_id, hash from hashed qualify row_number() over (partition by genome_id order by hash) <= {size})"""
+
+
+_SKETCH = _sketch_sql(7, 50, 2)
 
 
 @query("minhash_sketch", f"with {_SKETCH} select * from kept")
@@ -324,6 +352,12 @@ def minhash_sketch(spark, d):
     return sketch.kept_hashes(conversation_contigs(spark, d), 7, 50, 2)
 
 
+@query("minhash_sketch_default", f"with {_sketch_sql(21, 3000, 44, DOCS)} select * from kept")
+def minhash_sketch_default(spark, d):
+    """Sketches of all documents with the default word length, size and thinning."""
+    return sketch.kept_hashes(document_contigs(spark, d))
+
+
 @query("minhash_ani_pairs", f"""with {_SKETCH},
 g as (select t0.id, coalesce(list(hash order by hash) filter (where hash is not null), []) as h from (select distinct genome_id as id from t) t0
       left join kept on kept.genome_id = t0.id group by 1),

@@ -59,7 +59,16 @@ def single_linkage_cut(spark, d):
     return cluster.cut_tree(merges, leaves, leaves.count(), middle)
 
 
-@query("single_linkage_text")
+@query("single_linkage_text", _MERGE + """, m as (select n + step - 1 as node, l, r, h, c from st, size where step > 0),
+down(node, up, first, depth) as (select max(node), null::bigint, 0::bigint, 0::bigint from m
+  union all
+  select case when side = 0 then m.l else m.r end, m.node, first + case when side = 0 then 0 else coalesce(lc.c, 1) end, depth + 1
+  from down join m using (node) left join m lc on lc.node = m.l cross join (values (0), (1)) s(side)),
+t as (select down.*, coalesce(m.c, 1) as span, m.h, m.r, coalesce(printf(':%.6f', pm.h / 2), ';') as len from down left join m using (node) left join m pm on pm.node = down.up)
+select first as pos, 0 as phase, depth::double as key, '(' as token from t where h is not null
+union all select first + span - 1, 2, -depth::double, ')C' || node || '-' || printf('%.6f', h) || len from t where h is not null
+union all select first, 1, 0.0::double, s_name || len from t join supplier on s_suppkey = node where h is null
+union all select x.first, 0, t.depth + 0.5::double, ',' from t join t x on x.node = t.r where t.h is not null""")
 def single_linkage_text(spark, d):
     leaves = _suppliers(spark, d)
     return cluster.newick_tokens(cluster.single_linkage(_supplier_pairs(spark, d), leaves), leaves, leaves.count())
@@ -199,7 +208,24 @@ def high_deltas(spark, d):
 # ---------------------------------------------------------------- alignment and genes
 
 
-@query("edit_identity")
+# Costs, identities and lengths are one number, as in any order of importance: cost * 2^40 - identities * 2^20 + length.
+_EDIT = f"""with recursive {CONV}, p as (select a.genome_id, a.ord, a.seq as q, b.seq as t from t a join t b on a.genome_id = b.genome_id and b.ord = a.ord + 1),
+unit as (select 1099511627776::bigint as c, 1048576::bigint as b, 2305843009213693952::bigint as far),
+dp(genome_id, ord, q, t, i, line, above) as (
+  select genome_id, ord, q, t, 0, list_transform(range(length(t) + 1), lambda j: j * (c + 1)), list_transform(range(length(t) + 1), lambda j: far) from p, unit
+  union all
+  select genome_id, ord, q, t, i + 1, list_transform(list_zip(fresh, list_slice(reach, 1, len(fresh)), range(length(t) + 1)), lambda x: case when x[3] = 0 then x[1] else least(x[1], x[2] + x[3] * (c + 1) + 2 * c) end), v
+  from (select *, list_reduce(list_prepend([far], list_transform(list_zip(fresh, range(length(t) + 1)), lambda x: [x[1] - x[2] * (c + 1)])),
+      lambda acc, x: list_append(acc, least(acc[len(acc)], x[1]))) as reach
+    from (select *, list_transform(range(length(t) + 1), lambda j: case when j = 0 then (i + 1) * (c + 1) else
+        least(line[j] + case when substr(t, j, 1) = substr(q, i + 1, 1) then 1 - b else 2 * c + 1 end, v[j + 1]) end) as fresh
+      from (select dp.*, c, b, far, list_transform(list_zip(line, above), lambda x: least(x[1] + 3 * c + 1, x[2] + c + 1)) as v from dp, unit where i < length(q)))))
+select genome_id, ord, cost, identities, value - cost * c + identities * b as length from (
+  select *, ((cost * c - value + b - 1) // b)::bigint as identities from (
+    select genome_id, ord, c, b, line[len(line)] as value, ((line[len(line)] + c // 2) // c)::bigint as cost from dp, unit where i = length(q)))"""
+
+
+@query("edit_identity", _EDIT)
 def edit_identity(spark, d):
     """Alignment of every turn with the next one of its conversation."""
     turns = conversation_contigs(spark, d)
@@ -268,6 +294,13 @@ def tabular_identity(spark, d):
     return genes.tabular_identity(hits).withColumn("dist", F.round(F.col("dist") + NUDGE, 6))
 
 
+@query("f_distribution_few", "select p_partkey, round(sqrt((p_size / 50.0) / (1 + p_size / 50.0)), 6) as p, round(1 - 1 / (1 + p_size / 50.0), 6) as q from part")
+def f_distribution_few(spark, d):
+    """Closed forms again: 1 and 2 degrees of freedom, and 2 and 2."""
+    at = F.col("p_size") / F.lit(50.0)
+    return table(spark, d, "part").select("p_partkey", F.round(f_distribution_cdf(at * 2, 1.0, 2.0), 6).alias("p"), F.round(f_distribution_cdf(at, 2.0, 2.0), 6).alias("q"))
+
+
 @query("f_distribution", "select p_partkey, round(1 - pow(1 + p_size / 4.0, -2.0), 6) as p from part")
 def f_distribution(spark, d):
     """For 2 and 4 degrees of freedom the distribution has a closed form."""

@@ -83,6 +83,16 @@ def manhattan_pairs(spark, d):
     return rounded(PairJob(embeddings(spark, d), "AMD").pairs())
 
 
+@query("manhattan_pairs_per_dim", pair_sql("abs(x[1]-x[2])", "{s} / len(a.sig)", "p", P_SQL))
+def manhattan_pairs_per_dim(spark, d):
+    return rounded(PairJob(supplier_profiles(spark, d), "manhattan", scale="dims").pairs())
+
+
+@query("euclid_sq_pairs_by_dim", pair_sql("(x[1]-x[2])*(x[1]-x[2])", "{s} * len(a.sig) * len(a.sig)", "p", P_SQL))
+def euclid_sq_pairs_by_dim(spark, d):
+    return rounded(PairJob(supplier_profiles(spark, d), "euclid", scale="inverse_dims").pairs())
+
+
 @query("manhattan_pairs_scaled", pair_sql("abs(x[1]-x[2])", "{s} * 2.0 / (list_avg(a.sig) + list_avg(b.sig))", "p", P_SQL))
 def manhattan_pairs_scaled(spark, d):
     return rounded(PairJob(supplier_profiles(spark, d), "manhattan", scale="mean").pairs())
