@@ -64,22 +64,44 @@ def plan_of(args) -> ComparePlan:
         include_self=not (args.ordered or args.sort_by_distance), signature=signature)
 
 
+SAVED = (".sig", ".sdb")
+_IN_FILE = 1 << 20  # places in the order that a file with several signatures has
+
+
+def _bare(path):
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def _built(spark, paths, plan, args):
+    """``filepath, pos, name, sig`` of sequence files."""
+    contigs = fasta.validate(fasta.filter_short(fasta.read_fasta(spark, paths), args.filtershort)).withColumn("genome_id", F.col("path"))
+    panel = None
+    if args.genes:
+        panel = fasta.validate(fasta.read_fasta(spark, args.genes)).select(F.col("ord").alias("gene_id"), F.col("seq").alias("gene"))
+    sigs = plan.signature.build(contigs, panel).withColumn("filepath", _bare("id"))
+    return sigs.select("filepath", F.lit(0).cast("long").alias("pos"), fasta.genome_name("filepath").alias("name"), "sig")
+
+
+def _loaded(spark, paths):
+    """``filepath, pos, name, sig`` of saved signatures; one file may hold many."""
+    found = signature_store.read_binary(spark, paths).withColumn("filepath", _bare("path"))
+    return found.select("filepath", "pos", F.when(F.col("name") != "", F.col("name")).otherwise(fasta.genome_name("filepath")).alias("name"), "sig")
+
+
 def signatures_of(spark, files, plan, args):
-    """``id, name, filepath, ord, sig[, lineage]`` of the listed genomes."""
+    """``id, name, filepath, ord, sig[, lineage]`` of the listed genomes, from sequences or from saved signature files."""
     paths = [r["path"] for r in files.orderBy("ord").select("path").toLocalIterator()]
     present = file_lists.existing(spark, paths)
     for missing in sorted(set(paths) - set(present)):
         log.warning("%s does not exist and is skipped", missing)
     if not present:
         raise SystemExit("no input files")
-    contigs = fasta.validate(fasta.filter_short(fasta.read_fasta(spark, present), args.filtershort)).withColumn("genome_id", F.col("path"))
-    panel = None
-    if args.genes:
-        panel = fasta.validate(fasta.read_fasta(spark, args.genes)).select(F.col("ord").alias("gene_id"), F.col("seq").alias("gene"))
-    sigs = plan.signature.build(contigs, panel)
-    order = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_p"), "ord")
-    sigs = sigs.withColumn("filepath", F.regexp_replace("id", "^file:/*", "/"))
-    sigs = sigs.join(order, sigs["filepath"] == order["_p"]).drop("_p", "id").withColumn("name", fasta.genome_name("filepath"))
+    saved = [p for p in present if p.lower().endswith(SAVED)]
+    fresh = [p for p in present if not p.lower().endswith(SAVED)]
+    parts = ([_built(spark, fresh, plan, args)] if fresh else []) + ([_loaded(spark, saved)] if saved else [])
+    sigs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    order = files.select(_bare("path").alias("_p"), F.col("ord").alias("_file"))
+    sigs = sigs.join(order, sigs["filepath"] == order["_p"]).withColumn("ord", F.col("_file") * _IN_FILE + F.col("pos")).drop("_p", "_file", "pos")
     if args.taxonomy:
         path, form = args.taxonomy
         if form == "NCBI":
@@ -96,6 +118,28 @@ def signatures_of(spark, files, plan, args):
     return sigs.withColumn("id", F.col("ord"))
 
 
+def _clustered(args, pairs, ranked, names):
+    """Write the tree that ``-u`` asks for, and give the order of the matrix: that of single linkage with ``-r``, else unchanged."""
+    leaves = ranked.select(F.col("ord").alias("id"), F.col("id").alias("_raw")).join(names.withColumnRenamed("id", "_raw"), "_raw")
+    dense = ranked.select("id", F.col("ord").alias("_n"))
+    ends = [dense.select(F.col("id").alias(f"id_{e}"), F.col("_n").alias(f"n{e}")) for e in "ab"]
+    off = cut_lineage(pairs.where(F.col("id_a") != F.col("id_b")).join(ends[0], "id_a").join(ends[1], "id_b").select(
+        F.col("na").alias("id_a"), F.col("nb").alias("id_b"), "dist"))
+    n, single = leaves.count(), None
+    if args.sort_by_distance or args.clustering == "single":
+        single = cluster.single_linkage(off, leaves, n)
+        found = cluster.single_linkage_clusters(single).first() if not single.isEmpty() else None
+        log.info("the matrix seems to have about %d clusters", found["clusters"] if found else n)
+    if args.clustering:
+        merges = single if args.clustering == "single" else cluster.ward_linkage(off, leaves)
+        branches = cluster.ward_branches(merges, n) if args.clustering == "ward" else None
+        cluster.write_newick(cluster.newick_tokens(merges, leaves, n, branches), f"{args.output}.tre")
+    if not args.sort_by_distance:
+        return ranked
+    places = cluster.leaf_order(single, leaves, n).withColumnRenamed("id", "_n")
+    return dense.join(places, "_n").select("id", F.col("pos").alias("ord"))
+
+
 def run(spark, args):
     plan = plan_of(args)
     inputs = list(args.inputs)
@@ -108,7 +152,7 @@ def run(spark, args):
     queries = None
     if search and search.endswith(".signatures"):
         saved = signature_store.load(spark, search)
-        queries = saved.withColumn("ord", F.col("ord") + file_lists.SEARCH_OFFSET).withColumn("id", F.col("ord"))
+        queries = saved.withColumn("ord", F.col("ord") + file_lists.SEARCH_OFFSET * _IN_FILE).withColumn("id", F.col("ord"))
     elif search:
         queries = signatures_of(spark, file_lists.listed_files(spark, search=search), plan, args)
     names = sigs.select("id", "name") if queries is None else sigs.select("id", "name").unionByName(queries.select("id", "name"))
@@ -120,19 +164,10 @@ def run(spark, args):
         pairs = cut_lineage(plan.with_(include_self=True, include=(), exclude=(), weights=None).job(prepared).pairs())
         ranked = cluster._ranked(prepared.select(F.col("ord").alias("dist"), F.col("id").alias("id_a"), F.lit(0).alias("id_b"))).select(
             F.col("id_a").alias("id"), F.col("rank").alias("ord"))
-        if args.clustering:
-            merge = cluster.ward_linkage if args.clustering == "ward" else cluster.single_linkage
-            leaves = ranked.select(F.col("ord").alias("id"), F.col("id").alias("_raw")).join(names.withColumnRenamed("id", "_raw"), "_raw")
-            dense = ranked.select("id", F.col("ord").alias("_n"))
-            off = pairs.where(F.col("id_a") != F.col("id_b")).join(dense.select(F.col("id").alias("id_a"), F.col("_n").alias("na")), "id_a").join(
-                dense.select(F.col("id").alias("id_b"), F.col("_n").alias("nb")), "id_b").select(F.col("na").alias("id_a"), F.col("nb").alias("id_b"), "dist")
-            merges, n = merge(off, leaves), leaves.count()
-            branches = cluster.ward_branches(merges, n) if args.clustering == "ward" else None
-            cluster.write_newick(cluster.newick_tokens(merges, leaves, n, branches), f"{args.output}.tre")
-            places = cluster.leaf_order(merges, leaves, n).withColumnRenamed("id", "_n")
-            ranked = dense.join(places, "_n").select("id", F.col("pos").alias("ord"))
+        if args.clustering or args.sort_by_distance:
+            ranked = _clustered(args, pairs, ranked, names)
         labels = ranked.join(names, "id")
-        lines = reports.matrix_lines(pairs, labels)
+        lines = reports.matrix_header(labels).unionByName(reports.matrix_lines(pairs, labels))
         lines.orderBy("ord").select("line").write.mode("overwrite").text(args.output)
     else:
         found = plan.job(plan.prepare(sigs), queries).pairs()

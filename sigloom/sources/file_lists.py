@@ -20,9 +20,14 @@ def listed_files(spark, list_path=None, extra=(), search=None) -> DataFrame:
 
 
 def existing(spark, paths):
-    """The paths that exist on their file system, in order."""
+    """The paths that exist on their file system, in order: one listing per folder, not one question per file."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    def is_there(path):
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop.getFileSystem(conf).exists(hadoop)
-    return [p for p in paths if is_there(p)]
+    hadoop = {p: jvm.org.apache.hadoop.fs.Path(p) for p in paths}
+    there = {}
+    for p in paths:
+        parent = hadoop[p].getParent()
+        folder = parent.toString() if parent is not None else ""
+        if folder not in there:
+            system = hadoop[p].getFileSystem(conf)
+            there[folder] = {s.getPath().getName() for s in system.listStatus(parent)} if parent is not None and system.exists(parent) else set()
+    return [p for p in paths if hadoop[p].getName() in there[hadoop[p].getParent().toString() if hadoop[p].getParent() is not None else ""]]

@@ -129,14 +129,39 @@ def test_command_line(spark, genomes):
         return lines(folder / name)
     listed = [l for l in call("list", "-t", str(folder / "tax.tsv"), "GTDB", "--ordered") if not l.startswith("File1")]
     assert [l.split(",")[:3] for l in listed] == [[f"g{i}.fasta", f"g{j}.fasta", "Same_Phylum" if (i - j) % 2 == 0 else "Different_Phyla"] for i in range(4) for j in range(i + 1, 4)]
-    matrix = call("matrix", "-x", "-u", "single")
-    assert len(matrix) == 4 and all(l.split(",")[i + 1] == "0.000000" for i, l in enumerate(matrix))
-    assert "".join(lines(folder / "matrix.tre")).count("(") == 3
+    for name, options in (("plain", []), ("ward", ["-u", "ward"]), ("single", ["-u", "single"]), ("sorted", ["-r"]), ("both", ["-r", "-u", "ward"])):
+        head, *matrix = call(name, "-x", *options)
+        order = head.split(",")[1:]
+        assert head.startswith(",") and sorted(order) == [f"g{i}.fasta" for i in range(4)] and [l.split(",")[0] for l in matrix] == order
+        assert all(l.split(",")[i + 1] == "0.000000" for i, l in enumerate(matrix))
+        if "-r" not in options:
+            assert order == [f"g{i}.fasta" for i in range(4)]
+        assert (folder / f"{name}.tre").exists() == ("-u" in options)
+    assert "".join(lines(folder / "single.tre")).count("(") == 3
     assert len([l for l in call("search", "-s", paths[0]) if not l.startswith("File1")]) == 4
     hist = call("hist", "-g", "0.1", "-b", "freq", "2")
     assert sum(float(x) for l in hist[1:] for x in l.split(",")[1:]) == 6
 
 
+def test_command_line_reads_saved_signatures(spark, genomes):
+    folder, paths = genomes
+    sigs = S.frequency_signature(fasta.as_genomes(fasta.read_fasta(spark, paths), 10), 2)
+    made = {r["name"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in store.binary_files(sigs.withColumnRenamed("id", "name"), "FREQPROF").collect()}
+    saved = []
+    for name, content in sorted(made.items()):
+        saved.append(str(folder / f"{name}.sig"))
+        (folder / f"{name}.sig").write_bytes(content)
+    bodies = [made[k][4:] for k in sorted(made)]
+    collection = struct.pack("<i", store.MAGIC) + struct.pack("<" + store.HEADER, 0, store.KINDS.index("MUXED"), store.TYPES.index("MUXED"), 4, 4, 0) + b"".join(bodies)
+    (folder / "all.sdb").write_bytes(collection)
+    def call(name, inputs):
+        cli.run(spark, cli.parser().parse_args(["-b", "freq", "2", "-m", "manhattan", "--ordered", "-l", "10", "-o", str(folder / name), *inputs]))
+        return sorted(l.split(",")[3] for l in lines(folder / name) if not l.startswith("File1"))
+    fresh = call("fresh", paths)
+    assert len(fresh) == 6 and call("one_each", saved) == fresh and call("together", [str(folder / "all.sdb")]) == fresh
+    assert call("mixed", [paths[0], *saved[1:]]) == fresh
+
+
 def test_streaming_search(spark, tmp_path):
     schema = "genome_id long, seq string"
     seqs = generators.random_sequences(spark, 3, 100).select(F.col("id").alias("genome_id"), "seq")
