@@ -39,8 +39,8 @@ def erode(marks: DataFrame, key, pos, mark, amount, chunk=CHUNK) -> DataFrame:
 def runs(marks: DataFrame, key, pos, mark, chunk=CHUNK) -> DataFrame:
     """``key…, mark, begin, length``: maximal runs of equal marks.
 
-    Runs are found per chunk.  Only those touching a chunk border, at most two per chunk, go into the second pass that
-    joins them along the sequence; all others are final, however many there are.
+    Runs are found per chunk.  Only those touching a chunk border, at most two per chunk, go on to a pass over chunks of ``chunk`` chunks,
+    and only those touching the border of such a large chunk to the pass along the sequence; all others are final.
     """
     key = list(key)
     chunked = marks.withColumn("_chunk", F.floor(F.col(pos) / chunk))
@@ -48,13 +48,17 @@ def runs(marks: DataFrame, key, pos, mark, chunk=CHUNK) -> DataFrame:
     turn = F.coalesce((F.col(mark) != F.lag(mark).over(local)).cast("int"), F.lit(1))
     pieces = (chunked.withColumn("_turn", turn).withColumn("_piece", F.sum("_turn").over(local))
               .groupBy(*key, "_chunk", "_piece", mark).agg(F.min(pos).alias("begin"), F.count("*").alias("length")))
-    touches = (F.col("begin") % chunk == 0) | ((F.col("begin") + F.col("length")) % chunk == 0)
-    inner = pieces.where(~touches).select(*key, mark, "begin", "length")
-    along = Window.partitionBy(*key).orderBy("begin")
-    joins = (F.lag(mark).over(along) == F.col(mark)) & (F.lag(F.col("begin") + F.col("length")).over(along) == F.col("begin"))
-    border = (pieces.where(touches).withColumn("_turn", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("_run", F.sum("_turn").over(along))
-              .groupBy(*key, "_run", mark).agg(F.min("begin").alias("begin"), F.sum("length").alias("length")))
-    return inner.unionByName(border.select(*key, mark, "begin", "length"))
+    done = []
+    for size, wider in ((chunk, chunk * chunk), (chunk * chunk, None)):
+        touches = (F.col("begin") % size == 0) | ((F.col("begin") + F.col("length")) % size == 0)
+        done.append(pieces.where(~touches).select(*key, mark, "begin", "length"))
+        within = key if wider is None else [*key, "_wide"]
+        border = pieces.where(touches) if wider is None else pieces.where(touches).withColumn("_wide", F.floor(F.col("begin") / wider))
+        along = Window.partitionBy(*within).orderBy("begin")
+        joins = (F.lag(mark).over(along) == F.col(mark)) & (F.lag(F.col("begin") + F.col("length")).over(along) == F.col("begin"))
+        pieces = (border.withColumn("_turn", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("_run", F.sum("_turn").over(along))
+                  .groupBy(*within, "_run", mark).agg(F.min("begin").alias("begin"), F.sum("length").alias("length")))
+    return done[0].unionByName(done[1]).unionByName(pieces.select(*key, mark, "begin", "length"))
 
 
 def split_marked(marks: DataFrame, key, pos, mark, keep="marked", chunk=CHUNK) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sigloom.functions.kernels import method_named
 from sigloom.model import N_RANKS
+from sigloom.session import cut_lineage, is_written, release
 
 _BLOCK_ROWS = 256
 _SIDE_A, _SIDE_B, _SIDE_BOTH = 0, 1, 2
@@ -24,11 +25,12 @@ _SIDE_A, _SIDE_B, _SIDE_BOTH = 0, 1, 2
 
 _SLICE_BYTES = 64 << 20
 _SLICE_ROWS = 16_384
+_TILES_PER_PARTITION = 8
 
 
 def rows_that_fit(width):
     """Rows of ``width`` doubles that make one slice of a tile: bounded in bytes and in number."""
-    return max(256, min(_SLICE_ROWS, _SLICE_BYTES // (8 * max(1, width))))
+    return max(1, min(_SLICE_ROWS, _SLICE_BYTES // (8 * max(1, width))))
 
 
 def slice_count(n_rows, rows_per_tile, parallelism):
@@ -73,8 +75,8 @@ def _rectangle(refs, queries, id_col, n_ref, n_query):
 
 
 def _spread(tiled, n_tiles, parallelism):
-    """Give every tile its own partition while they are few; afterwards several tiles share one."""
-    parts = int(min(n_tiles, max(64 * parallelism, 256)))
+    """Give every tile its own partition while they are few; afterwards a bounded number of tiles share one."""
+    parts = int(min(n_tiles, max(64 * parallelism, 256, n_tiles // _TILES_PER_PARTITION)))
     return tiled.withColumn("_part", F.pmod(F.col("_tile"), F.lit(parts)).cast("int")).repartitionById(parts, "_part")
 
 
@@ -442,6 +444,8 @@ class PairJob:
         self.frame = sigs.select(*dict.fromkeys(wanted))
         self.query_frame = queries.select(*[c for c in dict.fromkeys(wanted)]) if queries is not None else None
         self.parallelism = self.spark.sparkContext.defaultParallelism
+        self.written = [is_written(sigs), queries is None or is_written(queries)]
+        self.tables = []
         self.rows_per_tile = rows_per_tile
         self.n_rows, self.n_queries = n_rows, n_queries
         self.spec = dict(
@@ -455,22 +459,34 @@ class PairJob:
         if self.has_weight and not weighted:
             frame = frame.drop("weight")
             queries = queries.drop("weight") if queries is not None else None
-        n, rows = self._measured(frame, self.n_rows)
+        frame, n, rows = self._measured(frame, self.n_rows, self.written[0])
         if queries is None:
             slices = slice_count(n, rows, self.parallelism)
             return _spread(_triangle(frame, self.id_col, slices), slices * (slices + 1) // 2, self.parallelism)
-        m, _ = self._measured(queries, self.n_queries)
+        queries, m, _ = self._measured(queries, self.n_queries, self.written[1])
         q = max(1, math.ceil(m / rows))
         r = max(1, math.ceil(n / rows), min(2 * self.parallelism, n // 128))
         return _spread(_rectangle(frame, queries, self.id_col, r, q), r * q, self.parallelism)
 
-    def _measured(self, frame, known):
-        """Number of rows and rows per slice, from one pass over the (small) signature table unless both are given."""
+    def _measured(self, frame, known, written):
+        """The signatures with their number and the rows per slice.
+
+        Unless both are given they are counted, and for that the (small) signature table is written first: what it is made from is
+        read once, not once to count and once to compare.
+        """
         if known is not None and self.rows_per_tile is not None:
-            return known, self.rows_per_tile
+            return frame, known, self.rows_per_tile
+        if not written:
+            frame = cut_lineage(frame)
+            self.tables.append(frame)
         width = F.max(F.size("sig")) if self.spec["method"] else F.lit(1)
         n, widest = frame.agg(F.count("*"), width).first()
-        return n, self.rows_per_tile or rows_that_fit(widest or 1)
+        return frame, n, self.rows_per_tile or rows_that_fit(widest or 1)
+
+    def release(self):
+        """Delete the signature tables that this job has written, once its results are stored."""
+        release(*self.tables)
+        self.tables = []
 
     def _run(self, emitter, schema, weighted=False, **extra):
         spec = {**self.spec, "weighted": weighted, "names": schema.fieldNames(), **extra}

@@ -64,4 +64,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _on_its_file_system(spark, path)
+    files.deleteOnExit(target)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._sigloom_path = path
+    return table
+
+
+def _on_its_file_system(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that ``cut_lineage`` has written."""
+    return hasattr(df, "_sigloom_path")
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more; those that are left go with the session."""
+    for table in tables:
+        if is_written(table):
+            target, files = _on_its_file_system(table.sparkSession, table._sigloom_path)
+            files.delete(target, True)

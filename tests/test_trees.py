@@ -169,7 +169,7 @@ def test_marks_do_not_depend_on_the_chunk(spark):
         assert read(marks.dilate(df, ["k"], "pos", "mark", 2, chunk)) == [any(flags[max(0, i - 2):i + 3]) for i in range(200)]
         assert read(marks.erode(df, ["k"], "pos", "mark", 2, chunk)) == [all(flags[max(0, i - 2):i + 3]) for i in range(200)]
     runs = lambda chunk: sorted(tuple(r) for r in marks.runs(df, ["k"], "pos", "mark", chunk).select("begin", "length", "mark").collect())
-    assert runs(7) == runs(1000) and sum(r[1] for r in runs(7)) == 200
+    assert runs(7) == runs(1000) == runs(3) and sum(r[1] for r in runs(7)) == 200
     assert read(marks.bridge_gaps(df, ["k"], "pos", "mark", 3, 7)) == read(marks.bridge_gaps(df, ["k"], "pos", "mark", 3, 1000))
 
 
@@ -177,3 +177,32 @@ def test_incomplete_beta_closed_forms():
     x = np.array([0.0, 0.1, 0.5, 0.9, 1.0])
     assert regularised_beta(x, 1, 1) == pytest.approx(x)
     assert regularised_beta(x, 2, 3) == pytest.approx(6 * x ** 2 - 8 * x ** 3 + 3 * x ** 4)
+
+
+def test_one_long_sequence_is_joined_over_two_sizes_of_chunks(spark):
+    flags = [i % 50 < 30 or i > 300 for i in range(700)]
+    df = spark.createDataFrame([(1, i, m) for i, m in enumerate(flags)], "k long, pos long, mark boolean")
+    expected, at = [], 0
+    while at < len(flags):
+        end = at
+        while end < len(flags) and flags[end] == flags[at]:
+            end += 1
+        expected.append((at, end - at, flags[at]))
+        at = end
+    for chunk in (4, 10, 64):
+        assert sorted(tuple(r) for r in marks.runs(df, ["k"], "pos", "mark", chunk).select("begin", "length", "mark").collect()) == expected
+
+
+def test_short_and_repetitive_genes_are_found(spark, contigs):
+    rng = random.Random(4)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    panel = {1: base(8), 2: base(11), 3: "AC" * 20, 4: base(3)}
+    genomes = {g: [base(60) + gene + base(70)] for g, gene in panel.items()}
+    found = genes.find_genes(contigs(genomes), spark.createDataFrame(list(panel.items()), "gene_id long, gene string")).collect()
+    whole = {(r["genome_id"], r["gene_id"]) for r in found if r["score"] == 1.0}
+    assert {(g, g) for g in panel} <= whole
+
+
+def test_too_long_pairs_are_refused():
+    with pytest.raises(ValueError, match="cannot align"):
+        alignment.align_block([np.zeros(1 << 18, np.uint8)], [np.zeros(1 << 18, np.uint8)], False)
