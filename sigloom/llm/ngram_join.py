@@ -6,8 +6,8 @@
 * Two items can reach the threshold only if their prefixes share a shingle; only prefix shingles are shuffled.
 * First each item is compared with the best of the *leaders* of its shingles, the item that has the shingle nearest to its front.  A
   large group of near copies falls into one component that way, with one pair per item.
-* Then all pairs of items that are still in different components are joined on their prefix shingles, filtered by length, position, number
-  of matches and suffix counts, and verified once.  Pairs within a component need no check: their link could not change the result.
+* Then all pairs of items that are still in different components are joined on their prefix shingles, filtered by length, position and suffix
+  counts, and verified once.  Pairs within a component need no check: their link could not change the result.
 """
 
 import numpy as np
@@ -42,10 +42,6 @@ def needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * PERCENT / (100 + PERCENT))
 
 
-def prefix_length(n: Column) -> Column:
-    return n - F.ceil(n * PERCENT / 100) + 1
-
-
 def _sid(digest: bytes, seed: int) -> int:
     return int.from_bytes(digest[:8], "little", signed=True) ^ seed
 
@@ -205,8 +201,12 @@ def _led(batches):
 
 
 def _ranked(led: DataFrame) -> DataFrame:
-    """``led`` with ``before``: how many earlier prefix shingles of the item others have too.  The rest of what precedes ``pos`` is shared with none."""
-    return led.withColumn("before", F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1)
+    """``led`` with ``before``, how many earlier prefix shingles of the item others have too, and ``prev``, the last of them.
+
+    The rest of what precedes ``pos`` is shared with none.
+    """
+    along = Window.partitionBy("sid").orderBy("pos")
+    return led.withColumns({"before": F.row_number().over(along) - 1, "prev": F.lag("gram").over(along)})
 
 
 def _positions_allow(before_a: Column, pa_: Column, na: Column, before_b: Column, pb: Column, nb: Column) -> Column:
@@ -215,12 +215,6 @@ def _positions_allow(before_a: Column, pa_: Column, na: Column, before_b: Column
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (most >= needed(na, nb))
 
 
-def _matches_allow(k: Column, na: Column, last_a: Column, nb: Column, last_b: Column) -> Column:
-    """Every shared shingle of both prefixes was counted in ``k``: what is left behind the last one, or behind a prefix, must do for the rest."""
-    rest = F.least(F.least(na - last_a - 1, nb - last_b - 1), F.greatest(na - prefix_length(na), nb - prefix_length(nb)))
-    return k + rest >= needed(na, nb)
-
-
 # ---------------------------------------------------------------------------------------------------------------- verification
 def _cells(grams: np.ndarray) -> bytes:
     """How many shingles fall into each of a power of two of equal hash ranges, about one range for four shingles."""
@@ -307,8 +301,9 @@ def _open_pairs(led: DataFrame, classes: DataFrame, written: Written) -> DataFra
 
     A row goes before the join when not even the smallest item of its shingle could reach the threshold with it, or when its shingle has
     a single class left: a group of near copies that is one class by now meets no one, and what differs too much from it meets none of them.
+    Two items that share a run of shingles meet at its first one only: at the others both have the same ``prev``, where they have met already.
     """
-    at = led.select("gram", "before", "pos", "sid", "n").join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left")
+    at = led.select("gram", "prev", "before", "pos", "sid", "n").join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left")
     at = at.withColumn("label", F.coalesce("label", "sid"))
     least = at.groupBy("gram").agg(F.min("n").alias("least_n"))
     low = F.greatest(F.col("least_n"), F.ceil(F.col("n") * PERCENT / 100))
@@ -316,12 +311,11 @@ def _open_pairs(led: DataFrame, classes: DataFrame, written: Written) -> DataFra
     able = written.table(able)
     mixed = able.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
     rows = able.join(mixed, "gram", "left_semi")
-    x, y = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("before", "pos", "sid", "n", "label")]) for side in ("x", "y"))
+    x, y = (rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("prev", "before", "pos", "sid", "n", "label")]) for side in ("x", "y"))
     allowed = _positions_allow(*(F.col(f"{c}_{side}") for side in ("x", "y") for c in ("before", "pos", "n")))
-    met = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("label_x") != F.col("label_y")) & allowed)
-    pairs = met.groupBy("sid_x", "n_x", "sid_y", "n_y").agg(F.count("*").alias("k"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y"))
-    pairs = pairs.filter(_matches_allow(F.col("k"), F.col("n_x"), F.col("last_x"), F.col("n_y"), F.col("last_y")))
-    return pairs.select(F.col("sid_x").alias("a"), F.col("n_x").alias("n_a"), F.col("sid_y").alias("b"), F.col("n_y").alias("n_b"))
+    met_before = F.coalesce(F.col("prev_x") == F.col("prev_y"), F.lit(False))
+    met = x.join(y, "gram").filter((F.col("sid_x") < F.col("sid_y")) & (F.col("label_x") != F.col("label_y")) & ~met_before & allowed)
+    return met.select(F.col("sid_x").alias("a"), F.col("n_x").alias("n_a"), F.col("sid_y").alias("b"), F.col("n_y").alias("n_b")).distinct()
 
 
 def _item_links(docs: DataFrame, scanned: DataFrame, items: DataFrame, seed: int, written: Written) -> DataFrame:
