@@ -282,7 +282,7 @@ def gene_identity_pairs(spark, d):
     """Genomes compared by the benchmark genes found in them."""
     panel = _benchmark_genes(spark, d)
     hits = genes.find_genes(conversation_contigs(spark, d), panel).select("genome_id", "gene_id", "seq")
-    return PairJob(genes.gene_signature(hits, panel), "alignseqs", rows_per_tile=64).pairs()
+    return genes.gene_pair_distances(hits, panel)
 
 
 @query("tabular_identity", """with h as (select l_suppkey % 50 as q, l_partkey % 50 as t, 100 - 100 * l_discount as pident, l_quantity as length from lineitem),

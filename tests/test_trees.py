@@ -158,6 +158,9 @@ def test_planted_gene_is_found_on_the_reverse_strand(spark, contigs):
     assert got[3]["strand"] == "+" and got[3]["score"] == 1.0 and got[3]["end"] == 153
     pairs = PairJob(genes.gene_signature(found, spark.createDataFrame([(7, gene)], "gene_id long, gene string")), "alignseqs").pairs().collect()
     assert pairs[0]["dist"] == pytest.approx(1 / 120)
+    two = spark.createDataFrame([(7, gene), (8, base(50))], "gene_id long, gene string")
+    joined = genes.gene_pair_distances(found.select("genome_id", "gene_id", "seq"), two).collect()
+    assert [(r["id_a"], r["id_b"]) for r in joined] == [(1, 3)] and joined[0]["dist"] == pytest.approx(1 - 119 / 121)
 
 
 def test_marks_do_not_depend_on_the_chunk(spark):
