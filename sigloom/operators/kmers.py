@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sigloom.functions.sequences import slice_text
 
 MAX_K = 31
+PIECE = 1 << 22  # bases of a contig that one row holds at most while k-mers are read
 _SEGMENT = 1 << 21  # bases encoded at a time, which bounds the working arrays of a long contig
 
 _CODES = np.full(256, 4, dtype=np.uint8)
@@ -53,6 +54,17 @@ def rolling_codes(raw, offsets, k):
         yield row, at[keep] - offsets[row], code[keep]
 
 
+def in_pieces(frame: DataFrame, k, seq_col="seq", piece=PIECE) -> DataFrame:
+    """Sequences longer than ``piece`` bases as several rows that overlap by ``k - 1``, so each k-mer is in exactly one; ``_from`` is where a row starts.
+
+    Shorter sequences pass as they are.  A giant contig then is many rows of bounded size.
+    """
+    long = F.length(seq_col) > piece
+    starts = F.when(long, F.sequence(F.lit(0), F.length(seq_col) - 1, F.lit(piece))).otherwise(F.array(F.lit(0)))
+    cut = frame.withColumn("_from", F.explode(starts))
+    return cut.withColumn(seq_col, F.when(long, slice_text(seq_col, F.col("_from") + 1, F.lit(piece + k - 1))).otherwise(F.col(seq_col)))
+
+
 def reverse_complement_codes(codes, k):
     out = np.zeros_like(codes)
     rest = codes.copy()
@@ -121,6 +133,7 @@ def kmer_counts(contigs: DataFrame, k, *, double_strand=True, keep_empty=False,
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     frame = contigs.select(F.col(genome_col).alias("genome_id"), F.col(seq_col).alias("seq"))
+    frame = in_pieces(frame, k).drop("_from")
     schema = T.StructType([frame.schema["genome_id"], T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
     partial = frame.mapInArrow(_partial_counts(k, double_strand, schema.fieldNames()), schema)
     counts = partial.groupBy("genome_id", "code").agg(F.sum("n").alias("n"))

@@ -123,3 +123,19 @@ def test_sequence_expressions(spark):
         Q.translate_codons("s"), Q.find_from("s", "GGN"), Q.find_from("s", "TAC", 4), Q.find_from("s", "AAAA"), Q.find_from("t", "ACG"),
         Q.pack_two_bit("s"), Q.reverse_complement("t"), Q.nucleotide_identity("s", F.lit("ACGA")), Q.decode(F.lit("acguR-")), Q.is_valid(F.lit("ACGR"))).first()
     assert list(row) == ["TYGY", 6, 9, 12, 0, "1B1AF1", "ACNT", 0.75, "ACGTNN", False]
+
+
+def test_long_contigs_are_cut_without_losing_a_word(spark, contigs, monkeypatch):
+    from sigloom.operators import genes, kmers as K, sketch
+
+    rng = random.Random(12)
+    long = "".join(rng.choice("ACGTN" if i % 97 == 0 else "ACGT") for i in range(1000))
+    df = contigs({1: [long, "ACGT"], 2: ["", long[:40]]})
+    whole = lambda: (sorted(map(tuple, K.kmer_counts(df, 5).collect())), sorted(map(tuple, sketch.kept_hashes(df, 7, 50, 2).collect())),
+                     sorted(map(tuple, genes.seeds(df.select("genome_id", "seq"), 9).collect())))
+    expected = whole()
+    cut = K.in_pieces
+    for piece in (64, 100, 999):
+        for module in (K, sketch, genes):
+            monkeypatch.setattr(module, "in_pieces", lambda frame, k, seq_col="seq", piece=piece: cut(frame, k, seq_col, piece))
+        assert whole() == expected

@@ -209,3 +209,16 @@ def test_short_and_repetitive_genes_are_found(spark, contigs):
 def test_too_long_pairs_are_refused():
     with pytest.raises(ValueError, match="cannot align"):
         alignment.align_block([np.zeros(1 << 18, np.uint8)], [np.zeros(1 << 18, np.uint8)], False)
+
+
+def test_genes_are_found_across_the_borders_of_pieces(spark, contigs, monkeypatch):
+    rng = random.Random(21)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    gene = base(60)
+    cut = genes.in_pieces
+    monkeypatch.setattr(genes, "PIECE", 128)
+    monkeypatch.setattr(genes, "in_pieces", lambda frame, k, seq_col="seq": cut(frame, k, seq_col, 128))
+    places = {1: 100, 2: 0, 3: 127, 4: 640 - 60, 5: 256}
+    genomes = {g: [base(at) + gene + base(640 - 60 - at)] for g, at in places.items()}
+    found = genes.find_genes(contigs(genomes), spark.createDataFrame([(1, gene)], "gene_id long, gene string")).collect()
+    assert {(r["genome_id"], r["end"], r["seq"], r["score"]) for r in found} == {(g, at + 60, gene, 1.0) for g, at in places.items()}
