@@ -54,6 +54,7 @@ class Lexicon:
     intercept: float = -3.0
     slope: float = 2.0
     smoothing: float = 10.0
+    length_power: float = 0.5
 
     def automaton(self):
         found = ahocorasick.Automaton()
@@ -79,7 +80,7 @@ class Lexicon:
         return {s: v for s, v in best.items() if not any(a <= s < b for a, b in free)} if free else best
 
     def density(self, text: str, automaton) -> float:
-        """Weight per 100 words, on a log scale.
+        """Weight over a power of the length, on a log scale: a few hits in a long text are thinner than in a short one, but not nothing.
 
         ``smoothing`` words are added, so one hit in a short text does not count in full; ``n`` hits of one term weigh ``1 + ln n`` times, so
         a word that is merely repeated does not outweigh several terms.
@@ -87,7 +88,8 @@ class Lexicon:
         folded = fold(text)
         times = Counter((folded[start:start + length], w) for start, (w, length) in self.hits(folded, automaton).items())
         total = sum(w * (1.0 + np.log(n)) for (_, w), n in times.items())
-        return float(np.log1p(100.0 * total / (max(folded.count(" ") - 1, 0) + self.smoothing)))
+        words = max(folded.count(" ") - 1, 0) + self.smoothing
+        return float(np.log1p(10.0 * total / words ** self.length_power))
 
     def probability(self, density):
         return 1.0 / (1.0 + np.exp(-(self.intercept + self.slope * np.asarray(density, "f8"))))
@@ -95,13 +97,17 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Training:
-    """``rows_per_class`` bounds the labelled rows that are read for learning; they are those with the smallest hash of their id."""
+    """``rows_per_class`` bounds the labelled rows that are read for learning; they are those with the smallest hash of their id.
+
+    A term must reach ``min_weight`` and ``min_share`` of the largest weight: among many thousand words some lean to one side by chance.
+    """
     rows_per_class: int = 12_000
     max_terms: int = 5_000
     max_candidates: int = 200_000
     min_texts: int = 4
     min_weight: float = 2.0
     min_z: float = 3.0
+    min_share: float = 0.5
     folds: int = 5
     held_out: int = 0
     calibration: int = 4
@@ -164,7 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, how: Training = Training(), except
         odds = np.log((t + 0.5) / (sizes.get(1, 0) + 1)) - np.log((c + 0.5) / (sizes.get(0, 0) + 1))
         if odds >= how.min_weight and odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= how.min_z:
             found[term] = (t, float(odds))
-    found = _specific(found)
+    least = how.min_share * max((w for _, w in found.values()), default=0.0)
+    found = _specific({term: v for term, v in found.items() if v[1] >= least})
     kept = sorted(found, key=lambda term: (-found[term][0] * found[term][1], term))[:how.max_terms]
     lexicon = Lexicon({term: found[term][1] for term in kept}, tuple(exceptions))
     lexicon.exceptions += _learned_exceptions(fit, lexicon)
