@@ -250,6 +250,13 @@ def windows(contigs: DataFrame, size=1000, step=None, count=None) -> DataFrame:
         "window", begin.cast("long").alias("start"), slice_text("seq", begin + 1, F.lit(size)).alias("seq"))
 
 
+def window_genomes(contigs: DataFrame, size, step=None) -> DataFrame:
+    """Every window as a genome of its own: ``genome_id`` is ``<genome>:<contig>.<window>``; contigs shorter than a window have none."""
+    rows = windows(contigs.select("genome_id", "ord", "seq"), size, step)
+    name = F.concat(F.col("genome_id").cast("string"), F.lit(":"), F.col("ord").cast("string"), F.lit("."), F.col("window").cast("string"))
+    return rows.select(name.alias("genome_id"), F.col("window").cast("long").alias("ord"), "name", "seq")
+
+
 def _minimizer_rows(window, size, names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from typing import Optional
 from pyspark.sql import DataFrame, functions as F
 
 from sigloom.model import DEFAULT_BIN_WIDTH, DEFAULT_THETA, relation_code
-from sigloom.operators import genes, reports, signatures, sketch, taxonomy
+from sigloom.operators import genes, kmers, reports, signatures, sketch, taxonomy
 from sigloom.operators.pairs import PairJob
 from sigloom.session import cut_lineage
 
@@ -47,6 +47,8 @@ class SignaturePlan:
     double_strand: bool = True
     canonical: bool = False
     sketch_size: int = sketch.DEFAULT_SIZE
+    window: Optional[int] = None  # bases: every window of a contig is then compared on its own
+    window_step: Optional[int] = None
 
     @classmethod
     def parse(cls, basis=DEFAULT_BASIS, k=None):
@@ -69,6 +71,8 @@ class SignaturePlan:
 
     def build(self, contigs: DataFrame, gene_panel: DataFrame = None) -> DataFrame:
         """``id, sig`` of every genome."""
+        if self.window:
+            contigs = kmers.window_genomes(contigs, self.window, self.window_step)
         if self.basis == "minhash":
             return sketch.minhash_signature(contigs, self.k, self.sketch_size)
         if self.basis in ("filename", "none"):

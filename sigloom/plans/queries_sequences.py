@@ -324,6 +324,20 @@ def search_topk_documents(spark, d):
     return PairJob(refs, "manhattan", queries=S.counts_signature(asked, 2)).search_topk(5)
 
 
+@query("window_search_topk", f"""with {DOCS}, w as (select genome_id || ':0.' || i as id, substr(seq, 100 * i + 1, 200) as seq from t, unnest(range(0, greatest((length(seq) - 200) // 100 + 1, 0))) as u(i) where length(seq) >= 200),
+qs as (select 'q' || item_id as id, {_COMPACT} as seq from benchmark), every as (select * from w union all select * from qs),
+o as (select id, unnest([substr(seq, i, 2) for i in range(1, length(seq))]) as kmer from every), b as (select * from o union all select id, {_RC.format(x='kmer')} from o),
+c as (select id, kmer, count(*) as n from b group by all), k as (select substr('ACGT', 1 + i // 4, 1) || substr('ACGT', 1 + i % 4, 1) as kmer from (select unnest(range(16)) as i)),
+v as (select every.id, list(coalesce(n, 0)::double order by k.kmer) as sig from every cross join k left join c on c.id = every.id and c.kmer = k.kmer group by 1),
+pr as (select q.id as query_id, w.id as id, list_sum(list_transform(list_zip(a.sig, z.sig), lambda x: abs(x[1] - x[2]))) as dist from qs q join v z on z.id = q.id cross join w join v a on a.id = w.id)
+select query_id, (row_number() over (partition by query_id order by dist, id))::integer as rank, id, dist from pr qualify rank <= 3""")
+def window_search_topk(spark, d):
+    """The three stretches of 200 bases of any document that are closest to each benchmark text."""
+    asked = table(spark, d, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("genome_id"), Q.compact("text").alias("seq"))
+    refs = S.counts_signature(kmers.window_genomes(document_contigs(spark, d), 200, 100), 2)
+    return PairJob(refs, "manhattan", queries=S.counts_signature(asked, 2)).search_topk(3)
+
+
 # ---------------------------------------------------------------- sketches
 
 

@@ -127,3 +127,24 @@ def test_plan_shape(random_sigs):
 def test_slice_count_bounds_a_tile():
     assert slice_count(10 ** 6, 1024, 8) == math.ceil(10 ** 6 / 1024)
     assert slice_count(10, 1024, 8) == 1
+
+
+def test_windows_are_compared_on_their_own(spark, contigs):
+    from sigloom.plans.compare import ComparePlan, SignaturePlan
+
+    df = contigs({1: ["ACGT" * 10], 2: ["ACGT" * 5 + "TTTTT" * 4], 3: ["ACG"]})
+    plan = ComparePlan(method="manhattan", include_self=False, signature=SignaturePlan("freq", 2, window=20, window_step=20))
+    got = {(r["id_a"], r["id_b"]): r["dist"] for r in plan.pairs(plan.signature.build(df)).collect()}
+    assert set(got) == {(a, b) for a in ("1:0.0", "1:0.1", "2:0.0", "2:0.1") for b in ("1:0.0", "1:0.1", "2:0.0", "2:0.1") if a < b}
+    assert got["1:0.0", "1:0.1"] == 0 == got["1:0.0", "2:0.0"] and got["1:0.0", "2:0.1"] > 1
+
+
+@pytest.mark.parametrize("rows_per_tile", [4, 100])
+def test_topk_search_is_that_of_all_pairs(spark, rows_per_tile):
+    rng = np.random.default_rng(8)
+    refs, asked = rng.integers(0, 3, (30, 4)).astype(float), rng.integers(0, 3, (9, 4)).astype(float)
+    frame = lambda m, start: spark.createDataFrame([(start + i, x.tolist()) for i, x in enumerate(m)], "id long, sig array<double>")
+    got = PairJob(frame(refs, 0), "manhattan", queries=frame(asked, 100), rows_per_tile=rows_per_tile, n_rows=30, n_queries=9).search_topk(4).collect()
+    dist = np.abs(asked[:, None] - refs[None]).sum(-1)
+    expected = {(100 + q, r + 1, int(i), dist[q, i]) for q in range(9) for r, i in enumerate(sorted(range(30), key=lambda i: (dist[q, i], i))[:4])}
+    assert {tuple(r) for r in got} == expected
