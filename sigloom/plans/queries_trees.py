@@ -272,6 +272,18 @@ def gene_seeds(spark, d):
     return genes.candidate_stretches(conversation_contigs(spark, d), _benchmark_genes(spark, d))
 
 
+@query("short_gene_hits", f"""with {CONV}, g as (select item_id as gene_id, substr(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), 1, (8 + item_id % 5)::int) as gene from benchmark),
+st as (select genome_id, ord, '+' as strand, seq from t union all select genome_id, ord, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from t)
+select genome_id, gene_id, ord, strand, (strpos(seq, gene) - 1 + length(gene))::bigint as "end", length(gene)::bigint as length from st join g on contains(seq, gene)
+qualify row_number() over (partition by genome_id, gene_id order by ord, strand, strpos(seq, gene)) = 1""")
+def short_gene_hits(spark, d):
+    """Genes of 8 to 12 bases, where they occur to the letter: their first place in every genome."""
+    panel = _benchmark_genes(spark, d).select("gene_id", F.expr("substring(gene, 1, cast(8 + gene_id % 5 as int))").alias("gene"))
+    found = genes.find_genes(conversation_contigs(spark, d), panel).where((F.col("score") == 1.0) & (F.col("seq") != ""))
+    whole = found.join(panel, "gene_id").where(F.col("seq") == F.col("gene"))
+    return whole.select("genome_id", "gene_id", "ord", "strand", "end", "length")
+
+
 @query("gene_hits")
 def gene_hits(spark, d):
     return genes.find_genes(conversation_contigs(spark, d), _benchmark_genes(spark, d))
