@@ -26,15 +26,16 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
     "keyed": r"(?<=(?:token|secret|password|passwd|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?)[A-Za-z0-9_+/\-]{12,200}",
+    "access": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9\-]{10,72})(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128})(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)|[ .\-]\d{2,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?:[ .\-]\d{2,4}){3,5})|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d|[.\-]\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\dA-Za-z])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z])",
+    "card": r"(?<![\dA-Za-z])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z]|[.\-]\d)",
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(t.replace('.', r'[.]') for t in TITLES)})[ ]{_NAME}(?:[ ]{_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HINTS = ["token", "secret", "password", "passwd", "api_key", "apikey", *TITLES]
+_HINTS = ["token", "secret", "password", "passwd", "api_key", "apikey", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", *TITLES]
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
 _ALPHABETS = {"hex": ["0123456789abcdef"], "name": _SOUNDS}
@@ -69,8 +70,9 @@ def _once(value: Column, use) -> Column:
 
 
 def _held(kind: Column, entity: Column) -> tuple[Column, Column]:
-    """How many leading and trailing characters stay: country code, title; top-level domain, check digit."""
+    """How many leading and trailing characters stay: country code, title, the mark of an access key; top-level domain, check digit."""
     front = F.when(kind == "phone", F.length(F.regexp_extract(entity, r"^\+\d{1,3}", 0))) \
+        .when(kind == "access", F.length(F.regexp_extract(entity, r"^(?:AKIA|ASIA|gh._|sk-|xox.-)", 0))) \
         .when(kind == "name", F.length(F.regexp_extract(entity, r"^\S+ ", 0))).otherwise(0)
     back = F.when(kind == "email", F.length(F.regexp_extract(entity, r"\.[A-Za-z]+$", 0))).when(kind == "card", 1).otherwise(0)
     return front, back
