@@ -148,3 +148,10 @@ def test_topk_search_is_that_of_all_pairs(spark, rows_per_tile):
     dist = np.abs(asked[:, None] - refs[None]).sum(-1)
     expected = {(100 + q, r + 1, int(i), dist[q, i]) for q in range(9) for r, i in enumerate(sorted(range(30), key=lambda i: (dist[q, i], i))[:4])}
     assert {tuple(r) for r in got} == expected
+
+
+def test_weights_with_a_dominating_group(spark):
+    lineages = [["k__W", "p__A"] if i % 3 == 0 else None if i % 3 == 1 else ["k__W", f"p__{i}"] for i in range(90)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lineages)], "id long, lineage array<string>")
+    got = {r["id"]: r["weight"] for r in T.genome_weights(df, "phylum").collect()}
+    assert got == {i: pytest.approx(1 / 30) if i % 3 == 0 else 1.0 for i in range(90)}
