@@ -1,11 +1,9 @@
 """Helpers shared by the operators: column access that survives clashing names, text rules, and tables between steps."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import ensure_checkpoint_dir
+from sigloom.session import cut_lineage, release
 
 #: White space of the text rules, as characters and as the regular expression of a word.
 SPACE = " \t\n\x0b\x0c\r"
@@ -53,22 +51,14 @@ def words_of(text: Column) -> Column:
 class Written:
     """Tables in the shared checkpoint folder, so that a lost executor costs one step and not the whole job.
 
-    ``drop`` deletes those that no later plan reads; what a returned frame still reads stays with the session's folder.
+    ``drop`` deletes those that no later plan reads; what a returned frame still reads goes when the session ends.
     """
 
     def __init__(self, spark):
-        self.spark, self.paths = spark, {}
+        self.spark = spark
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{ensure_checkpoint_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
+        return cut_lineage(df)
 
     def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            path, _ = self.paths.pop(id(table))
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        release(*tables)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigloom.llm import chat, exact_dedup, ngram_join, packing, pii, quality, sharding, spiece, token_counts, toxicity
 from sigloom.llm.common import pick
 from sigloom.llm.sql import CHAT, EXACT_DEDUP, NEAR_COPIES, QUALITY, sharding_sql
-from sigloom.session import ensure_checkpoint_dir
+from sigloom.session import cut_lineage, ensure_checkpoint_dir
 
 SHARDS = 24
 #: Folder of the public vocabulary files.
@@ -28,9 +28,9 @@ def op1_token_rollup(spark, folder):
     counted = token_counts.counted_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN, VERSION)
     marks = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.forget_at_exit()
     none = F.lit(None).cast("long")
-    counted.write.parquet(f"{rollup.folder}/counted")
-    counted = spark.read.parquet(f"{rollup.folder}/counted")
+    counted = cut_lineage(counted)
     marked = counted.join(marks, "doc_id")
     loaded = counted.withColumns({"op": F.lit(token_counts.INSERT), "old_tokens": none})
     dropped = marked.filter("quality = 0").withColumns({"op": F.lit(token_counts.DELETE), "old_tokens": none})

@@ -77,6 +77,11 @@ class Rollup:
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def forget_at_exit(self):
+        """For a rollup that serves one session only: its folder goes when the session ends."""
+        self._fs.mkdirs(self._path("commits"))
+        self._fs.deleteOnExit(self._path(""))
+
     def _path(self, name):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
