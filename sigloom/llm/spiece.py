@@ -134,14 +134,18 @@ def _loaded(path: str, threads: int):
     return build(model), sentencepiece.SentencePieceProcessor(model_proto=data), _plain_pieces(model), model.dummy_prefix
 
 
-def _plain_pieces(model: Model) -> list[str]:
-    """What each id adds to a decoded text; ids whose text depends on their neighbours (bytes) add a mark that no text equals."""
-    return [p.replace(MARK, " ") if kind in (NORMAL, USER) else "\0<id>" for p, _, kind in model.pieces]
+def _plain_pieces(model: Model) -> list[bytes]:
+    """What each id adds to a decoded text, in UTF-8; unknown and control pieces add a mark that no text has."""
+    def plain(piece, kind):
+        if kind == BYTE:
+            return bytes([int(piece[1:-1], 16)])
+        return piece.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"\xff"
+    return [plain(p, kind) for p, _, kind in model.pieces]
 
 
-def _joined(ids, plain, dummy_prefix):
-    text = "".join([plain[i] for i in ids])
-    return text[1:] if dummy_prefix and text.startswith(" ") else text
+def _joined(ids, plain, dummy_prefix) -> bytes:
+    data = b"".join([plain[i] for i in ids])
+    return data[1:] if dummy_prefix and data.startswith(b" ") else data
 
 
 def _chunks(column, limit=CHUNK):
@@ -178,8 +182,8 @@ def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", thread
             for part in _chunks(batch.column("text")):
                 texts = [t or "" for t in part]
                 ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                # joining the pieces settles most texts; the decoder is asked about the others, those with byte pieces above all
-                whole = [_joined(i, plain, dummy_prefix) == t or tokenizer.decode(i, skip_special_tokens=False) == t for t, i in zip(texts, ids)]
+                # joining the pieces settles nearly all texts; the decoder is asked about the others
+                whole = [_joined(i, plain, dummy_prefix) == t.encode() or tokenizer.decode(i, skip_special_tokens=False) == t for t, i in zip(texts, ids)]
                 same = [None] * len(texts)
                 asked = [i for i, t in enumerate(texts) if verify_every and zlib.crc32(t.encode()) % verify_every == 0]
                 for i, other in zip(asked, own.encode([texts[i] for i in asked], num_threads=threads)):
