@@ -143,7 +143,8 @@ def _prefixes(docs: DataFrame, levels, seed: int) -> DataFrame:
 def _posted(levels, grams, pos, sids, sizes):
     gram, sid = np.concatenate(grams), np.concatenate(sids)
     spread = np.maximum(levels[gram & np.uint64(SKETCH - 1)].astype(np.int64) // 4 - LEAD_BITS, 0)
-    salt = (sid & ((np.int64(1) << np.minimum(spread, 20)) - 1)).astype(np.int32)
+    # salt 0 means unsplit: a split shingle is dealt over the salts from 1 on
+    salt = np.where(spread > 0, 1 + (sid & ((np.int64(1) << np.minimum(spread, 20)) - 1)), 0).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(salt), pa.array(np.concatenate(pos)), pa.array(sid), pa.array(np.concatenate(sizes))],
                                       names=["gram", "salt", "pos", "sid", "n"])
 
@@ -183,7 +184,7 @@ def _led(batches):
                 for column, value in zip(out, waiting):
                     column.append(np.array([value]))
                 waiting = None
-        # the last shingle may go on in the next batch; a shingle of one row waits, a salted one is always kept
+        # the last shingle may go on in the next batch; a shingle of one row waits; a row of a split one is always kept, as the others may have other salts
         last = group == len(firsts)
         keep = (sizes[group] > 1) | on | (salt > 0)
         if len(firsts):

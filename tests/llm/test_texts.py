@@ -83,6 +83,24 @@ def test_salted_leaders_lose_no_link(spark, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.near_copies(df).collect()) == brute_components(rows)
 
 
+def test_an_item_alone_on_the_first_salt_keeps_its_links(spark, monkeypatch):
+    """Many copies of one text and a near copy share split shingles only, and never a salt."""
+    import pyarrow as pa
+    frequencies = ngram_join._frequencies  # counted as if every row stood 2**18 times
+    monkeypatch.setattr(ngram_join, "_frequencies", lambda scanned: np.minimum(frequencies(scanned).astype(int) + 4 * 18, 255).astype(np.uint8))
+
+    def low_bits(text):
+        return ngram_join._sid(shingles.set_digest(next(iter(shingles.shingle_sets(pa.array([text]))))), 0) & 63
+    words = [f"s{i}" for i in range(60)]
+    texts = [" ".join([*words, f"end{i}"]) for i in range(2000)]
+    big = next(t for t in texts if low_bits(t) == 0)
+    near = next(t for t in texts if low_bits(t) == 63)
+    rows = list(enumerate([big] * 40 + [near]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in ngram_join.near_copies(df).collect())
+    assert got == brute_components(rows) and {low for _, _, low in got} == {0}
+
+
 @pytest.mark.parametrize("size", range(1, 9))
 def test_leaders_do_not_depend_on_batches(size):
     import pyarrow as pa
