@@ -168,7 +168,7 @@ def ship_model(spark, path: str) -> str:
     return path
 
 
-def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", threads=2, verify_every=8) -> DataFrame:
+def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", threads=2, verify_every=1) -> DataFrame:
     """One row per row: ``doc_id, ids, round_trip, parity``.
 
     ``round_trip`` tells that the ids decode to the very text.  ``parity`` tells that the model's own library gives the same ids; it is asked for one row in

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.llm import chat, ngram_join, packing, pii, shingles, spiece, toxicity
+from sigloom.llm import chat, ngram_join, packing, pii, queries, shingles, spiece, toxicity
 from sigloom.llm.queries import TOKENIZERS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,6 +215,14 @@ def test_pieces_agree_with_the_models_library(spark, odd_docs, no_docs):
     assert spiece.encode(no_docs, MODEL).count() == 0
 
 
+def test_every_text_is_compared_with_the_models_library(spark, tmp_path):
+    pytest.importorskip("sentencepiece")
+    rows = [(i, f"text  number {i}\tof\u00a0many é🙂") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_pieces(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and all(r["parity"] is True for r in got)
+
+
 def test_piece_edge_cases():
     sentencepiece = pytest.importorskip("sentencepiece")
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
