@@ -223,6 +223,30 @@ def test_every_text_is_compared_with_the_models_library(spark, tmp_path):
     assert len(got) == 40 and all(r["parity"] is True for r in got)
 
 
+def test_a_fault_of_the_decoder_shows_in_the_round_trip(spark, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, decoders
+    pytest.importorskip("sentencepiece")
+    tokenizer, *rest = spiece._loaded(MODEL, 2)
+    broken = Tokenizer.from_str(tokenizer.to_str())
+    broken.decoder = decoders.Fuse()  # marks stay
+    taken = []
+
+    class Rows:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            taken.append(run)
+    monkeypatch.setattr(spiece, "_loaded", lambda *_: (broken, *rest))
+    monkeypatch.setattr(spiece, "pick", lambda *_, **__: Rows())
+    spiece.encode(Rows(), MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["two words", ""])], names=["doc_id", "text"])
+    assert [r["round_trip"] for b in taken[0]([batch]) for r in b.to_pylist()] == [False, True]
+
+
 def test_piece_edge_cases():
     sentencepiece = pytest.importorskip("sentencepiece")
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
