@@ -25,9 +25,10 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
-    "keyed": r"(?<=(?:token|secret|password|passwd|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?)[A-Za-z0-9_+/\-]{12,200}",
+    "keyed": r"(?<=(?i:token|secret|password|passwd|api_?key)[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?)[A-Za-z0-9_+/\-]{12,200}",
     "access": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9\-]{10,72})(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "hexup": r"(?<![A-Za-z0-9])(?:[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?:[ .\-]\d{2,4}){3,5})|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d|[.\-]\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -35,10 +36,11 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(t.replace('.', r'[.]') for t in TITLES)})[ ]{_NAME}(?:[ ]{_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HINTS = ["token", "secret", "password", "passwd", "api_key", "apikey", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", *TITLES]
+_KEYS = "(?i)token|secret|password|passwd|api_?key"
+_HINTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", *TITLES]
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
-_ALPHABETS = {"hex": ["0123456789abcdef"], "name": _SOUNDS}
+_ALPHABETS = {"hex": ["0123456789abcdef"], "hexup": ["0123456789ABCDEF"], "name": _SOUNDS}
 ROUNDS = 8
 #: Surrogates of shapes with at least this many members, half of them unused, are also kept apart from all entities of the corpus.
 WIDE = 2.0**20
@@ -46,7 +48,7 @@ WIDE = 2.0**20
 
 def likely(text: Column) -> Column:
     """A cheap test that no text with an entity fails: the full pattern runs on the others only."""
-    out = text.rlike("[0-9@]")
+    out = text.rlike("[0-9@]") | text.rlike(_KEYS)
     for hint in _HINTS:
         out |= text.contains(hint)
     return out
