@@ -6,9 +6,9 @@ from sigloom.session import ship_package
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that fail the rules go."""
+    """Documents that fail the rules go, and lines that a host repeats too often; the character count follows."""
     ship_package(spark)
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def exact_copies(spark, docs, sf_dir):

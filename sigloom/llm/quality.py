@@ -57,9 +57,9 @@ def with_counts(df: DataFrame, text: Column) -> DataFrame:
 
 
 def _distinct_lines(rows: DataFrame) -> DataFrame:
-    """``host, line, text_hash, words, chars``: each line hash of each text; ``words`` and ``chars`` add up its repeats in that text."""
-    lines = rows.select("host", "text_hash", F.explode(_lines(F.col("text"))).alias("l"))
-    return lines.select("host", "text_hash", F.xxhash64(line_key(F.col("l"))).alias("line"),
+    """``host, text_hash, at, line, words, chars``: each line that is not blank, with its place among all lines of its text."""
+    lines = rows.select("host", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "l")).filter(F.length(without_space(F.col("l"))) > 0)
+    return lines.select("host", "text_hash", "at", F.xxhash64(line_key(F.col("l"))).alias("line"),
                         F.size(words_of(F.col("l"))).cast("long").alias("words"), F.length(without_space(F.col("l"))).cast("long").alias("chars"))
 
 
@@ -76,7 +76,7 @@ def frequent_lines(rows: DataFrame, max_texts=MAX_TEXTS, max_share_percent=MAX_S
 
 
 def removed(rows: DataFrame, written: Written, max_texts=MAX_TEXTS, max_share_percent=MAX_SHARE_PERCENT) -> DataFrame:
-    """``host, text_hash, gone_words, gone_chars`` of the texts that hold a frequent line.
+    """``host, text_hash, gone_words, gone_chars, gone_at`` of the texts that hold a frequent line; ``gone_at`` are the places of those lines, in order.
 
     The frequent lines are written first, so that the join with all lines knows their true size.
     """
@@ -84,11 +84,25 @@ def removed(rows: DataFrame, written: Written, max_texts=MAX_TEXTS, max_share_pe
     copies = rows.select("host", "text_hash", "text")
     # a line may stand in a text more than once, and a text in a host more than once: repeats of the text are divided out again
     hit = _distinct_lines(copies).join(frequent, ["host", "line"])
-    per_text = hit.groupBy("host", "text_hash").agg(F.sum("words").alias("all_words"), F.sum("chars").alias("all_chars"))
+    per_text = hit.groupBy("host", "text_hash").agg(
+        F.sum("words").alias("all_words"), F.sum("chars").alias("all_chars"), F.sort_array(F.collect_set("at")).alias("gone_at"))
     times = rows.groupBy("host", "text_hash").agg(F.count("*").alias("times"))
     return per_text.join(times, ["host", "text_hash"]).select(
         F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), (F.col("all_words") / F.col("times")).cast("long").alias("gone_words"),
-        (F.col("all_chars") / F.col("times")).cast("long").alias("gone_chars"))
+        (F.col("all_chars") / F.col("times")).cast("long").alias("gone_chars"), "gone_at")
+
+
+def without_lines(text: Column, gone_at: Column) -> Column:
+    """``text`` without the lines at the places ``gone_at``, in order; all of it where that is null.
+
+    The lines between two places are taken as one slice, so the work grows with the text and not with lines times places.
+    """
+    def kept(lines):
+        ends = F.concat(gone_at, F.array(F.size(lines)))
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1)
+        return F.array_join(F.flatten(F.transform(ends, lambda end, i: F.slice(lines, begin(i) + 1, end - begin(i)))), "\n")
+
+    return F.when(F.size(gone_at) > 0, F.transform(F.array(F.split(text, "\n", -1)), kept)[0]).otherwise(text)
 
 
 def _verdict(counted: DataFrame) -> DataFrame:
@@ -118,7 +132,16 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
 
 
-def keep_good(docs: DataFrame, text_col="text", host_col="source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns and their whole texts.  The rules are those of ``judge``."""
+def keep_good(docs: DataFrame, text_col="text", host_col="source", chars_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; frequent lines are taken out of their texts, and ``chars_col`` gets the new number of code points.
+
+    The rules are those of ``judge``.  A text without frequent lines stays as it is.
+    """
     carried = Carried(docs)
-    return carried.back(_judged(carried.frame, carried.col(text_col), carried.col(host_col)).filter("kept"))
+    text = without_lines(carried.col(text_col).cast("string"), F.col("gone_at"))
+    kept = _judged(carried.frame, carried.col(text_col), carried.col(host_col)).filter("kept").withColumn("q_clean", text)
+    replaced = {text_col: F.col("q_clean")}
+    if chars_col:
+        hit = F.size("gone_at") > 0
+        replaced[chars_col] = F.when(hit, F.length("q_clean").cast(docs.schema[chars_col].dataType)).otherwise(carried.col(chars_col))
+    return carried.back(kept, **replaced)

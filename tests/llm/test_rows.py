@@ -168,6 +168,20 @@ def test_frequent_lines_are_removed_and_depleted_documents_go(spark):
     assert kept == {r[0] for r, in ((k,) for k in got if k[-1])} and 101 in kept and 200 in kept and 0 not in kept
 
 
+def test_kept_texts_lose_their_frequent_lines_in_order(spark):
+    own = [" ".join(f"{a}{b}" for b in "bcdfghjklmno") for a in "aei"]
+    foot, bare = "Shared footer {} of all pages here", {}
+    rows = []
+    for i in range(40):
+        mine = [f"{line} number n{'x' * i}" for line in own]
+        rows.append((i, "\n".join([foot.format(4 + i % 6), mine[0], "", foot.format(1), foot.format(2).upper(), mine[1], " ", mine[2], foot.format(3), ""]), "h", 7))
+        bare[i] = "\n".join([mine[0], "", mine[1], " ", mine[2], ""])
+    rows += [(1, *rows[1][1:]), (100, own[0] + "\n" + own[1] + "\r\n", "h", 5), (101, rows[0][1], "other", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = Counter(tuple(r) for r in quality.keep_good(df, chars_col="n_chars").collect())
+    assert got == Counter([(i, bare[i], "h", len(bare[i])) for i in [*range(40), 1]] + [rows[-2], rows[-1]])
+
+
 def test_quality_keeps_columns(odd_docs, no_docs):
     kept = quality.keep_good(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r["kept"] for r in quality.judge(odd_docs).collect())
