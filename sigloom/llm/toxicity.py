@@ -188,6 +188,10 @@ def _specific(found: dict[str, tuple[int, float]], share=0.8) -> dict[str, tuple
     return {term: v for term, v in found.items() if largest.get(term, 0) < share * v[0]}
 
 
+#: Exception phrases that are looked at: the most frequent in clean texts, by phrase where counts are equal.
+MOST_EXCEPTIONS = 10_000
+
+
 def _learned_exceptions(fit: DataFrame, lexicon: Lexicon, min_texts=3) -> tuple[str, ...]:
     """Pairs of a hit word and its neighbour that clean texts use and toxic ones hardly do."""
     def phrases(batch):
@@ -201,7 +205,8 @@ def _learned_exceptions(fit: DataFrame, lexicon: Lexicon, min_texts=3) -> tuple[
             out.update(p for p in seen if p.count(" ") == 1)
         return out
 
-    clean = {r["term"]: r["n"] for r in _counted(fit.filter("label = 0").select("text"), phrases).filter(F.col("n") >= min_texts).limit(10_000).collect()}
+    clean = {r["term"]: r["n"] for r in _counted(fit.filter("label = 0").select("text"), phrases).filter(F.col("n") >= min_texts)
+             .orderBy(F.desc("n"), "term").limit(MOST_EXCEPTIONS).collect()}
     if not clean:
         return ()
     toxic = {r["term"]: r["n"] for r in _counted(fit.filter("label = 1").select("text"), phrases).filter(F.col("term").isin(list(clean))).collect()}

@@ -363,6 +363,13 @@ def test_toxicity_learns_only_outside_the_held_out_fold(spark, odd_docs):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+def test_exception_phrases_beyond_the_limit_go_by_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_EXCEPTIONS", 3)
+    rows = [(f"trash {word}", 0) for word, n in (("can", 9), ("bin", 4), ("bag", 4), ("day", 4), ("lid", 3)) for _ in range(n)]
+    fit = spark.createDataFrame(rows, "text string, label int").repartition(4)
+    assert toxicity._learned_exceptions(fit, toxicity.Lexicon({" trash ": 4.0}, ())) == ("trash bag", "trash bin", "trash can")
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score_by_labels(odd_docs, none).collect()
