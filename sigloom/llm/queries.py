@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sigloom.llm import chat, exact_dedup, ngram_join, packing, pii, quality, sharding, spiece, token_counts, toxicity
+from sigloom.llm import chat, exact_dedup, ngram_join, packing, pii, quality, sharding, spiece, token_counts, toxicity, whitening
 from sigloom.llm.common import pick
 from sigloom.llm.sql import CHAT, EXACT_DEDUP, NEAR_COPIES, QUALITY, sharding_sql
 from sigloom.session import cut_lineage, ensure_checkpoint_dir
@@ -79,8 +79,12 @@ def op10_surrogates(spark, folder):
     return pii.report(_table(spark, folder, "documents"))
 
 
+def op11_whitening(spark, folder):
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_best_fit, op3_feistel_shards, op4_ngram_jaccard, op5_pieces, op6_preference_pairs, op7_exact_copies, op8_line_frequency,
-                                  op9_weighted_lexicon, op10_surrogates)}
+                                  op9_weighted_lexicon, op10_surrogates, op11_whitening)}
 SQL = {
     "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS),
     "op4_ngram_jaccard": NEAR_COPIES,
