@@ -102,3 +102,23 @@ reach(k, r) as (select k, k from n union select reach.k, link.b from reach join
 low as (select reach.k, min(n.doc_id) as component_id from reach join n on n.k = reach.r group by reach.k)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(low.component_id, d.doc_id) as component_id from d left join n on n.k = d.k left join low on low.k = d.k
 """
+
+
+def prefix_trie_sql(group, heads):
+    crc = f"xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: unicode(c)::bigint), lambda c, b: {_STEP}), 4294967295::bigint)"
+    return f"""
+with turns as (select conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) as t, turn from conversations where conv_id is not null),
+own as (select conv_id, list(t order by turn nulls first, t) as s, {crc} % {heads} as h from turns group by conv_id),
+rebuilt as (select o.conv_id, list_slice(coalesce(b.s, []), 1, o.h) || list_slice(o.s, o.h + 1, len(o.s)) as s
+  from own o left join own b on b.conv_id = o.conv_id - o.conv_id % {group}),
+prefixes as (select conv_id, d, list_slice(s, 1, d) as p, d = len(s) as last from rebuilt, unnest(range(len(s) + 1)) as u(d)),
+nodes as (select p, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) as ends_sha256 from prefixes group by p),
+kids as (select list_slice(p, 1, depth - 1) as p, count(*) as n_children from nodes where depth > 0 group by 1),
+counted as (select nodes.*, coalesce(n_children, 0) as n_children,
+  case when depth = 0 then 0 else (n_convs - 1) * length(list_extract(p, depth).text) end as saved from nodes left join kids using (p)),
+below as (select list_slice(p, 1, k) as p, sum((n_children = 0)::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens
+  from counted, unnest(range(depth + 1)) as u(k) group by 1)
+select c.conv_id, c.depth, up.conv_id as parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+from counted c join below using (p) left join nodes up on c.depth > 0 and up.p = list_slice(c.p, 1, c.depth - 1)
+"""
