@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sigloom.llm import chat, exact_dedup, ngram_join, packing, pii, prefix_trie, quality, sharding, spiece, token_counts, toxicity, whitening
+from sigloom.llm import chat, exact_dedup, lbl, ngram_join, packing, pii, prefix_trie, quality, sharding, spiece, token_counts, toxicity, whitening
 from sigloom.llm.common import pick
 from sigloom.llm.sql import CHAT, EXACT_DEDUP, NEAR_COPIES, QUALITY, prefix_trie_sql, sharding_sql
 from sigloom.session import cut_lineage, ensure_checkpoint_dir
@@ -87,8 +87,12 @@ def op12_prefix_trie(spark, folder):
     return prefix_trie.conversation_trie(_table(spark, folder, "conversations"), rebuild=True)
 
 
+def op13_log_bilinear(spark, folder):
+    return lbl.score(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_rollup, op2_best_fit, op3_feistel_shards, op4_ngram_jaccard, op5_pieces, op6_preference_pairs, op7_exact_copies, op8_line_frequency,
-                                  op9_weighted_lexicon, op10_surrogates, op11_whitening, op12_prefix_trie)}
+                                  op9_weighted_lexicon, op10_surrogates, op11_whitening, op12_prefix_trie, op13_log_bilinear)}
 SQL = {
     "op3_feistel_shards": sharding_sql(sharding.round_keys(0), sharding.PRIME, *sharding.MULTIPLIERS, SHARDS),
     "op4_ngram_jaccard": NEAR_COPIES,
