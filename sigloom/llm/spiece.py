@@ -98,9 +98,13 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def build(model: Model):
-    """The tokenizer of ``model``: normaliser, space mark, unigram scores or merges, byte fallback, and the decoder that undoes them."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+def build(model: Model, bytes_first=False):
+    """The tokenizer of ``model``: normaliser, space mark, unigram scores or merges, byte fallback, and the decoder that undoes them.
+
+    The decoder turns marks into spaces before it joins byte pieces, as bytes that spell a mark are no space.  ``bytes_first`` joins first, which is
+    cheaper and the same for ids without the mark's first byte.  Texts are not cut before merging: the library's merge queue takes them whole.
+    """
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.model_type == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
@@ -113,24 +117,45 @@ def build(model: Model):
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ +| +$"), "")]
     steps += [normalizers.Prepend(MARK)] * model.dummy_prefix + [normalizers.Replace(" ", MARK)]
     tokenizer.normalizer = normalizers.Sequence(steps)
-    joined = any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
-    if model.model_type == BPE and not joined:
-        # no piece has a mark behind another letter, so no merge crosses the place before a mark, and words can be cached
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix
+    spaces, joined = [decoders.Replace(MARK, " ")], [decoders.ByteFallback(), decoders.Fuse()]
+    undo = (joined + spaces if bytes_first else spaces + joined) + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix
     tokenizer.decoder = decoders.Sequence(undo)
     return tokenizer
 
 
+class Codec:
+    """Both libraries on one model file."""
+
+    def __init__(self, data: bytes):
+        import sentencepiece
+
+        model = parse_model(data)
+        self.exact, self.quick, self.own = build(model), build(model, bytes_first=True), sentencepiece.SentencePieceProcessor(model_proto=data)
+        first = f"<0x{MARK.encode()[0]:02X}>"
+        self.mark_byte = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == first), -1)
+        self.space_byte = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x20>"), -1) if model.dummy_prefix else -1
+        self.mark = next((i for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL and p == MARK), -1)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.quick.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        # a space that is written as a byte is no mark: a mark before it takes its place as the one that is stripped
+        ids = [[self.mark, *x] if x and x[0] == self.space_byte and self.mark >= 0 else x for x in ids]
+        odd = [i for i, x in enumerate(ids) if self.mark_byte in x]
+        out = self.quick.decode_batch(ids, skip_special_tokens=False)
+        for i, text in zip(odd, self.exact.decode_batch([ids[i] for i in odd], skip_special_tokens=False)):
+            out[i] = text
+        return out
+
+
 @lru_cache(maxsize=4)
-def _loaded(path: str, threads: int):
-    """One tokenizer per worker process, read where the executor can: the given path, or the copy that Spark shipped."""
+def _loaded(path: str, threads: int) -> Codec:
+    """One codec per worker process, read where the executor can: the given path, or the copy that Spark shipped."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     data = open(path, "rb").read() if os.path.exists(path) else open(SparkFiles.get(os.path.basename(path)), "rb").read()
-    import sentencepiece
-
-    return build(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    return Codec(data)
 
 
 def _chunks(column, limit=CHUNK):
@@ -157,24 +182,26 @@ def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", thread
     """One row per row: ``doc_id, ids, round_trip, parity``.
 
     ``round_trip`` tells that the decoder gives the very text back.  ``parity`` tells that the model's own library gives the same ids; it is asked for one row in
-    ``verify_every`` (1: all, 0: none), chosen by the hash of the text, and null for the others.  A null text has null ids and a
-    null ``round_trip``; an empty one has no ids.  ``threads`` encode the texts of a batch side by side.
+    ``verify_every`` (1: all, 0: none), chosen by the hash of the text, and null for the others.  A null text has nulls in all
+    three; an empty one has no ids.  Rows that repeat come out as often; further columns, whatever their names, are left out.  ``threads`` encode the texts of a batch side by side.
     """
     def run(batches):
-        tokenizer, own, *_ = _loaded(path, threads)
+        codec = _loaded(path, threads)
         for batch in batches:
             at = 0
             for part in _chunks(batch.column("text")):
-                texts = [t or "" for t in part]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                whole = [back == t for t, back in zip(texts, tokenizer.decode_batch(ids, skip_special_tokens=False))]
+                texts = list(dict.fromkeys(t for t in part if t is not None))  # a text that repeats in the batch is coded once
+                coded = codec.encode(texts)
+                whole = [back == t for t, back in zip(texts, codec.decode(coded))]
+                asked = [i for i, t in enumerate(texts) if verify_every == 1 or verify_every and zlib.crc32(t.encode()) % verify_every == 0]
                 same = [None] * len(texts)
-                asked = [i for i, t in enumerate(texts) if verify_every and zlib.crc32(t.encode()) % verify_every == 0]
-                for i, other in zip(asked, own.encode([texts[i] for i in asked], num_threads=threads)):
-                    same[i] = ids[i] == other
+                for i, other in zip(asked, codec.own.encode([texts[i] for i in asked], num_threads=threads)):
+                    same[i] = coded[i] == other
+                place = {t: i for i, t in enumerate(texts)}
+                at_of = [None if t is None else place[t] for t in part]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, len(part)), pa.array([None if t is None else i for i, t in zip(ids, part)], pa.list_(pa.int32())),
-                    pa.array([None if t is None else w for w, t in zip(whole, part)], pa.bool_()), pa.array(same, pa.bool_())],
+                    batch.column("doc_id").slice(at, len(part)), *[
+                        pa.array([None if i is None else values[i] for i in at_of], kind) for values, kind in ((coded, pa.list_(pa.int32())), (whole, pa.bool_()), (same, pa.bool_()))]],
                     names=["doc_id", "ids", "round_trip", "parity"])
                 at += len(part)
 
@@ -184,14 +211,14 @@ def encode(texts: DataFrame, path: str, id_col="doc_id", text_col="text", thread
 
 
 def decode(rows: DataFrame, path: str, id_col="doc_id", ids_col="ids", threads=2) -> DataFrame:
-    """``doc_id, text`` of ids; null ids give a null text."""
+    """``doc_id, text`` of ids, one row per row, repeated ones too; null ids give a null text, no ids an empty one.  Further columns are left out."""
     def run(batches):
-        tokenizer, *_ = _loaded(path, threads)
+        codec = _loaded(path, threads)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 lists = some.column("ids").to_pylist()
-                texts = tokenizer.decode_batch([i or [] for i in lists], skip_special_tokens=False)
+                texts = codec.decode([i or [] for i in lists])
                 texts = pa.array([None if i is None else t for i, t in zip(lists, texts)], pa.string())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), texts], names=["doc_id", "text"])
 
