@@ -127,26 +127,33 @@ class Rollup:
         return self._create(f"commits/{batch}.json", {"data": data})
 
     def checkpoint(self, name: str) -> None:
-        """Fold all that is committed now into one table, so that totals read one folder and what came after it."""
-        records = self._records()
+        """Fold all that is committed now into one table, so that totals read one folder and what came after it.
+
+        The records are listed once; a batch that another writer commits meanwhile is neither in the fold's data nor in its list.
+        """
+        tables, batches = self._tables()
         data = f"deltas/{name}-{uuid.uuid4().hex}"
-        self.totals(zeros=True).write.parquet(f"{self.folder}/{data}")
-        self._create(f"folds/{name}.json", {"data": data, "batches": sorted(records)})
+        self._summed(tables).write.parquet(f"{self.folder}/{data}")
+        self._create(f"folds/{name}.json", {"data": data, "batches": batches})
 
-    def _tables(self):
-        records, folds = self._records(), []
+    def _tables(self) -> tuple[list[str], list[str]]:
+        """The folders that hold everything committed, and the batches in them, from one listing of the records."""
+        folds = []
         found = self._path("folds")
         if self._fs.exists(found):
             folds = [json.loads(self._read(f"folds/{s.getPath().getName()}")) for s in self._fs.listStatus(found)]
+        records = self._records()  # after the folds: what a fold holds has a record already
         best = max(folds, key=lambda f: len(f["batches"]), default={"batches": []})
-        return ([best["data"]] if "data" in best else []) + [r["data"] for b, r in sorted(records.items()) if b not in set(best["batches"])]
+        folded = set(best["batches"])
+        return ([best["data"]] if "data" in best else []) + [r["data"] for b, r in sorted(records.items()) if b not in folded], sorted(folded | set(records))
 
-    def totals(self, zeros=False) -> DataFrame:
-        """``source, lang, tokenizer, docs, tokens`` over all committed batches; groups that are back at nothing are left out."""
-        tables = self._tables()
+    def _summed(self, tables: list[str]) -> DataFrame:
         rows = self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/{t}" for t in tables]) if tables else self.spark.createDataFrame([], DELTA)
-        out = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        return out if zeros else out.filter("docs <> 0 or tokens <> 0")
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer, docs, tokens`` over all committed batches; groups that are back at nothing are left out."""
+        return self._summed(self._tables()[0]).filter("docs <> 0 or tokens <> 0")
 
 
 def counted_documents(docs: DataFrame, file: str, pattern: str, version: str, source_col="source", lang_col="lang", text_col="text", id_col="doc_id") -> DataFrame:

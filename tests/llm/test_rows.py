@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.llm import exact_dedup, quality, sharding, token_counts
+from sigloom.llm.common import pick
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,6 +211,34 @@ def test_rollup_adds_up_and_is_idempotent(spark, tmp_path):
     assert ("b", "fr", "v2", 2, 6) in {tuple(r) for r in rollup.totals().collect()}
 
 
+def test_a_batch_committed_while_a_fold_is_made_counts_once(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "rollup"))
+    rollup.commit("one", spark.createDataFrame([("insert", "a", "en", "v1", 5, None)], CHANGES))
+    late = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], CHANGES)
+    create, records, calls = rollup._create, rollup._records, []
+
+    def during(at):
+        if at not in calls:
+            calls.append(at)
+            token_counts.Rollup(spark, str(tmp_path / "rollup")).commit(at, late)
+    monkeypatch.setattr(rollup, "_create", lambda *a: (during("before-the-fold-is-named"), create(*a))[1])
+    monkeypatch.setattr(rollup, "_records", lambda: (records(), during("after-the-records-are-listed"))[0])
+    rollup.checkpoint("fold")
+    assert len(calls) == 2
+    assert [tuple(r) for r in token_counts.Rollup(spark, str(tmp_path / "rollup")).totals().collect()] == [("a", "en", "v1", 3, 25)]
+
+
+def test_rollup_query_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    pytest.importorskip("tiktoken")
+    from sigloom.llm.queries import op1_token_rollup
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 1), (8, 1, 0), (None, 0, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", pick(odd_docs, doc_id="doc_id", text="text", source="source", lang="lang")), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = {r["source"]: (r["docs"], r["tokens"]) for r in op1_token_rollup(spark, str(tmp_path / "odd")).groupBy("source").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"a": 2, "b": 4, "c": 1, None: 2} and op1_token_rollup(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_two_writers_of_one_batch_count_once(spark, tmp_path):
     a, b = (token_counts.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
     assert a._create("commits/x.json", {"data": "d"}) and not b._create("commits/x.json", {"data": "e"})
