@@ -25,8 +25,9 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof"
 
 _GLYPHS = str.maketrans({**HOMOGLYPHS, **{chr(0xFF21 + i): chr(97 + i) for i in range(26)}, **{chr(0xFF41 + i): chr(97 + i) for i in range(26)},
                          "​": None, "‌": None, "‍": None, "­": None})
-# a stand-in counts when letters follow it in the same word, and a letter or another stand-in begins the word
-_STANDIN = re.compile(r"[013457@$](?=[013457@$]*[^\W\d_])")
+# stand-ins count when a letter follows their run; each run is matched once
+_STANDINS, _LETTER = re.compile(r"[013457@$]+"), re.compile(r"[^\W\d_]")
+_LETTERS_FOR = str.maketrans(WRITTEN_FOR)
 _OTHER = re.compile(r"[\W_]+")
 PREFIXES = range(3, 9)
 
@@ -34,7 +35,7 @@ PREFIXES = range(3, 9)
 def fold(text: str) -> str:
     """Lower case, look-alikes as Latin letters, stand-ins inside words as letters, words parted by one space, a space at both ends."""
     text = text.lower().translate(_GLYPHS)
-    text = _STANDIN.sub(lambda m: WRITTEN_FOR[m[0]], text)
+    text = _STANDINS.sub(lambda m: m[0].translate(_LETTERS_FOR) if _LETTER.match(m.string, m.end()) else m[0], text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
@@ -42,7 +43,7 @@ def terms_of(text: str) -> set[str]:
     """Every term a text offers to the lexicon."""
     out = set()
     for word in set(fold(text).split()):
-        out.add(f" {word[:40]} " if len(word) <= 40 else f" {word[:40]}")
+        out.add(f" {word} ")
         out.update(f" {word[:k]}" for k in PREFIXES if k < len(word))
     return out
 
@@ -77,7 +78,16 @@ class Lexicon:
                 free.append((start, end))
             elif start not in best or best[start][0] < weight:
                 best[start] = (weight, length)
-        return {s: v for s, v in best.items() if not any(a <= s < b for a, b in free)} if free else best
+        if not free:
+            return best
+        out, reach, at = {}, -1, 0
+        free.sort()
+        for start in sorted(best):
+            while at < len(free) and free[at][0] <= start:
+                reach, at = max(reach, free[at][1]), at + 1
+            if start >= reach:
+                out[start] = best[start]
+        return out
 
     def density(self, text: str, automaton) -> float:
         """Weight over a power of the length, on a log scale: a few hits in a long text are thinner than in a short one, but not nothing.
@@ -102,8 +112,6 @@ class Training:
     A term must reach ``min_weight`` and ``min_share`` of the largest weight: among many thousand words some lean to one side by chance.
     """
     rows_per_class: int = 12_000
-    max_terms: int = 5_000
-    max_candidates: int = 200_000
     min_texts: int = 4
     min_weight: float = 2.0
     min_z: float = 3.0
@@ -141,8 +149,8 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training, written: Written)
 def learn(docs: DataFrame, labels: DataFrame, how: Training = Training(), exceptions=EXCEPTIONS) -> Lexicon:
     """A lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, label).  Without rows of both labels it stays empty.
 
-    Weights come from all folds but the held-out and the calibration fold; the curve is fitted on the latter.  No more than the bounded
-    sample and ``max_candidates`` terms ever reach the driver.
+    Weights come from all folds but the held-out and the calibration fold; the curve is fitted on the latter.  What reaches the
+    driver are counts of terms and phrases that stand in several texts of the bounded sample.
     """
     written = Written(docs.sparkSession)
     rows, stands_for = sample(docs, labels, how, written)
@@ -157,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Training = Training(), except
         return Counter(t for text in texts(batch) for t in terms_of(text))
 
     toxic = _counted(fit.filter("label = 1").select("text"), offered).filter(F.col("n") >= how.min_texts)
-    toxic = {r["term"]: r["n"] for r in toxic.orderBy(F.desc("n"), "term").limit(how.max_candidates).collect()}
+    toxic = {r["term"]: r["n"] for r in toxic.collect()}
 
     def known(batch):
         return Counter(t for text in texts(batch) for t in terms_of(text) & toxic.keys())
@@ -172,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Training = Training(), except
             found[term] = (t, float(odds))
     least = how.min_share * max((w for _, w in found.values()), default=0.0)
     found = _specific({term: v for term, v in found.items() if v[1] >= least})
-    kept = sorted(found, key=lambda term: (-found[term][0] * found[term][1], term))[:how.max_terms]
+    kept = sorted(found, key=lambda term: (-found[term][0] * found[term][1], term))
     lexicon = Lexicon({term: found[term][1] for term in kept}, tuple(exceptions))
     lexicon.exceptions += _learned_exceptions(fit, lexicon)
     return _calibrated(lexicon, rows.filter(F.col("fold") == how.calibration), stands_for)
@@ -188,10 +196,6 @@ def _specific(found: dict[str, tuple[int, float]], share=0.8) -> dict[str, tuple
     return {term: v for term, v in found.items() if largest.get(term, 0) < share * v[0]}
 
 
-#: Exception phrases that are looked at: the most frequent in clean texts, by phrase where counts are equal.
-MOST_EXCEPTIONS = 10_000
-
-
 def _learned_exceptions(fit: DataFrame, lexicon: Lexicon, min_texts=3) -> tuple[str, ...]:
     """Pairs of a hit word and its neighbour that clean texts use and toxic ones hardly do."""
     def phrases(batch):
@@ -205,11 +209,14 @@ def _learned_exceptions(fit: DataFrame, lexicon: Lexicon, min_texts=3) -> tuple[
             out.update(p for p in seen if p.count(" ") == 1)
         return out
 
-    clean = {r["term"]: r["n"] for r in _counted(fit.filter("label = 0").select("text"), phrases).filter(F.col("n") >= min_texts)
-             .orderBy(F.desc("n"), "term").limit(MOST_EXCEPTIONS).collect()}
+    clean = {r["term"]: r["n"] for r in _counted(fit.filter("label = 0").select("text"), phrases).filter(F.col("n") >= min_texts).collect()}
     if not clean:
         return ()
-    toxic = {r["term"]: r["n"] for r in _counted(fit.filter("label = 1").select("text"), phrases).filter(F.col("term").isin(list(clean))).collect()}
+
+    def met(batch):
+        return Counter({p: n for p, n in phrases(batch).items() if p in clean})
+
+    toxic = {r["term"]: r["n"] for r in _counted(fit.filter("label = 1").select("text"), met).collect()}
     return tuple(sorted(p for p, n in clean.items() if n > toxic.get(p, 0)))
 
 
@@ -241,6 +248,7 @@ def score(docs: DataFrame, lexicon: Lexicon, folds=5, held_out=0, id_col="doc_id
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Only the text counts.  A null or empty text has no hits and gets the score of a text without hits; a null id is never held out.
+    Rows that repeat come out as often; an empty table gives none; further columns, whatever their names, are left out.
     """
     def scored(batches):
         automaton = lexicon.automaton()
@@ -261,7 +269,11 @@ def held_out_fold(doc_id: int, folds=5) -> int:
 
 
 def score_by_labels(docs: DataFrame, labels: DataFrame, how: Training = Training(), id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
-    """Learn from the labels outside the held-out fold, then ``score`` every document."""
+    """Learn from the labels outside the held-out fold, then ``score`` every document.
+
+    Several labels of one id count as the largest, labels without an id or document and repeated texts of the sample not at all; without labels of
+    both kinds the lexicon is empty and all scores are equal.
+    """
     narrow = pick(docs, doc_id=id_col, text=text_col)
     lexicon = learn(narrow, pick(labels, doc_id=id_col, label=label_col), how)
     return score(narrow, lexicon, how.folds, how.held_out)

@@ -1,7 +1,9 @@
 """Near copies, packing, pieces, chat, toxicity, surrogates and the pipeline against plain Python."""
 
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -378,11 +380,96 @@ def test_toxicity_learns_only_outside_the_held_out_fold(spark, odd_docs):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
-def test_exception_phrases_beyond_the_limit_go_by_count(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MOST_EXCEPTIONS", 3)
+def test_exception_phrases_are_those_that_clean_texts_use(spark):
     rows = [(f"trash {word}", 0) for word, n in (("can", 9), ("bin", 4), ("bag", 4), ("day", 4), ("lid", 3)) for _ in range(n)]
     fit = spark.createDataFrame(rows, "text string, label int").repartition(4)
-    assert toxicity._learned_exceptions(fit, toxicity.Lexicon({" trash ": 4.0}, ())) == ("trash bag", "trash bin", "trash can")
+    assert toxicity._learned_exceptions(fit, toxicity.Lexicon({" trash ": 4.0}, ())) == ("trash bag", "trash bin", "trash can", "trash day", "trash lid")
+    toxic = spark.createDataFrame([("trash day", 1)] * 4 + [("trash lid", 1)] * 3, "text string, label int")
+    assert toxicity._learned_exceptions(fit.unionAll(toxic), toxicity.Lexicon({" trash ": 4.0}, ())) == ("trash bag", "trash bin", "trash can")
+
+
+def _plain_fold(text):
+    text = "".join(toxicity._GLYPHS.get(ord(c), c) if not isinstance(toxicity._GLYPHS.get(ord(c)), int) else chr(toxicity._GLYPHS[ord(c)]) for c in text.lower() if toxicity._GLYPHS.get(ord(c), c) is not None)
+    letter, out = [bool(re.match(r"[^\W\d_]", c)) for c in text], []
+    for i, c in enumerate(text):
+        j = i
+        while j < len(text) and text[j] in toxicity.WRITTEN_FOR:
+            j += 1
+        out.append(toxicity.WRITTEN_FOR[c] if c in toxicity.WRITTEN_FOR and j < len(text) and letter[j] else c)
+    return " " + " ".join(re.findall(r"[^\W_]+", "".join(out))) + " "
+
+
+def _plain_density(text, lexicon):
+    """The measure of a text by looking for every term at every place."""
+    folded = _plain_fold(text)
+    free = set()
+    for phrase in lexicon.exceptions:
+        f, at = _plain_fold(phrase), folded.find(_plain_fold(phrase))
+        while f.strip() and at >= 0:
+            free.update(range(at, at + len(f) - 1))
+            at = folded.find(f, at + 1)
+    times = Counter()
+    for at in (i for i, c in enumerate(folded) if c == " " and i not in free):
+        found = [(w, t) for t, w in lexicon.weights.items() if folded.startswith(t, at)]
+        if found:
+            best = max(w for w, _ in found)
+            times[next(t for w, t in found if w == best), best] += 1
+    total = sum(w * (1 + math.log(n)) for (_, w), n in times.items())
+    return math.log1p(10 * total / (len(folded.split()) + lexicon.smoothing) ** lexicon.length_power)
+
+
+def test_densities_equal_a_search_for_every_term():
+    rng = random.Random(8)
+    words = ["loser", "los", "lost", "l0ser", "trash", "can", "bin", "idiot", "1d1ot", "fine", "a_b", "100$", "$$$", "тrash", "stupidity", "stupid", "é", "Ｘx"]
+    lexicon = toxicity.Lexicon({" loser ": 3.0, " los": 1.5, " trash ": 2.0, " idiot ": 4.0, " stu": 1.0, " stup": 2.5}, ("trash can", "idiot fine", "can trash", "stupid stupid"))
+    automaton = lexicon.automaton()
+    for _ in range(600):
+        text = "".join(rng.choice(words) + rng.choice([" ", "-", "", "\n", ". "]) for _ in range(rng.randint(0, 25)))
+        assert toxicity.fold(text) == (_plain_fold(text) if _plain_fold(text).strip() else "  ")
+        assert abs(lexicon.density(text, automaton) - _plain_density(text, lexicon)) < 1e-12
+
+
+def test_scores_and_learnt_weights_equal_plain_python(spark):
+    rng, rows = random.Random(16), []
+    for i in range(400):
+        words = [f"w{rng.randrange(60)}" for _ in range(25)] + (["trash", "can"] if i % 7 == 0 else [])
+        if i % 4 == 0:
+            words += rng.sample(["badword", "ugl1er", "stemmier", "trash", "x" * 60], 2)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    how = toxicity.Training()
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", F.col("toxic").alias("label")), how)
+    fit = [(t, label) for i, t, label in rows if toxicity.held_out_fold(i) not in (how.held_out, how.calibration)]
+    seen = {0: Counter(), 1: Counter()}
+    for text, label in fit:
+        terms = set()
+        for w in _plain_fold(text).split():
+            terms |= {f" {w} "} | {f" {w[:k]}" for k in range(3, 9) if k < len(w)}
+        seen[label].update(terms)
+    size = Counter(label for _, label in fit)
+    want = {}
+    for term, n in seen[1].items():
+        a, b = n + 0.5, seen[0][term] + 0.5
+        odds = math.log(a / (size[1] + 1)) - math.log(b / (size[0] + 1))
+        if n >= how.min_texts and odds >= how.min_weight and odds / math.sqrt(1 / a + 1 / b) >= how.min_z:
+            want[term] = (n, odds)
+    top = max(w for _, w in want.values())
+    want = {t: v for t, v in want.items() if v[1] >= how.min_share * top}
+    # of a word and its beginnings the longest stays that stands for four fifths of a beginning's texts
+    kept = {t: v[1] for t, v in want.items() if not any(o != t and o.startswith(t) and want[o][0] >= 0.8 * v[0] for o in want)}
+    assert f" {'x' * 60} " in lexicon.weights
+    assert lexicon.weights.keys() == kept.keys() and all(abs(lexicon.weights[t] - kept[t]) < 1e-12 for t in kept)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all(abs(scores[i] - 1 / (1 + math.exp(-(lexicon.intercept + lexicon.slope * _plain_density(t, lexicon))))) < 1e-12 for i, t, _ in rows)
+
+
+def test_very_long_texts_are_scored_in_linear_time():
+    lexicon = toxicity.Lexicon({" trash ": 2.0}, ("trash can",))
+    automaton = lexicon.automaton()
+    for text in ("0" * 1_000_000, "0" * 500_000 + "x" + "7" * 500_000, "trash can " * 100_000, "x1" * 500_000):
+        started = time.process_time()
+        lexicon.density(text, automaton)
+        assert time.process_time() - started < 5
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
