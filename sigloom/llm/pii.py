@@ -1,6 +1,6 @@
 """Surrogates for personal data: found entities are replaced by keyed ones of the same kind, script and format.
 
-A surrogate is a keyed permutation of the entity's shape: digits stay digits, upper case stays upper case, vowels of a name stay vowels of
+A surrogate is a keyed permutation of the entity's shape (of very long entities a keyed shift): digits stay digits, upper case stays upper case, vowels of a name stay vowels of
 its script, an address octet stays an octet, a card number keeps the remainder of its check digit, and titles, country codes and top-level
 domains stay as they are.  Equal entities therefore get equal surrogates in all documents, and different ones different surrogates.
 Everything is a Column expression.
@@ -24,11 +24,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}",
-    "keyed": r"(?<=(?i:token|secret|password|passwd|api_?key)[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?)[A-Za-z0-9_+/\-]{12,200}",
-    "access": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abprs]-[A-Za-z0-9\-]{10,72})(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128})(?![A-Za-z0-9])",
-    "hexup": r"(?<![A-Za-z0-9])(?:[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-](?:[\p{L}\p{N}\-.]*[\p{L}\p{N}\-])?\.\p{L}{2,}+",
+    "keyed": r"(?<=(?i:token|secret|password|passwd|api_?key)[ ]{0,2}[=:][ ]{0,2}[\x22\x27]?)[A-Za-z0-9_+/\-]{12,}+",
+    "access": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+)(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "hexup": r"(?<![A-Za-z0-9])[0-9A-F]{32,}+(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}(?:[ .\-]?\(\d{1,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|(?:[ .\-]\d{2,4}){3,5})|\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4})(?!\d|[.\-]\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -40,6 +40,10 @@ _KEYS = "(?i)token|secret|password|passwd|api_?key"
 _HINTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", *TITLES]
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
+#: Letters of other scripts, by their code ranges: accented Latin, Greek and Cyrillic, lower and upper case.
+_OTHERS = ["".join(chr(c) for c in range(a, b + 1) if chr(c).isalpha()) for a, b in ((0xDF, 0xFF), (0xC0, 0xDE), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F))]
+#: Entities beyond this length are shifted by a keyed digest of the whole instead of a permutation, in linear time; the collision check covers them.
+LONG = 256
 _ALPHABETS = {"hex": ["0123456789abcdef"], "hexup": ["0123456789ABCDEF"], "name": _SOUNDS}
 ROUNDS = 8
 #: Surrogates of shapes with at least this many members, half of them unused, are also kept apart from all entities of the corpus.
@@ -76,7 +80,7 @@ def _held(kind: Column, entity: Column) -> tuple[Column, Column]:
     front = F.when(kind == "phone", F.length(F.regexp_extract(entity, r"^\+\d{1,3}", 0))) \
         .when(kind == "access", F.length(F.regexp_extract(entity, r"^(?:AKIA|ASIA|gh._|sk-|xox.-)", 0))) \
         .when(kind == "name", F.length(F.regexp_extract(entity, r"^\S+ ", 0))).otherwise(0)
-    back = F.when(kind == "email", F.length(F.regexp_extract(entity, r"\.[A-Za-z]+$", 0))).when(kind == "card", 1).otherwise(0)
+    back = F.when(kind == "email", F.length(F.regexp_extract(entity, r"\.\p{L}+$", 0))).when(kind == "card", 1).otherwise(0)
     return front, back
 
 
@@ -101,12 +105,13 @@ def _cells(kind: Column, entity: Column) -> Column:
 
     octets = F.transform(F.split(entity, r"\."), lambda c: F.struct(
         F.try_to_number(c, F.lit("999")).cast("int").alias("v"), F.lit(256).alias("n"), F.lit("").alias("a"), c.alias("c")))
-    out = text_cells([_DIGITS, _LOW, _UP])
+    out = text_cells([_DIGITS, _LOW, _UP, *_OTHERS])
     for name, alphabets in _ALPHABETS.items():
         out = F.when(kind == name, text_cells(alphabets)).otherwise(out)
     counted = F.when(kind == "ip", octets).otherwise(out)
     return _once(counted, lambda at: F.transform(at, lambda x, i: F.struct(
-        x["v"].alias("v"), x["n"].alias("n"), x["a"].alias("a"), x["c"].alias("c"), F.size(F.filter(F.slice(at, 1, i), lambda y: y["n"] > 0)).alias("k"))))
+        x["v"].alias("v"), x["n"].alias("n"), x["a"].alias("a"), x["c"].alias("c"),
+        F.when(F.size(at) > LONG, i).otherwise(F.size(F.filter(F.slice(at, 1, i), lambda y: y["n"] > 0))).alias("k"))))
 
 
 def _luhn(text: Column) -> Column:
@@ -136,7 +141,14 @@ def _permuted(kind: Column, cells: Column, key: str) -> Column:
             F.when((x["n"] > 0) & (x["k"] % 2 == r % 2), F.pmod(x["v"] + F.pmod(F.xxhash64(d, x["k"]), F.greatest(x["n"], F.lit(1)).cast("long")), F.greatest(x["n"], F.lit(1)).cast("long")))
              .otherwise(x["v"].cast("long")).cast("int").alias("v"), x["n"].alias("n"), x["a"].alias("a"), x["c"].alias("c"), x["k"].alias("k"))))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), cells, step)
+    def shifted(at):
+        digest = F.sha2(F.concat_ws("|", F.lit(key), kind, F.array_join(F.transform(at, lambda x: x["c"]), ""), F.array_join(F.transform(at, lambda x: x["v"]), ",")), 256)
+        return _once(digest, lambda d: F.transform(at, lambda x: F.struct(
+            F.when(x["n"] > 0, F.pmod(x["v"] + F.pmod(F.xxhash64(d, x["k"]), F.greatest(x["n"], F.lit(1)).cast("long")), F.greatest(x["n"], F.lit(1)).cast("long")))
+             .otherwise(x["v"].cast("long")).cast("int").alias("v"), x["n"].alias("n"), x["a"].alias("a"), x["c"].alias("c"), x["k"].alias("k"))))
+
+    permuted = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), cells, step)
+    return F.when(F.size(cells) > LONG, shifted(cells)).otherwise(permuted)
 
 
 def _written_out(kind: Column, cells: Column) -> Column:

@@ -574,3 +574,25 @@ def test_pipeline_stages_work_on_what_is_left(spark, tmp_path, odd_docs):
     assert Counter({r["doc_id"]: 0 for r in packed}).keys() == private.keys() and sum(r["length"] for r in packed) == sum(len(t.encode()) + 1 for t in private.values())
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in run.collect()} == ids["n-gram Jaccard join"]
+
+
+def test_no_length_leaves_a_part_of_a_secret(spark):
+    rng = random.Random(12)
+    secrets = {"password: ": "".join(rng.choice("abcXYZ012") for _ in range(320)), "h ": "".join(rng.choice("0123456789abcdef") for _ in range(160)),
+               "H ": "".join(rng.choice("0123456789ABCDEF") for _ in range(200)), "k sk-": "".join(rng.choice("abcXYZ012") for _ in range(150)),
+               "x xoxb-": "".join(rng.choice("abc012-") for _ in range(150)) + "a", "token=": "".join(rng.choice("abc012") for _ in range(100_000))}
+    mails = ["x" * 70 + ".y@example.com", "jörg.müller@example.com", "info@münchen.de", "иван@почта.рф", "a@" + "b." * 5_000 + "com", "ab" * 3_000 + "@example.org"]
+    rows = [(i, f"before {k}{v} after") for i, (k, v) in enumerate(secrets.items())] + [(100 + i, f"write to {m}, or not") for i, m in enumerate(mails)]
+    rows += [(200, "a@" * 20_000), (201, "1." * 50_000), (202, "x@" + "1." * 50_000), (203, "f" * 100_000 + "g")]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (k, v) in enumerate(secrets.items()):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and len(new) == len(rows[i][1]) and new.startswith(f"before {k}") and new.endswith(" after")
+        same = sum(a == b for a, b in zip(new[len("before ") + len(k):], v))
+        assert same < 0.5 * len(v) and not any(v[at:at + 20] in new for at in range(0, min(len(v), 2000) - 20, 7))
+    for i, m in enumerate(mails):
+        new = got[100 + i]["text"].removeprefix("write to ").removesuffix(", or not")
+        assert got[100 + i]["n_entities"] == 1 and len(new) == len(m) and new != m and new.rpartition(".")[2] == m.rpartition(".")[2] and new.count("@") == 1
+    accented = [(a, b) for i, m in enumerate(mails[1:4]) for a, b in zip(got[101 + i]["text"].removeprefix("write to "), m.rpartition(".")[0]) if ord(b) > 127]
+    assert all(ord(a) > 127 for a, _ in accented) and sum(a != b for a, b in accented) > 0.7 * len(accented)
+    assert all(got[i]["n_entities"] == 0 and got[i]["text"] == rows[-4 + i - 200][1] for i in (200, 201, 202, 203))
