@@ -170,7 +170,7 @@ def run(spark, args):
         lines = reports.matrix_header(labels).unionByName(reports.matrix_lines(pairs, labels))
         lines.orderBy("ord").select("line").write.mode("overwrite").text(args.output)
     else:
-        found = plan.job(plan.prepare(sigs), queries).pairs()
+        found = plan.pairs(sigs, queries)
         a, b = (names.select(F.col("id").alias(f"ord_{e}"), F.col("name").alias(f"id_{e}")) for e in "ab")
         found = found.withColumnsRenamed({"id_a": "ord_a", "id_b": "ord_b"}) if "ord_a" not in found.columns else found.drop("id_a", "id_b")
         found = found.join(a, "ord_a").join(b, "ord_b")

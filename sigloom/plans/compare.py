@@ -7,7 +7,8 @@ from typing import Optional
 from pyspark.sql import DataFrame, functions as F
 
 from sigloom.model import DEFAULT_BIN_WIDTH, DEFAULT_THETA, relation_code
-from sigloom.operators import genes, kmers, reports, signatures, sketch, taxonomy
+from sigloom.functions.kernels import method_named
+from sigloom.operators import dealing, genes, kmers, reports, signatures, sketch, sketch_join, taxonomy
 from sigloom.operators.pairs import PairJob
 from sigloom.session import cut_lineage
 
@@ -129,7 +130,36 @@ class ComparePlan:
             sketch_size=self.signature.sketch_size, rows_per_tile=self.rows_per_tile)
 
     def pairs(self, sigs, queries=None):
-        return self.job(self.prepare(sigs), queries).pairs()
+        """The wanted pairs; with an upper limit, sketches are compared through an index and not in tiles."""
+        sigs = self.prepare(sigs)
+        if method_named(self.method).name == "approxANI" and self.below is not None and self.below < 1 and not self.common_format:
+            return self._indexed(sigs, queries)
+        return self.job(sigs, queries).pairs()
+
+    def _indexed(self, sigs, queries):
+        """The columns of ``PairJob.pairs``, from pairs of neighbours by input order."""
+        ordered, related = "ord" in sigs.columns, "lineage" in sigs.columns
+        key = "ord" if ordered else "id"
+        found = sketch_join.neighbours(sigs, self.below, self.theta or sketch.DEFAULT_K, self.signature.sketch_size, queries, key)
+        if self.include_self and queries is None and self.below >= 0:
+            own = sigs.where(F.size("sig") > 0).select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(0.0).alias("dist"))
+            found = found.unionAll(own)
+        if self.above is not None:
+            found = found.where(F.col("dist") >= self.above)
+        wanted = ["id_a", "id_b"] + ["ord_a", "ord_b"] * ordered + ["relation"] * related + ["dist"]
+        if ordered:
+            found = found.withColumnsRenamed({"id_a": "ord_a", "id_b": "ord_b"})
+        for end, side in (("a", sigs), ("b", sigs if queries is None else queries)):
+            more = [F.col("id").alias(f"id_{end}")] * ordered + [F.col("lineage").alias(f"_lineage_{end}")] * related
+            if more:
+                column = f"{'ord' if ordered else 'id'}_{end}"
+                other = column[:-1] + ("b" if end == "a" else "a")
+                found = dealing.dealt_join(found, side.select(F.col(key).alias(column), *more), [column], [other])
+        if related:
+            found = found.withColumn("relation", taxonomy.relation("_lineage_a", "_lineage_b").cast("int"))
+            if self.only is not None:
+                found = found.where(F.col("relation") == relation_code(self.only))
+        return found.select(*wanted)
 
     def ordered(self, sigs, queries=None, by_distance=False):
         found = self.pairs(sigs, queries)

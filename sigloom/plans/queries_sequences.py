@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sigloom.functions import hashing, sequences as Q
-from sigloom.operators import kmers, signatures as S, sketch
+from sigloom.operators import kmers, signatures as S, sketch, sketch_join
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
 from sigloom.plans.queries_vectors import rounded
@@ -399,6 +399,35 @@ def minhash_identity_pairs(spark, d):
     return rounded(PairJob(sketches, "approxANI", theta=7.0, sketch_size=50, common_format=True).pairs())
 
 
+_ASKED = f"t as (select item_id as genome_id, 0::bigint as ord, item_id::varchar as name, {_COMPACT} as seq from benchmark)"
+_CLOSE = """select id_a, id_b, round(-ln(2 * j / (1 + j)) / 9, 6) as dist from (
+  select id_a, id_b, shared / (len(list_filter(a.h, lambda x: x <= least(a.top, b.top))) + len(list_filter(b.h, lambda x: x <= least(a.top, b.top))) - shared) as j
+  from sh join {left} a on a.id = id_a join {right} b on b.id = id_b) where -ln(2 * j / (1 + j)) / 9 <= """
+
+
+def _tops(name, source):
+    return f"{name} as (select genome_id as id, list(hash order by hash) as h, case when count(*) = 200 then max(hash) else 9223372036854775807 end as top from {source} group by 1)"
+
+
+@query("minhash_neighbours", f"""with {_sketch_sql(9, 200, 2, DOCS)}, {_tops('l', 'kept')},
+sh as (select a.genome_id as id_a, b.genome_id as id_b, count(*) as shared from kept a join kept b on a.hash = b.hash and a.genome_id < b.genome_id group by all)
+{_CLOSE.format(left='l', right='l')} 0.1""")
+def minhash_neighbours(spark, d):
+    """All pairs of documents whose sketches are at most 0.1 apart, through an index of hashes."""
+    return rounded(sketch_join.neighbours(sketch.minhash_signature(document_contigs(spark, d), 9, 200, 2), 0.1, 9, 200))
+
+
+@query("minhash_search_neighbours", f"""with refs as (with {_sketch_sql(9, 200, 2, DOCS)} select * from kept), asked as (with {_sketch_sql(9, 200, 2, _ASKED)} select * from kept),
+{_tops('l', 'refs')}, {_tops('r', 'asked')},
+sh as (select a.genome_id as id_a, b.genome_id as id_b, count(*) as shared from refs a join asked b on a.hash = b.hash group by all)
+{_CLOSE.format(left='l', right='r')} 0.25""")
+def minhash_search_neighbours(spark, d):
+    """Every document near a benchmark item: at most 0.25 apart by their sketches."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("genome_id"), F.lit(0).cast("long").alias("ord"), F.col("item_id").cast("string").alias("name"), Q.compact("text").alias("seq"))
+    refs, queries = (sketch.minhash_signature(c, 9, 200, 2) for c in (document_contigs(spark, d), asked))
+    return rounded(sketch_join.neighbours(refs, 0.25, 9, 200, queries))
+
+
 _BYTES = "[ascii(x)::hugeint for x in string_split(c_name, '')]"
 
 
