@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigloom.model import DEFAULT_BIN_WIDTH, DEFAULT_THETA, relation_code
 from sigloom.functions.kernels import method_named
-from sigloom.operators import dealing, genes, kmers, reports, signatures, sketch, sketch_join, taxonomy
+from sigloom.operators import dealing, genes, kmers, metric_join, reports, signatures, sketch, sketch_join, taxonomy
 from sigloom.operators.pairs import PairJob
 from sigloom.session import cut_lineage
 
@@ -130,19 +130,23 @@ class ComparePlan:
             sketch_size=self.signature.sketch_size, rows_per_tile=self.rows_per_tile)
 
     def pairs(self, sigs, queries=None):
-        """The wanted pairs; with an upper limit, sketches are compared through an index and not in tiles."""
+        """The wanted pairs; with an upper limit, sketches meet through an index and metric distances through pivots, not all in tiles."""
         sigs = self.prepare(sigs)
-        if method_named(self.method).name == "approxANI" and self.below is not None and self.below < 1 and not self.common_format:
-            return self._indexed(sigs, queries)
+        if self.below is not None and not self.common_format:
+            name = method_named(self.method).name
+            if name == "approxANI" and self.below < 1:
+                return self._indexed(sigs, queries, lambda key: sketch_join.neighbours(sigs, self.below, self.theta or sketch.DEFAULT_K, self.signature.sketch_size, queries, key))
+            if name in ("manhattan", "PaSiT", "sateucl") and self.below >= 0 and self.signature.basis != "karlL":
+                return self._indexed(sigs, queries, lambda key: metric_join.within(sigs, name, self.below, self.theta, queries=queries, id_col=key))
         return self.job(sigs, queries).pairs()
 
-    def _indexed(self, sigs, queries):
-        """The columns of ``PairJob.pairs``, from pairs of neighbours by input order."""
+    def _indexed(self, sigs, queries, near):
+        """The columns of ``PairJob.pairs``, from ``near`` pairs by input order."""
         ordered, related = "ord" in sigs.columns, "lineage" in sigs.columns
         key = "ord" if ordered else "id"
-        found = sketch_join.neighbours(sigs, self.below, self.theta or sketch.DEFAULT_K, self.signature.sketch_size, queries, key)
+        found = near(key)
         if self.include_self and queries is None and self.below >= 0:
-            own = sigs.where(F.size("sig") > 0).select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(0.0).alias("dist"))
+            own = sigs.where((F.size("sig") > 0) & ~F.exists("sig", lambda x: x.isNull() | F.isnan(x.cast("double")))).select(F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(0.0).alias("dist"))
             found = found.unionAll(own)
         if self.above is not None:
             found = found.where(F.col("dist") >= self.above)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sigloom.functions import vectors as V
-from sigloom.operators import profiles, reports
+from sigloom.operators import metric_join, profiles, reports
 from sigloom.operators.pairs import PairJob
 from sigloom.operators.signatures import presence_absence
 from sigloom.operators.taxonomy import genome_weights, gtdb_lineage
@@ -73,6 +73,24 @@ def satman_pairs_ordered(spark, d):
     return rounded(reports.in_input_order(PairJob(embeddings(spark, d), "PaSiT", theta=0.1, low=0.6, high=0.8).pairs()))
 
 
+@query("satman_within", pair_sql("least(abs(x[1]-x[2]), 0.1)", "{s} / (len(a.sig) * 0.1)", where="where dist <= 0.65"))
+def satman_within(spark, d):
+    """Pairs of embeddings at most 0.65 apart, found through pivots."""
+    return rounded(metric_join.within(embeddings(spark, d), "satman", 0.65, theta=0.1))
+
+
+@query("manhattan_within", pair_sql("abs(x[1]-x[2])", source="p", base=P_SQL, where="where dist <= 160"))
+def manhattan_within(spark, d):
+    """Pairs of supplier profiles at most 160 line items apart."""
+    return rounded(metric_join.within(supplier_profiles(spark, d), "manhattan", 160))
+
+
+@query("euclid_within", pair_sql("(x[1]-x[2]) * (x[1]-x[2])", "sqrt({s})", where="where dist <= 1.1"))
+def euclid_within(spark, d):
+    """Pairs of embeddings within a true Euclidean distance."""
+    return rounded(metric_join.within(embeddings(spark, d), "euclid", 1.1))
+
+
 @query("satman_pairs_by_distance", pair_sql("least(abs(x[1]-x[2]), 0.02)", "{s} / (len(a.sig) * 0.02)"))
 def satman_pairs_by_distance(spark, d):
     return rounded(reports.by_distance(PairJob(embeddings(spark, d), "satman", theta=0.02).pairs()))
