@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sigloom.model import DEFAULT_BIN_WIDTH, DEFAULT_THETA, relation_code
 from sigloom.functions.kernels import method_named
-from sigloom.operators import dealing, genes, kmers, metric_join, reports, signatures, sketch, sketch_join, taxonomy
+from sigloom.operators import dealing, genes, kmers, metric_join, reports, signatures, sketch, sketch_join, sparse_profiles, taxonomy
 from sigloom.operators.pairs import PairJob
 from sigloom.session import cut_lineage
 
@@ -37,6 +37,7 @@ PRESETS = {
     "GC": ("GC", 1, "manhattan", None),
 }
 DEFAULT_BASIS, DEFAULT_K = "karl", 4
+LONG_WORDS = 8  # from this word length on, frequencies are kept for the words that occur only
 SMALLEST_SKETCH_K = 12  # shorter words fall back to the default sketch word
 # ----------------------------------------------------------------------------------------------
 
@@ -165,6 +166,19 @@ class ComparePlan:
                 found = found.where(F.col("relation") == relation_code(self.only))
         return found.select(*wanted)
 
+    def pairs_of_contigs(self, contigs, queries=None):
+        """``id_a, id_b, dist`` straight from contigs: frequencies of long words are compared as sparse profiles, everything else as signatures."""
+        signature = self.signature
+        if signature.basis != "freq" or signature.k < LONG_WORDS or signature.canonical or signature.window:
+            return self.pairs(signature.build(contigs), None if queries is None else signature.build(queries))
+        profiles = [None if c is None else sparse_profiles.sparse_profile(kmers.kmer_counts(c, signature.k, double_strand=signature.double_strand, keep_empty=True), share=True)
+                    for c in (contigs, queries)]
+        found = sparse_profiles.sparse_pairs(profiles[0], self.method, signature.k, self.theta, queries=profiles[1])
+        limits = [F.col("dist") >= self.above] * (self.above is not None) + [F.col("dist") <= self.below] * (self.below is not None)
+        for limit in limits:
+            found = found.where(limit)
+        return found
+
     def ordered(self, sigs, queries=None, by_distance=False):
         found = self.pairs(sigs, queries)
         return reports.by_distance(found, self.common_format) if by_distance else reports.in_input_order(found)

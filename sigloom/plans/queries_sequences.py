@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sigloom.functions import hashing, sequences as Q
-from sigloom.operators import kmers, signatures as S, sketch, sketch_join
+from sigloom.operators import kmers, signatures as S, sketch, sketch_join, sparse_profiles
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
 from sigloom.plans.queries_vectors import rounded
@@ -31,6 +31,8 @@ CONV = f"t as (select {_CONV}, {_COMPACT} as seq from conversations)"
 CONV_N = f"t as (select {_CONV}, {_DECODE} as seq from conversations)"
 DOCS = f"t as (select doc_id as genome_id, 0::bigint as ord, doc_id::varchar as name, {_COMPACT} as seq from documents)"
 _SOME = f"t as (select item_id as genome_id, {_COMPACT} as seq from benchmark)"
+_ASKED = f"t as (select item_id as genome_id, 0::bigint as ord, item_id::varchar as name, {_COMPACT} as seq from benchmark)"
+NUDGE = 1e-9  # many ratios are exact binary fractions; moves them off the rounding boundary on both sides
 _RC = "reverse(translate({x}, 'ACGT', 'TGCA'))"
 
 
@@ -66,7 +68,6 @@ def _finite(column):
     return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
 
 
-NUDGE = 1e-9  # many ratios are exact binary fractions; moves them off the rounding boundary on both sides
 
 
 def by_kmer(sigs, k, value, extra_tail=False):
@@ -291,6 +292,46 @@ def gc_pairs(spark, d):
     return rounded(PairJob(S.gc_signature(conversation_contigs(spark, d)), "manhattan").pairs())
 
 
+_LONG = f"""with {counts_sql(11)}, g as (select genome_id as id, coalesce(sum(n), 0) as total from (select distinct genome_id from t) left join c using (genome_id) group by 1),
+f as (select genome_id as id, kmer, n / total as f, n from c join g on g.id = genome_id)"""
+
+
+@query("freq_k11_pairs", _LONG + f""", met as (select a.id as id_a, b.id as id_b, sum(least(a.f, b.f)) as common from f a join f b on a.kmer = b.kmer and a.id < b.id group by all)
+select a.id as id_a, b.id as id_b, round((a.total > 0)::int + (b.total > 0)::int - 2 * coalesce(common, 0) + {NUDGE}, 6) as dist
+from g a join g b on a.id < b.id left join met on id_a = a.id and id_b = b.id""")
+def freq_k11_pairs(spark, d):
+    """Manhattan distances of frequencies of words of 11 bases."""
+    counts = kmers.kmer_counts(conversation_contigs(spark, d), 11, keep_empty=True)
+    pairs = sparse_profiles.sparse_pairs(sparse_profiles.sparse_profile(counts, share=True), "manhattan", 11)
+    return rounded(pairs.withColumn("dist", F.col("dist") + NUDGE))
+
+
+@query("pearson_k11_pairs", _LONG + f""", met as (select a.id as id_a, b.id as id_b, sum(a.n * b.n)::double as ab from f a join f b on a.kmer = b.kmer and a.id < b.id group by all),
+m as (select id, total::double as s, coalesce(sum(n * n), 0)::double as ss from g left join f using (id) group by id, total)
+select a.id as id_a, b.id as id_b, round(0.5 - 0.5 * (coalesce(ab, 0) - a.s * b.s / {4 ** 11}) / sqrt(nullif(a.ss - a.s * a.s / {4 ** 11}, 0)) / sqrt(nullif(b.ss - b.s * b.s / {4 ** 11}, 0)), 6) as dist
+from m a join m b on a.id < b.id left join met on id_a = a.id and id_b = b.id where dist is not null""")
+def pearson_k11_pairs(spark, d):
+    """Correlation distances of counts of words of 11 bases; a conversation without such a word has none."""
+    counts = kmers.kmer_counts(conversation_contigs(spark, d), 11, keep_empty=True)
+    return rounded(sparse_profiles.sparse_pairs(sparse_profiles.sparse_profile(counts), "pearson", 11))
+
+
+_K8 = "select genome_id, kmer, n / sum(n) over (partition by genome_id) as f from c"
+
+
+@query("satman_k8_documents", f"""with rf as (with {counts_sql(8, DOCS)} {_K8}), qf as (with {counts_sql(8, _ASKED)} {_K8}),
+ra as (select id, coalesce(sum(least(f, 0.001)) filter (f is not null), 0) as s from (select doc_id as id from documents) left join rf on genome_id = id group by 1),
+qa as (select id, coalesce(sum(least(f, 0.001)) filter (f is not null), 0) as s from (select item_id as id from benchmark) left join qf on genome_id = id group by 1),
+met as (select a.genome_id as id_a, b.genome_id as id_b, sum(least(a.f, 0.001) + least(b.f, 0.001) - least(abs(a.f - b.f), 0.001)) as s from rf a join qf b using (kmer) group by all)
+select ra.id as id_a, qa.id as id_b, round((ra.s + qa.s - coalesce(met.s, 0)) / {4 ** 8 * 0.001}, 6) as dist
+from ra cross join qa left join met on id_a = ra.id and id_b = qa.id""")
+def satman_k8_documents(spark, d):
+    """Saturated distances of word frequencies (8 bases) of every document and every benchmark item."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("genome_id"), Q.compact("text").alias("seq"))
+    refs, queries = (sparse_profiles.sparse_profile(kmers.kmer_counts(c, 8, keep_empty=True), share=True) for c in (document_contigs(spark, d), asked))
+    return rounded(sparse_profiles.sparse_pairs(refs, "PaSiT", 8, theta=0.001, queries=queries))
+
+
 @query("search_documents", f"""with {counts_sql(2, DOCS, name='r')}, {full_sql(2, 'r')},
 rt as (select genome_id, sum(n) as total from r_f group by 1),
 rv as (select genome_id as id, list(coalesce(n / nullif(total, 0), 0) order by kmer) as sig from r_f join rt using (genome_id) group by 1),
@@ -399,7 +440,6 @@ def minhash_identity_pairs(spark, d):
     return rounded(PairJob(sketches, "approxANI", theta=7.0, sketch_size=50, common_format=True).pairs())
 
 
-_ASKED = f"t as (select item_id as genome_id, 0::bigint as ord, item_id::varchar as name, {_COMPACT} as seq from benchmark)"
 _CLOSE = """select id_a, id_b, round(-ln(2 * j / (1 + j)) / 9, 6) as dist from (
   select id_a, id_b, shared / (len(list_filter(a.h, lambda x: x <= least(a.top, b.top))) + len(list_filter(b.h, lambda x: x <= least(a.top, b.top))) - shared) as j
   from sh join {left} a on a.id = id_a join {right} b on b.id = id_b) where -ln(2 * j / (1 + j)) / 9 <= """
