@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import alignment, sequences as Q
 from sigloom.functions.stats import f_distribution_cdf
-from sigloom.operators import cluster, genes, marks, signatures as S
+from sigloom.operators import cluster, genes, marks, matches, signatures as S
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
 from sigloom.plans.queries_sequences import CONV, NUDGE, conversation_contigs, counts_sql, full_sql
@@ -262,6 +262,32 @@ def _benchmark_genes(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("gene_id"), Q.compact("text").alias("gene"))
 
 
+_COMPACT_TEXT = "upper(regexp_replace(text, '[^ACGTacgt]', '', 'g'))"
+_MATCHED = f"""with d as (select conv_id || '.' || turn as id, {_COMPACT_TEXT} as seq from conversations), g as (select item_id as id, {_COMPACT_TEXT} as seq from benchmark),
+ds as (select id, i - 1 as pos, substr(seq, i, 11) as s from d, unnest(range(1, length(seq) - 9)) as u(i)),
+gs as (select id, i - 1 as pos, substr(seq, i, 11) as s from g, unnest(range(1, length(seq) - 9)) as u(i)),
+h as (select ds.id as query, gs.id as ref, ds.pos as p, gs.pos as r from ds join gs using (s)),
+runs as (select *, p - row_number() over (partition by query, ref, p - r order by p) as run from h),
+m as (select query, ref, min(p) as query_pos, min(r) as ref_pos, count(*) + 10 as length from runs group by query, ref, p - r, run)"""
+
+
+def _turns_and_items(spark, d):
+    turns = table(spark, d, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("id"), Q.compact("text").alias("seq"))
+    return turns, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), Q.compact("text").alias("seq"))
+
+
+@query("maximal_matches", f"{_MATCHED} select query, ref, query_pos, ref_pos, length from m")
+def maximal_matches(spark, d):
+    """Maximal exact matches of at least 11 bases between turns of conversations and benchmark items."""
+    return matches.maximal_matches(*_turns_and_items(spark, d), 11)
+
+
+@query("rough_align_pairs")
+def rough_align_pairs(spark, d):
+    """Rough distances of turns and benchmark items by the heaviest chain of maximal matches of at least 12 bases."""
+    return matches.rough_alignment(*_turns_and_items(spark, d), 12)
+
+
 @query("gene_seeds", f"""with {CONV}, g as (select item_id as gene_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as gene from benchmark),
 gs as (select distinct gene_id, length(gene) as span, unnest([substr(gene, i, 9) for i in range(1, length(gene) - 7)]) as s from g),
 st as (select genome_id, ord, '+' as strand, seq from t union all select genome_id, ord, '-', reverse(translate(seq, 'ACGT', 'TGCA')) from t),
