@@ -65,7 +65,7 @@ def plan_of(args) -> ComparePlan:
 
 
 SAVED = (".sig", ".sdb")
-_IN_FILE = 1 << 20  # places in the order that a file with several signatures has
+_IN_FILE = 1 << 34  # places in the order that a file with several signatures has
 
 
 def _bare(path):

@@ -1,7 +1,8 @@
 """Gap-affine alignment of many short sequence pairs at once.
 
 Costs are minimised first; among alignments of equal cost the one with more identities, then the shorter one, wins.
-The three criteria are packed into one additive integer, so a plain minimum decides all of them; pairs too long for that raise.
+The three criteria are packed into one additive integer, so a plain minimum decides all of them.  End-to-end alignments fill a band of diagonals that grows
+until the cost proves it.
 """
 
 import numpy as np
@@ -75,9 +76,111 @@ def align_block(queries, targets, free_target_ends):
     return cost, identities, rest + identities * _BASE, end
 
 
+_FIRST_BAND = 32
+_TIDY = 16  # rows after which cells beyond the band's proof are closed
+
+
+def _band(queries, targets, half):
+    """``cost, identities, length, proven`` of end-to-end alignments that stay within ``half`` diagonals of the corner diagonals.
+
+    A path that leaves the band has at least ``|difference of lengths| + 2 (half + 1)`` gap bases of cost 1 or more; whatever costs less is the
+    best of all alignments, ties included.  Cost, missing identities and length share a number whose parts are as wide as these sequences need.
+    """
+    n = len(queries)
+    nq, nt = np.array([len(x) for x in queries], np.int64), np.array([len(x) for x in targets], np.int64)
+    shift = nt - nq
+    low, high = np.maximum(np.minimum(0, shift) - half, -nq), np.minimum(np.maximum(0, shift) + half, nt)
+    whole = (low == -nq) & (high == nt)
+    width = int((high - low).max()) + 1
+    most = int(np.minimum(nq, nt).max())
+    length_bits = int((nq + nt).max() + 1).bit_length()
+    cost_unit = 1 << (length_bits + int(most).bit_length())
+    cap = np.where(whole, SUBSTITUTION * np.maximum(nq, nt) + GAP_OPEN + nq + nt + 1, np.abs(shift) + 2 * (half + 1))
+    if int(cap.max() + 8 * _TIDY) * cost_unit >= 1 << 61:
+        raise OverflowError("these sequences differ too much for their length to be aligned")
+    far, identity, start = np.int64(1 << 61), np.int64(1 << length_bits), np.int64(most << length_bits)
+    step_open, step_more, step_lead = (np.int64(c * cost_unit + 1) for c in (GAP_OPEN, GAP_EXTEND, LEADING_GAP))
+    substitution, match = np.int64(SUBSTITUTION * cost_unit + 1), np.int64(1) - identity
+    cells = np.arange(width, dtype=np.int64)
+    column = low[:, None] + cells  # column of each cell in row 0; in row i it lies i further
+    inside = cells <= (high - low)[:, None]
+    ragged = not inside.all()
+    # the letter of a cell in row i is the target's letter before its column
+    pad = width + int(nq.max()) + 1
+    letters = np.full((n, pad + int(nt.max()) + pad), 5, np.uint8)
+    for p, t in enumerate(targets):
+        letters[p, pad:pad + len(t)] = t
+    flat, place = letters.ravel(), np.arange(n)[:, None] * letters.shape[1] + pad + column - 1
+    row = np.where(inside & (column >= 0) & (column <= nt[:, None]), start + column * step_lead, far)
+    vertical = np.full_like(row, far)
+    slope, limit = cells * step_more, (cap * cost_unit)[:, None]
+    final = np.full(n, far)
+    inner = range(int((-low).max()) + 1, int((nt - low).min()) - width + 2)  # rows whose band meets neither end of the target
+    done = nq == 0
+    final[done] = row[done, -low[done] + nt[done]]
+    for i in range(1, int(nq.max()) + 1):
+        letter = np.array([q[i - 1] if i <= len(q) else 6 for q in queries], np.uint8)[:, None] if n > 1 else queries[0][i - 1]
+        same = (flat[place + i] == letter) & (letter < 4)
+        fresh = row + np.where(same, match, substitution)
+        vertical[:, :-1] = np.minimum(row[:, 1:] + step_open, vertical[:, 1:] + step_more)
+        vertical[:, -1] = far
+        np.minimum(fresh, vertical, out=fresh)
+        if i not in inner:
+            at = column + i
+            fresh[at == 0] = start + i * step_lead
+            outside = ~inside | (at < 0) | (at > nt[:, None])
+            fresh[outside] = far
+        elif ragged:
+            fresh[~inside] = far
+        reach = np.minimum.accumulate(fresh - slope, axis=1)
+        fresh[:, 1:] = np.minimum(fresh[:, 1:], reach[:, :-1] + slope[1:] + (step_open - step_more))
+        if i not in inner:
+            fresh[outside] = far
+        elif ragged:
+            fresh[~inside] = far
+        if i % _TIDY == 0:
+            fresh[fresh >= limit] = far
+            np.minimum(vertical, far, out=vertical)
+        row = fresh
+        ended = nq == i
+        if ended.any():
+            final[ended] = row[ended, (shift - low)[ended]]
+        if i % 256 == 0 and not (row < far).any():
+            break  # nothing within the band can be cheap enough
+    proven = final < np.minimum(limit[:, 0], far)
+    rest = final & np.int64(cost_unit - 1)
+    return np.where(proven, final // cost_unit, 0), most - (rest >> length_bits), rest & (identity - 1), proven | whole
+
+
+def align_within_bands(queries, targets):
+    """``cost, identities, length`` end to end: the band is doubled until the cost proves it, so work grows with length times distance."""
+    n = len(queries)
+    out = np.zeros((3, n), dtype=np.int64)
+    todo, half = list(range(n)), _FIRST_BAND
+    while todo:
+        todo.sort(key=lambda i: (len(queries[i]), len(targets[i])))
+        left, start = [], 0
+        while start < len(todo):
+            stop, size = start + 1, 0
+            while stop < len(todo) and (stop - start + 1) * (2 * half + abs(len(targets[todo[stop]]) - len(queries[todo[stop]])) + len(targets[todo[stop]])) < _CELLS:
+                stop += 1
+            rows = todo[start:stop]
+            *found, proven = _band([queries[i] for i in rows], [targets[i] for i in rows], half)
+            out[:, rows] = found
+            left += [i for i, ok in zip(rows, proven) if not ok]
+            start = stop
+        todo, half = left, half * 2
+    return out
+
+
 def align_many(queries, targets, free_target_ends=False):
-    """``align_block`` over any number of pairs, similar sizes together and a bounded number of cells at a time."""
+    """``cost, identities, length, end`` over any number of pairs, similar sizes together and a bounded number of cells at a time.
+
+    End to end the band grows with the distance; with free ends every place of the target counts, and the full table is filled.
+    """
     n = len(queries)
+    if not free_target_ends:
+        return np.vstack([align_within_bands(queries, targets), np.array([[len(t) for t in targets]], dtype=np.int64).reshape(1, n)])
     out = np.zeros((4, n), dtype=np.int64)
     order = sorted(range(n), key=lambda i: (len(targets[i]), len(queries[i])))
     start = 0

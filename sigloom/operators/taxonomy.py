@@ -247,7 +247,7 @@ def resolve_taxon(names: DataFrame, nodes: DataFrame, name_col="name") -> DataFr
     """``…, taxon``: the node of a name, or the parent of the entry labelled with it, NULL when unknown."""
     direct = nodes.select(F.col("name").alias("_n"), F.col("name").alias("_direct"))
     labelled = nodes.where(F.startswith("name", F.lit(LABEL_PREFIX))).select(
-        F.substring("name", len(LABEL_PREFIX) + 1, 10000).alias("_l"), F.col("parent").alias("_labelled"))
+        F.substr("name", F.lit(len(LABEL_PREFIX) + 1)).alias("_l"), F.col("parent").alias("_labelled"))
     return (names.join(direct, F.col(name_col) == F.col("_n"), "left").join(labelled, F.col(name_col) == F.col("_l"), "left")
             .withColumn("taxon", F.coalesce("_direct", "_labelled")).drop("_n", "_l", "_direct", "_labelled"))
 

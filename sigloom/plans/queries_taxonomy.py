@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sigloom.functions import text as X
-from sigloom.model import RANK_PREFIXES, RELATION_LABELS
 from sigloom.operators import taxonomy as T
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table

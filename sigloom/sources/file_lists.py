@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-_PART = 1 << 40
+_PART = 1 << 26  # files that one list may name
 SEARCH_OFFSET = 2 * _PART  # the search input is numbered behind everything else
 
 
