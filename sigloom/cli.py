@@ -74,7 +74,7 @@ def _bare(path):
 
 def _built(spark, paths, plan, args):
     """``filepath, pos, name, sig`` of sequence files."""
-    contigs = fasta.validate(fasta.filter_short(fasta.read_fasta(spark, paths), args.filtershort)).withColumn("genome_id", F.col("path"))
+    contigs = fasta.validate(fasta.filter_short(fasta.read_large_fasta(spark, paths), args.filtershort)).withColumn("genome_id", F.col("path"))
     panel = None
     if args.genes:
         panel = fasta.validate(fasta.read_fasta(spark, args.genes)).select(F.col("ord").alias("gene_id"), F.col("seq").alias("gene"))

@@ -1,9 +1,15 @@
 """FASTA input: files to contigs, contigs to genomes."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sigloom.functions import sequences as Q
 from sigloom.model import DEFAULT_MIN_CONTIG
+from sigloom.session import cut_lineage
+
+PIECE = 1 << 22  # bases of a record that one row holds at most while a large file is read
 
 
 def parse_texts(texts: DataFrame, keep=("path",), text_col="value") -> DataFrame:
@@ -35,25 +41,86 @@ def read_fasta(spark, paths) -> DataFrame:
     return parse_texts(texts)
 
 
-def read_large_fasta(spark, paths) -> DataFrame:
-    """Same columns for files that are themselves large: records are split out by the reader, so one file is many
-    tasks and no whole file is ever one value.
+_PIECES = "path string, block long, head long, part long, name string, seq string"
+
+
+def _cut_records(piece):
+    """Lines in file order to pieces of records: ``head`` counts the headers of the block, 0 being what goes on from the block before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, head, part, name, held, size, out, filled = None, 0, 0, None, [], 0, [], 0
+
+        def flush():
+            nonlocal held, size, part, name, filled
+            if held or name is not None:
+                out.append((*place, head, part, name, "".join(held)))
+                filled += size + 1
+                held, size, part, name = [], 0, part + 1, None
+
+        def rows():
+            nonlocal out, filled
+            columns = list(zip(*out))
+            out, filled = [], 0
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["path", "block", "head", "part", "name", "seq"])
+
+        for batch in batches:
+            for at, line in zip(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()), batch.column("value").to_pylist()):
+                if at != place:
+                    if place:
+                        flush()
+                    place, head, part = at, 0, 0
+                line = line.replace("\r", "")
+                if line.startswith(">"):
+                    flush()
+                    head, name = head + 1, line[1:]
+                elif line:
+                    held.append(line)
+                    size += len(line)
+                    if size >= piece:
+                        flush()
+            if filled > 1 << 20:
+                yield rows()
+        if place:
+            flush()
+        if out:
+            yield rows()
+    return run
+
+
+def _numbered(spark, paths, piece):
+    """``path, ord, block, part, name, seq``: pieces of records with the number of their record in its file."""
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    pieces = cut_lineage(lines.mapInArrow(_cut_records(piece), _PIECES))
+    blocks = pieces.groupBy("path", "block").agg(F.max("head").alias("heads"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("before"))
+    return pieces.join(starts, ["path", "block"]).select("path", (F.col("before") + F.col("head") - 1).alias("ord"), "block", "part", "name", "seq")
+
+
+def read_large_fasta(spark, paths, piece=PIECE) -> DataFrame:
+    """The rows of ``read_fasta`` for files that are themselves large: a file is read in byte ranges, so it is many tasks and never one value.
+
+    A record that crosses ranges is put together from its pieces.  Ranges have the size that ``spark.sql.files.maxPartitionBytes`` says.
+    """
+    numbered = _numbered(spark, paths, piece)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "seq"))), lambda x: x["seq"]), "")
+    return numbered.groupBy("path", "ord").agg(F.max("name").alias("name"), whole.alias("seq"))
+
+
+def read_fasta_pieces(spark, paths, k, piece=PIECE) -> DataFrame:
+    """``path, ord, name, offset, seq``: records in pieces that overlap by ``k - 1`` bases, so that each word of ``k`` is in exactly one.
 
-    ``ord`` increases along a file but is not dense.  Records are expected to have headers; text before the first
-    header of a file is recognised by being the first record of the file.
+    No record is ever one value.  Only the first bases of the pieces are put in order, not the pieces.
     """
-    raw = spark.read.option("lineSep", "\n>").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"), "value")
-    firsts = raw.groupBy("path").agg(F.min("ord").alias("_first"))
-    rows = raw.join(firsts, "path")
-    clean = F.regexp_replace("value", "\r", "")
-    unnamed = (F.col("ord") == F.col("_first")) & ~F.startswith("value", F.lit(">"))
-    opened = F.when((F.col("ord") == F.col("_first")) & ~unnamed, F.expr("substring(value, 2)")).otherwise(F.col("value"))
-    clean = F.regexp_replace(opened, "\r", "")
-    header = F.when(~unnamed, F.regexp_extract(clean, "^([^\n]*)", 1))
-    body = F.when(unnamed, clean).otherwise(F.regexp_replace(clean, "^[^\n]*", ""))
-    parsed = rows.select("path", "ord", header.alias("name"), F.regexp_replace(body, "\n", "").alias("seq"))
-    return parsed.where(F.col("name").isNotNull() | (F.length("seq") > 0))
+    numbered = cut_lineage(_numbered(spark, paths, piece).where("seq <> '' or name is not null"))
+    along = Window.partitionBy("path", "ord").orderBy("block", "part")
+    ahead = F.array_join(F.collect_list("head").over(along.rowsBetween(1, max(1, k - 1))), "") if k > 1 else F.lit("")
+    light = numbered.select("path", "ord", "block", "part", "name", F.length("seq").cast("long").alias("n"), F.substring("seq", 1, k - 1).alias("head"))
+    names = light.groupBy("path", "ord").agg(F.max("name").alias("name"))
+    placed = light.where("n > 0").select("path", "ord", "block", "part", F.substring(ahead, 1, k - 1).alias("halo"), (F.sum("n").over(along) - F.col("n")).alias("offset"))
+    return numbered.drop("name").join(placed, ["path", "ord", "block", "part"]).join(names, ["path", "ord"]).select(
+        "path", "ord", "name", "offset", F.concat("seq", "halo").alias("seq"))
 
 
 def filter_short(contigs: DataFrame, min_length=DEFAULT_MIN_CONTIG) -> DataFrame:

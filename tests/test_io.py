@@ -1,4 +1,6 @@
+import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +28,53 @@ def test_empty_fasta(spark, tmp_path):
     assert fasta.read_fasta(spark, str(tmp_path)).count() == 0
 
 
+@pytest.fixture
+def small_splits(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key, value in zip(held, ("700", "0")):
+        spark.conf.set(key, value)
+    yield
+    for key, value in held.items():
+        spark.conf.set(key, value)
+
+
+def _large_files(folder):
+    """A file of many small byte ranges, with a record longer than several of them, one on one line, odd line ends, and neighbours of all sizes."""
+    rng = random.Random(8)
+    base = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    lines = ["lead"]
+    for i in range(60):
+        lines.append(f">r{i} of {'x' * (i % 9)}")
+        seq = base(9_000 if i == 20 else 0 if i % 13 == 5 else rng.randint(1, 900))
+        lines += [seq] if i == 33 else [seq[at:at + 60] + "\r" * (i % 2) for at in range(0, len(seq), 60)] + [""] * (i % 3)
+    (folder / "a.fna").write_text("\n".join(lines))
+    (folder / "b.fna").write_text(">only\nACGT\n>\n>last")
+    (folder / "c.fna").write_text("")
+    return str(folder / "*.fna")
+
+
+@pytest.mark.parametrize("piece", [50, 1 << 22])
+def test_files_in_byte_ranges_equal_whole_files(spark, tmp_path, small_splits, piece):
+    paths = _large_files(tmp_path)
+    assert spark.read.option("lineSep", "\n").text(paths).rdd.getNumPartitions() >= 40
+    want = sorted(tuple(r) for r in fasta.read_fasta(spark, paths).select("path", "ord", F.coalesce("name", F.lit("-")), "seq").collect())
+    assert sorted(tuple(r) for r in fasta.read_large_fasta(spark, paths, piece).select("path", "ord", F.coalesce("name", F.lit("-")), "seq").collect()) == want
+
+
+@pytest.mark.parametrize("k,piece", [(1, 50), (4, 7), (11, 3), (11, 1 << 22)])
+def test_pieces_hold_every_word_once(spark, tmp_path, small_splits, k, piece):
+    paths = _large_files(tmp_path)
+    whole = {(r["path"], r["ord"]): r for r in fasta.read_fasta(spark, paths).collect()}
+    words, longest = Counter(), 0
+    for r in fasta.read_fasta_pieces(spark, paths, k, piece).collect():
+        seq = whole[r["path"], r["ord"]]["seq"]
+        assert r["name"] == whole[r["path"], r["ord"]]["name"] and seq[r["offset"]:r["offset"] + len(r["seq"])] == r["seq"]
+        longest = max(longest, len(r["seq"]))
+        words.update((r["path"], r["ord"], r["offset"] + i) for i in range(len(r["seq"]) - k + 1))
+    assert words == Counter((*at, i) for at, r in whole.items() for i in range(len(r["seq"]) - k + 1))
+    assert longest < 9_000 or piece > 9_000
+
+
 def test_filter_and_validation(spark):
     df = spark.createDataFrame([("a", "ACGU"), ("b", "ACGR"), ("c", "A")], "name string, seq string")
     got = {r["name"]: (r["seq"], r["valid"]) for r in fasta.validate(fasta.filter_short(df, 2)).collect()}
