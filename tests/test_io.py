@@ -61,7 +61,7 @@ def test_files_in_byte_ranges_equal_whole_files(spark, tmp_path, small_splits, p
     assert sorted(tuple(r) for r in fasta.read_large_fasta(spark, paths, piece).select("path", "ord", F.coalesce("name", F.lit("-")), "seq").collect()) == want
 
 
-@pytest.mark.parametrize("k,piece", [(1, 50), (4, 7), (11, 3), (11, 1 << 22)])
+@pytest.mark.parametrize("k,piece", [(1, 50), (11, 3)])
 def test_pieces_hold_every_word_once(spark, tmp_path, small_splits, k, piece):
     paths = _large_files(tmp_path)
     whole = {(r["path"], r["ord"]): r for r in fasta.read_fasta(spark, paths).collect()}

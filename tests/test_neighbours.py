@@ -31,7 +31,7 @@ def _found(df):
     return {(r["id_a"], r["id_b"]): round(r["dist"], 9) for r in rows}
 
 
-@pytest.mark.parametrize("limit", [0.05, 0.1, 0.4])
+@pytest.mark.parametrize("limit", [0.05, 0.4])
 def test_neighbours_equal_the_tiles(spark, limit, monkeypatch):
     sigs = _sketches(spark)
     want = _found(PairJob(sigs, "approxANI", theta=K, sketch_size=SIZE, high=limit).pairs())
