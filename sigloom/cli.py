@@ -133,6 +133,9 @@ def _clustered(args, pairs, ranked, names):
     if args.clustering:
         merges = single if args.clustering == "single" else cluster.ward_linkage(off, leaves)
         branches = cluster.ward_branches(merges, n) if args.clustering == "ward" else None
+        if args.clustering == "ward":
+            ratios = cluster.ward_f_statistic(off, leaves, merges)
+            log.info("the tree seems to have about %d clusters", cluster.ward_cluster_count(ratios, leaves).first()["clusters"])
         cluster.write_newick(cluster.newick_tokens(merges, leaves, n, branches), f"{args.output}.tre")
     if not args.sort_by_distance:
         return ranked

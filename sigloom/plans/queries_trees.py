@@ -9,6 +9,7 @@ from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
 from sigloom.plans.queries_sequences import CONV, NUDGE, conversation_contigs, counts_sql, full_sql
 from sigloom.plans.queries_vectors import P_SQL, supplier_profiles
+from sigloom.session import cut_lineage
 
 # ---------------------------------------------------------------- clustering
 
@@ -140,6 +141,28 @@ def ward_branches(spark, d):
     return branches.withColumn("branch", F.round("branch", 6))
 
 
+_WARD_F = _WARD + """, fs as (select step - 1 as step, n - step as clusters, sum(h * c) over (order by step) as within, coalesce(list_sum(list_filter(m, lambda x: not isinf(x))) / 2, 0) as between
+  from st, size where step > 0),
+f_at as (select *, case when between > 0 then within / between end as f from fs)"""
+
+
+def _ward_f(spark, d):
+    pairs, leaves = cut_lineage(_conversation_pairs(spark, d)), _conversations(spark, d)
+    return cluster.ward_f_statistic(pairs, leaves, cluster.ward_linkage(pairs, leaves)), leaves
+
+
+@query("ward_f_statistic", _WARD_F + """ select step::bigint as step, clusters::bigint as clusters, round(within, 6) as within, round(between, 6) as between, round(f, 6) as f from f_at""")
+def ward_f_statistic(spark, d):
+    """Distances within merged clusters against those between living ones, after every merge."""
+    return _ward_f(spark, d)[0].select("step", "clusters", *[F.round(c, 6).alias(c) for c in ("within", "between", "f")])
+
+
+@query("ward_cluster_count", _WARD_F + " select coalesce(min(case when f < 0.5 then clusters end), (select n from size))::bigint as clusters from f_at")
+def ward_cluster_count(spark, d):
+    """Clusters after the last merge with a ratio below one half."""
+    return cluster.ward_cluster_count(*_ward_f(spark, d), 0.5)
+
+
 @query("value_breakpoint", """with v as (select c_acctbal as v, row_number() over (order by c_acctbal) - 1 as i, count(*) over () as n, max(c_acctbal) over () as top from customer),
 e as (select b.i, b.v, sum(case when a.i < b.i then pow(a.v - b.v / b.i * a.i, 2) else pow(a.v - (b.v + (b.top - b.v) / (b.n - b.i) * (a.i - b.i)), 2) end) as mse
   from v b join v a on true where b.i > 0 group by b.i, b.v)

@@ -56,6 +56,49 @@ def test_ward_linkage(points):
     assert rows(cluster.ward_linkage(pairs, leaves)) == brute(d, "ward")
 
 
+def brute_ratios(d):
+    """``step, clusters, within, between, f`` of the merges, one after the other on the whole matrix."""
+    live, within, out = {i: [i] for i in range(len(d))}, 0.0, []
+    sq = d ** 2
+
+    def between(x, y):
+        x, y = live[x], live[y]
+        inner = lambda g: sum(sq[i, j] for i in g for j in g if i < j)
+        across = sum(sq[i, j] for i in x for j in y)
+        return 2 / (len(x) + len(y)) * (across - len(y) / len(x) * inner(x) - len(x) / len(y) * inner(y)) if np.isfinite(across) else np.inf
+
+    for step, left, right, height, size in brute(d, "ward"):
+        if not np.isfinite(height.expected):
+            break
+        live[len(d) + step] = live.pop(left) + live.pop(right)
+        within += size * height.expected
+        every = [v for v in (between(x, y) for x in live for y in live if x < y) if np.isfinite(v)]
+        f = pytest.approx(within / sum(every)) if every else None
+        out.append((step, len(live), pytest.approx(within), pytest.approx(sum(every)), f))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("missing", [False, True])
+def test_variance_ratio_of_ward_merges(points, holes, block, missing):
+    d, pairs = holes if missing else points[:2]
+    leaves = points[2]
+    ratios = cluster.ward_f_statistic(pairs, leaves, cluster.ward_linkage(pairs, leaves), block)
+    expected = brute_ratios(d)
+    assert sorted(tuple(r) for r in ratios.select("step", "clusters", "within", "between", "f").collect()) == expected
+    limit = expected[len(expected) // 2][4].expected
+    wanted = min([r[1] for r in expected if r[4] is not None and r[4].expected < limit], default=N)
+    assert cluster.ward_cluster_count(ratios, leaves, limit).first()[0] in (wanted, wanted - 1)
+    assert cluster.ward_cluster_count(ratios, leaves, 0.0).first()[0] == N
+
+
+def test_variance_ratio_without_merges(spark, points):
+    leaves = points[2]
+    none = spark.createDataFrame([], "id_a long, id_b long, dist double")
+    ratios = cluster.ward_f_statistic(none, leaves, cluster.ward_linkage(none, leaves))
+    assert ratios.count() == 0 and cluster.ward_cluster_count(ratios, leaves).first()[0] == N
+
+
 @pytest.fixture(scope="module")
 def holes(spark, points):
     """Two groups without any distance between them, a leaf without distances, and pairs that are missing or NULL."""
