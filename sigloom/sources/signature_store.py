@@ -5,13 +5,20 @@ The binary layout is a little-endian stream: a 4-byte magic, then one record of
 collection kind holds that many further records instead of a payload.
 """
 
+import os
+import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from sigloom.functions.text import number_text
+from sigloom.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
 MAGIC = (ord("G") << 24) + (ord("S") << 16)
@@ -93,14 +100,152 @@ def parse_binary(data):
     return _legacy(data)
 
 
-def read_binary(spark, paths) -> DataFrame:
-    """One row per signature of ``.sig``/``.sdb`` files; a file is one task's record."""
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                rows = parse_binary(bytes(content))
-                yield pd.DataFrame({"path": path, "pos": range(len(rows)), "name": [r[0] for r in rows], "kind": [r[1] for r in rows], "sig": [r[2] for r in rows]})
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(parse, SCHEMA)
+SPLIT_BYTES = 32 << 20
+_SPLITS = "path string, layout string, begin long, end long, first long"
+_WINDOW = 1 << 20  # bytes read at a time while hopping
+_BATCH_BYTES = 4 << 20
+
+
+def _opened(path):
+    """A file that can be read at any place, by the path that Spark gives it: local, or of any file system that Arrow knows."""
+    local = re.sub("^file:/*", "/", path)
+    if "://" not in local:
+        return fs.LocalFileSystem().open_input_file(os.path.abspath(local))
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(inner)
+
+
+def _windowed(file):
+    """``read(at, n)``: small reads that go forward, served from a window of the file."""
+    start, held = 0, b""
+
+    def read(at, n):
+        nonlocal start, held
+        if at < start or at + n > start + len(held):
+            start, held = at, file.read_at(max(n, _WINDOW), at)
+        return held[at - start:at - start + n]
+    return read
+
+
+def _legacy_end(read, at, size):
+    kind_type, n = struct.unpack("<iQ", read(at, 12))
+    at += 12 + n * (1 if kind_type == LEGACY_BYTES else 8)
+    if at + 8 > size:
+        raise ValueError("truncated signature record")
+    (length,) = struct.unpack("<q", read(at, 8))
+    if length < 0:
+        raise ValueError("not a legacy signature")
+    return at + 8 + length
+
+
+def record_places(read, size):
+    """``layout, begin, end`` of every signature of a file, hopping from header to header; ``layout`` is the byte order or ``legacy``."""
+    head = read(0, 4)
+    layout = next((o for o in "<>" if len(head) == 4 and struct.unpack(o + "i", head)[0] == MAGIC), "legacy")
+    at, left = 4, 1
+    if layout == "legacy":
+        try:
+            at = 0 if _legacy_end(read, 0, size) == size else 8
+        except (struct.error, ValueError):
+            at = 8
+        left = struct.unpack("<q", read(0, 8))[0] if at else 1
+        if left < 0:
+            raise ValueError("not a signature file")
+    while left > 0:
+        left -= 1
+        if layout == "legacy":
+            end = _legacy_end(read, at, size)
+        else:
+            _, kind, kind_type, count, payload, label = struct.unpack(layout + HEADER, read(at, struct.calcsize(layout + HEADER)))
+            if kind >= len(KINDS) or kind_type >= len(TYPES) or payload < count:
+                raise ValueError("not a signature record")
+            end = at + struct.calcsize(layout + HEADER) + label
+            if KINDS[kind] == "MUXED":
+                at, left = end, left + count
+                continue
+            end += payload
+        if end > size:
+            raise ValueError("truncated signature record")
+        yield layout, at, end
+        at = end
+
+
+def _splits(split_bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with _opened(path) as file:
+                    rows, begin, n = [], None, 0
+                    for layout, at, end in record_places(_windowed(file), file.size()):
+                        begin, first = (at, n) if begin is None else (begin, first)
+                        n += 1
+                        if end - begin >= split_bytes:
+                            rows.append((path, layout, begin, end, first))
+                            begin = None
+                    if begin is not None:
+                        rows.append((path, layout, begin, end, first))
+                names = ["path", "layout", "begin", "end", "first"]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+    return run
+
+
+def _signature(data, at, layout):
+    """``name, kind, values, end`` of the record at ``at``, without name for the header of a collection."""
+    if layout == "legacy":
+        kind_type, n = struct.unpack_from("<iQ", data, at)
+        values = np.frombuffer(data, "<i1" if kind_type == LEGACY_BYTES else "<f8", n, at + 12)
+        at += 12 + values.nbytes
+        (length,) = struct.unpack_from("<q", data, at)
+        return bytes(data[at + 8:at + 8 + length]).decode("utf-8", "replace"), "UNKNOWN", values, at + 8 + length
+    _, kind, kind_type, count, size, label = struct.unpack_from(layout + HEADER, data, at)
+    at += struct.calcsize(layout + HEADER)
+    if KINDS[kind] == "MUXED":
+        return None, None, None, at + label
+    code = TYPE_FORMATS.get(TYPES[kind_type])
+    name = bytes(data[at:at + label]).decode("utf-8", "replace")
+    at += label
+    values = np.frombuffer(data, np.dtype(code).newbyteorder(layout), count, at) if code else None
+    return name, KINDS[kind], values, at + size
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for split in batch.to_pylist():
+            with _opened(split["path"]) as file:
+                data = memoryview(file.read_at(split["end"] - split["begin"], split["begin"]))
+            at, pos, start, rows = 0, split["first"], 0, []
+            while at < len(data):
+                name, kind, values, at = _signature(data, at, split["layout"])
+                if kind is not None:
+                    rows.append((pos, name, kind, values))
+                    pos += 1
+                if rows and (at - start >= _BATCH_BYTES or at >= len(data)):
+                    yield _arrow_rows(split["path"], rows)
+                    start, rows = at, []
+
+
+def _arrow_rows(path, rows):
+    held = [r[3] for r in rows]
+    offsets = np.cumsum([0, *(0 if v is None else len(v) for v in held)])
+    values = np.concatenate([np.empty(0), *(v.astype("float64") for v in held if v is not None)])
+    missing = pa.array([v is None for v in held])
+    sig = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=missing)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), sig],
+        names=["path", "pos", "name", "kind", "sig"])
+
+
+def read_binary(spark, paths, split_bytes=SPLIT_BYTES) -> DataFrame:
+    """One row per signature of ``.sig``/``.sdb`` files, ``pos`` counting them in their file; kinds without numbers have a NULL ``sig``.
+
+    A task hops over the record headers of a file, reading windows and keeping none, to find where its ranges begin; ranges are dealt to tasks
+    that read theirs into Arrow arrays.  So a collection of any size is many tasks and never one value.  A truncated or foreign file raises.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0").select("path")
+    splits = cut_lineage(files.mapInArrow(_splits(split_bytes), _SPLITS))
+    tasks = max(1, splits.count())
+    return splits.repartition(min(tasks, 10_000), "path", "begin").mapInArrow(_parsed, SCHEMA)
 
 
 def is_text(content, probe=200):

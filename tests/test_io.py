@@ -137,6 +137,36 @@ def test_binary_signatures(spark, tmp_path):
     assert [r[0] for r in text] == [True, False]
 
 
+def _collection(order, records, inner=()):
+    """A collection whose last member is a collection of ``inner``."""
+    head = lambda kind, n, size, label: struct.pack(order + store.HEADER, 0, store.KINDS.index(kind), store.TYPES.index("MUXED" if kind == "MUXED" else "DBL"), n, size, label)
+    leaf = lambda name, values: head("KARLIN", len(values), 8 * len(values), len(name.encode())) + name.encode() + struct.pack(f"{order}{len(values)}d", *values)
+    bodies = [leaf(*r) for r in records] + ([head("MUXED", len(inner), len(inner), 3) + b"sub" + b"".join(leaf(*r) for r in inner)] if inner else [])
+    return struct.pack(order + "i", store.MAGIC) + head("MUXED", len(bodies), len(bodies), 0) + b"".join(bodies)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_large_collection_is_read_in_ranges(spark, tmp_path, order):
+    records = [(f"g {i}", [float(i + j) for j in range(i % 7)]) for i in range(10_000)]
+    inner = [("x", [1.5]), ("é", [])]
+    data = _collection(order, records, inner)
+    (tmp_path / "big one.sdb").write_bytes(data)
+    found = store.read_binary(spark, str(tmp_path / "big one.sdb"), split_bytes=20_000)
+    rows = found.withColumn("task", F.spark_partition_id()).orderBy("pos").collect()
+    assert [(r["name"], r["kind"], r["sig"]) for r in rows] == store.parse_binary(data)
+    assert [r["pos"] for r in rows] == list(range(10_002)) and len({r["task"] for r in rows}) > 10
+
+
+def test_broken_collections_raise(spark, tmp_path):
+    (tmp_path / "cut.sdb").write_bytes(_collection("<", [("a", [1.0, 2.0]), ("b", [3.0])])[:-4])
+    (tmp_path / "foreign.sdb").write_bytes(b"\xff" * 64)
+    (tmp_path / "empty.sdb").write_bytes(b"")
+    for name in ("cut", "foreign"):
+        with pytest.raises(Exception, match="signature|unpack"):
+            store.read_binary(spark, str(tmp_path / f"{name}.sdb")).collect()
+    assert store.read_binary(spark, str(tmp_path / "empty.sdb")).count() == 0
+
+
 def test_text_and_saved_signatures(spark, tmp_path):
     sigs = spark.createDataFrame([("g", [0.0, 0.5, 123.456789, 2.5e9, -3e-9])], "name string, sig array<double>")
     assert store.text_lines(sigs, "Karlin").first()["line"] == "g.Karlin,0,0.500000,123.4568,2.500000e+09,-3.000000e-09"
