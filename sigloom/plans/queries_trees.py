@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import alignment, sequences as Q
 from sigloom.functions.stats import f_distribution_cdf
-from sigloom.operators import cluster, genes, marks, matches, signatures as S
+from sigloom.operators import cluster, consensus, genes, marks, matches, signatures as S
 from sigloom.operators.pairs import PairJob
 from sigloom.plans.catalog import query, table
 from sigloom.plans.queries_sequences import CONV, NUDGE, conversation_contigs, counts_sql, full_sql
@@ -305,6 +305,19 @@ def maximal_matches(spark, d):
     return matches.maximal_matches(*_turns_and_items(spark, d), 11)
 
 
+@query("consensus_extension", f"""{_MATCHED},
+best as (select query, ref, ref_pos - query_pos as off from m qualify row_number() over (partition by query, ref order by length desc, ref_pos, query_pos) = 1),
+laid as (select id, 0 as off, seq, 0 as ext from g union all select ref, off, seq, 1 from best join d on d.id = query),
+votes as (select id, off + i as pos, substr(seq, i + 1, 1) as base, 30 * count(*) as weight, 30 * sum(ext) as added from laid, unnest(range(length(seq))) as u(i) group by all),
+won as (select *, sum(weight) over (partition by id, pos) as total from votes qualify row_number() over (partition by id, pos order by weight desc, added desc, base) = 1)
+select id, min(pos)::bigint as begin, string_agg(base, '' order by pos) as seq, sum(greatest(0, least(96, 2 * weight - total)))::bigint as quality from won group by id""")
+def consensus_extension(spark, d):
+    """Benchmark items extended by all turns of conversations that share 11 bases or more in a row with them."""
+    turns, items = _turns_and_items(spark, d)
+    found = consensus.joined(consensus.extended(items, turns, consensus.overlaps(turns, items, 11)))
+    return found.select("id", "begin", "seq", F.aggregate("quality", F.lit(0).cast("long"), lambda a, q: a + q).alias("quality"))
+
+
 @query("rough_align_pairs")
 def rough_align_pairs(spark, d):
     """Rough distances of turns and benchmark items by the heaviest chain of maximal matches of at least 12 bases."""
