@@ -41,53 +41,65 @@ def op1_token_rollup(spark, folder):
 
 
 def op2_best_fit(spark, folder):
+    """Every document in training sequences, counted in tokens of the byte vocabulary."""
     return packing.pack_documents(packing.utf8_lengths(_table(spark, folder, "documents")))
 
 
 def op3_feistel_shards(spark, folder):
+    """Every row in one of the shards; a NULL text counts 8 bytes, repeated rows each get a place of their own, and an empty table gives no rows."""
     return sharding.shard_rows(_table(spark, folder, "documents"), SHARDS)
 
 
 def op4_ngram_jaccard(spark, folder):
+    """One row per document; a text that is NULL or has no words has an empty set and stands alone, one of fewer than five words has a single shingle."""
     return ngram_join.near_copies(_table(spark, folder, "documents"))
 
 
 def op5_pieces(spark, folder):
+    """The ids of every text, with the round trip and the comparison with the model's own library."""
     docs = _table(spark, folder, "documents")
     coded = spiece.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
     return coded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip", "parity")
 
 
 def op6_preference_pairs(spark, folder):
+    """Preference pairs from all conversations: the last answer against the one before."""
     out = chat.format_pairs(chat.stale_answer_pairs(_table(spark, folder, "conversations")))
     return out.withColumns({name: chat.spans_text(out[name]) for name in ("chosen_spans", "rejected_spans")})
 
 
 def op7_exact_copies(spark, folder):
+    """One row per document; a NULL text counts as empty, and of equal texts the longest original, then the smallest doc_id, stays."""
     return exact_dedup.group_copies(_table(spark, folder, "documents"))
 
 
 def op8_line_frequency(spark, folder):
+    """One row per document; a NULL text has no words and fails."""
     return quality.judge(_table(spark, folder, "documents"))
 
 
 def op9_weighted_lexicon(spark, folder):
+    """One row per document; empty texts are scored too."""
     return toxicity.score_by_labels(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 def op10_surrogates(spark, folder):
+    """What is replaced in every document."""
     return pii.report(_table(spark, folder, "documents"))
 
 
 def op11_whitening(spark, folder):
+    """Leading components of all vectors; those that are NULL or hold NULL or non-finite entries are left out."""
     return whitening.whiten(_table(spark, folder, "embeddings"))
 
 
 def op12_prefix_trie(spark, folder):
+    """All prefixes of the rebuilt conversations; a NULL role or text counts as empty, a NULL turn comes first."""
     return prefix_trie.conversation_trie(_table(spark, folder, "conversations"), rebuild=True)
 
 
 def op13_log_bilinear(spark, folder):
+    """One row per document; a NULL text counts as empty and is its end alone."""
     return lbl.score(_table(spark, folder, "documents"))
 
 
