@@ -8,6 +8,8 @@
 * In a tile the distances to the pivot, and to a few further ones, rule out most pairs; only the others reach the distance itself.
 
 Everything rests on the triangle inequality, so the method must be a metric; what is compared grows with the pairs that are near and not with the square of the rows.
+Where distances hardly differ (many dimensions, a wide limit) rows would visit nearly every cell.  What the cells would ship is counted first; if that is more than a
+grid of large slices ships, the rows of one length form that grid, and the distances to the pivots and a blocked kernel rule pairs out.
 """
 
 import math
@@ -20,9 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sigloom.functions.kernels import method_named
+from sigloom.functions.kernels import _accumulate, method_named
 from sigloom.operators.dealing import dealt_join
-from sigloom.operators.pairs import _flatten, rows_that_fit
+from sigloom.operators.pairs import _flatten, rows_that_fit, slice_count
 from sigloom.session import cut_lineage, is_written
 
 #: Rows per pivot, bytes that all pivots may take, and pivots whose distances every row carries.
@@ -30,6 +32,9 @@ ROWS_PER_PIVOT, PIVOT_BYTES, PROBES = 500, 32 << 20, 6
 #: Rows of a range that make one slice.
 ROWS = 2_000
 _BLOCK, _CELLS = 256, 1 << 20  # left rows of a block, numbers that one step of differences may hold
+_COLUMNS = 2_048  # right rows of a step of the blocked kernel
+_DENSE = 0.1  # share of a block's pairs from which all of them are compared at once
+_VISITS = 16  # rows that cells may always ship for each row
 
 
 @dataclass(frozen=True)
@@ -51,6 +56,12 @@ class Metric:
         """Distances of equal rows of two matrices."""
         return self.total(self.each(np.abs(a - b)).sum(axis=1), a.shape[1])
 
+    def block(self, a, b):
+        """As ``between``, a dimension at a time; the sums may differ from it in their last digits."""
+        with np.errstate(invalid="ignore"):
+            summed = [_accumulate(a, b[at:at + _COLUMNS], self.each) for at in range(0, len(b), _COLUMNS)]
+        return self.total(np.concatenate(summed, axis=1), a.shape[1])
+
 
 def metric_of(method, theta=None, scale="none") -> Metric | None:
     """The metric of a method, or None where the triangle inequality does not hold.  ``euclid`` is squared in the library; here it is its root."""
@@ -89,43 +100,84 @@ _PLACED = [T.StructField("cell", T.IntegerType()), T.StructField("away", T.Doubl
            T.StructField("probes", T.ArrayType(T.DoubleType()))]
 
 
-def _placed(rows: DataFrame, pivots: list[np.ndarray], metric: Metric, limit: float, guests_only: bool) -> DataFrame:
+def _numbers_by_width(pivots):
+    by_width = {}
+    for number, pivot in enumerate(pivots):
+        by_width.setdefault(len(pivot), []).append(number)
+    return by_width
+
+
+def _parts(batch, by_width):
+    """The rows of a batch by length, in parts of bounded work: positions, vectors, numbers of the pivots of that length."""
+    lengths, values = _flatten(batch.column("sig"))
+    starts = np.r_[0, np.cumsum(lengths)][:-1]
+    for width in np.unique(lengths):
+        at = np.flatnonzero(lengths == width)
+        numbers = np.array(by_width.get(int(width), []), np.int64)
+        for part in np.array_split(at, max(1, math.ceil(len(at) * max(1, len(numbers)) / 500_000))):
+            yield part, values[starts[part][:, None] + np.arange(width)], numbers
+
+
+def _visits(far, limit, guests_only):
+    """Positions, columns of ``far`` and nearest columns: the cells that rows belong to or visit."""
+    nearest = far.argmin(axis=1)
+    visits = far <= far.min(axis=1)[:, None] + 2 * limit * (1 + 1e-9) + 1e-12
+    if not guests_only:  # a pair is made in the smaller cell: rows visit cells before their own
+        visits &= np.arange(far.shape[1])[None, :] <= nearest[:, None]
+    return *np.nonzero(visits), nearest
+
+
+def _placed(rows: DataFrame, pivots: list[np.ndarray], metric: Metric, limit: float, guests_only: bool, grid: bool) -> DataFrame:
     """Each row once per cell it belongs to or visits: ``id, sig, cell, away`` (distance to the cell's pivot), ``guest, probes``.
 
-    A cell's number is that of its pivot; vectors of a length without a pivot share a cell per length, below zero, and are not ranged.
+    A cell's number is that of its pivot; vectors of a length without a pivot share a cell per length, below zero, and are not ranged.  So do all with ``grid``.
     """
     schema = T.StructType([rows.schema["id"], rows.schema["sig"], *_PLACED])
     names = schema.fieldNames()
-    slack = 2 * limit * (1 + 1e-9) + 1e-12
-    by_width = {}
-    for number, pivot in enumerate(pivots):
-        by_width.setdefault(len(pivot), []).append(number)
+    by_width = _numbers_by_width(pivots)
+    if grid:
+        by_width = {width: numbers[:PROBES] for width, numbers in by_width.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, values = _flatten(batch.column("sig"))
-            starts = np.r_[0, np.cumsum(lengths)][:-1]
-            for width in np.unique(lengths):
-                at = np.flatnonzero(lengths == width)
-                numbers = np.array(by_width.get(int(width), []), np.int64)
-                for part in np.array_split(at, max(1, math.ceil(len(at) * max(1, len(numbers)) / 500_000))):
-                    if not len(numbers):
-                        row, cell, away, guest = part, np.full(len(part), -width), np.zeros(len(part)), np.full(len(part), guests_only)
-                        probes = np.zeros((len(part), 0))
-                    else:
-                        far = metric.between(values[starts[part][:, None] + np.arange(width)], np.stack([pivots[k] for k in numbers]))
-                        nearest = far.argmin(axis=1)
-                        visits = far <= far.min(axis=1)[:, None] + slack
-                        if not guests_only:  # a pair is made in the smaller cell: rows visit cells before their own
-                            visits &= np.arange(len(numbers))[None, :] <= nearest[:, None]
-                        i, k = np.nonzero(visits)
-                        row, cell, away, guest, probes = part[i], numbers[k], far[i, k], np.full(len(i), True) if guests_only else k != nearest[i], far[i][:, :PROBES]
-                    picked = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([picked.column("id"), picked.column("sig"), pa.array(cell, pa.int32()), pa.array(away), pa.array(guest),
-                                                      pa.array(list(probes), pa.list_(pa.float64()))], names=names)
+            for part, vectors, numbers in _parts(batch, by_width):
+                probes = metric.between(vectors, np.stack([pivots[k] for k in numbers])) if len(numbers) else np.zeros((len(part), 0))
+                if grid or not len(numbers):
+                    row, cell, away, guest = part, np.full(len(part), -vectors.shape[1]), np.zeros(len(part)), np.full(len(part), guests_only)
+                else:
+                    far = probes
+                    i, k, nearest = _visits(far, limit, guests_only)
+                    row, cell, away, guest, probes = part[i], numbers[k], far[i, k], np.full(len(i), True) if guests_only else k != nearest[i], far[i][:, :PROBES]
+                picked = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([picked.column("id"), picked.column("sig"), pa.array(cell, pa.int32()), pa.array(away), pa.array(guest),
+                                                  pa.array(list(probes), pa.list_(pa.float64()))], names=names)
     return rows.mapInArrow(run, schema)
 
 
+def _visited(rows: DataFrame, pivots: list[np.ndarray], metric: Metric, limit: float, guests_only=False, own_only=False) -> DataFrame:
+    """``cell, band, n``: the rows that cells would get, by their distance to the pivot in units of the limit, counted per batch."""
+    by_width = _numbers_by_width(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, vectors, numbers in _parts(batch, by_width):
+                if not len(numbers):
+                    continue
+                far = metric.between(vectors, np.stack([pivots[k] for k in numbers]))
+                i, k, nearest = _visits(far, limit, guests_only)
+                if own_only:
+                    i, k = np.arange(len(far)), nearest
+                found, n = np.unique(np.stack([numbers[k].astype(float), np.floor(far[i, k] / limit)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), pa.array(found[1]), pa.array(n.astype(np.int64))], names=["cell", "band", "n"])
+    return rows.select("sig").mapInArrow(run, "cell int, band double, n long")
+
+
+def _cells_ship(visited: DataFrame, rows_per_slice: int) -> int:
+    """Rows that the tiles of all cells would get: each band meets the next one, in slices."""
+    bands = visited.select("cell", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band")).groupBy("cell", "band").agg(F.sum("n").alias("n"))
+    return bands.agg(F.sum(F.col("n") * F.ceil(F.col("n") / rows_per_slice))).first()[0] or 0
+
+
 # ---------------------------------------------------------------- tiles
 
 def _tiles(placed: DataFrame, limit: float, rows_per_slice: int) -> DataFrame:
@@ -167,6 +219,8 @@ def _candidates(left, right, same, metric, limit, between):
             if not open_.any():
                 break
             open_ &= np.abs(left.probes[rows, k, None] - right.probes[None, :, k]) <= reach
+        if open_.mean() > _DENSE:
+            open_ &= metric.block(left.matrix[rows], right.matrix) <= reach
         i, j = np.nonzero(open_)
         if len(i):
             yield i + at, j
@@ -218,8 +272,19 @@ def within(sigs: DataFrame, method: str, limit: float, theta=None, scale="none",
     if not n:
         return sigs.sparkSession.createDataFrame([], schema)
     pivots = pivots_of(rows, n, widest)
-    placed = _placed(rows, pivots, metric, limit, False)
-    if queries is not None:
-        placed = placed.where("not guest").unionAll(_placed(_rows(queries, id_col, metric.saturated), pivots, metric, limit, True))
-    tiles = _tiles(cut_lineage(placed), limit, rows_per_slice or min(ROWS, rows_that_fit(widest)))
+    asked = None if queries is None else _rows(queries, id_col, metric.saturated)
+    fit, per_slice = rows_that_fit(widest), rows_per_slice or min(ROWS, rows_that_fit(widest))
+    grid = False
+    if limit > 0 and pivots:
+        visited, every = _visited(rows, pivots, metric, limit, own_only=asked is not None), n
+        if asked is not None:
+            visited, every = visited.unionAll(_visited(asked, pivots, metric, limit, guests_only=True)), n + asked.count()
+        slices = slice_count(every, fit, sigs.sparkSession.sparkContext.defaultParallelism)
+        grid = _cells_ship(visited, per_slice) > every * max(_VISITS, slices)
+        if grid:
+            per_slice = rows_per_slice or math.ceil(every / slices)
+    placed = _placed(rows, pivots, metric, limit, False, grid)
+    if asked is not None:
+        placed = placed.where("not guest").unionAll(_placed(asked, pivots, metric, limit, True, grid))
+    tiles = _tiles(cut_lineage(placed), limit, per_slice)
     return tiles.groupBy("cell", "range", "i", "j").applyInArrow(_emit(metric, limit, queries is not None, audit, schema.fieldNames()), schema)

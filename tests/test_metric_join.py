@@ -89,3 +89,21 @@ def test_a_plan_with_a_limit_uses_the_pivots(spark):
         def rounded(df):
             return sorted(str(r) for r in df.withColumn("dist", F.round("dist", 8)).collect())
         assert rounded(got) == rounded(want)
+
+
+def test_rows_that_would_visit_every_cell_form_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "ROWS_PER_PIVOT", 20)
+    n, limit = 1_600, 0.95
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(n, 48))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[1::4] = m[::4] + rng.normal(size=(n // 4, 48)) * 0.01
+    sigs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], _SIGS)
+    far = np.sqrt(np.square(m[:, None, :] - m[None, :, :]).sum(axis=2))
+    want = {(i, j): round(float(far[i, j]), 8) for i, j in zip(*np.nonzero(np.triu(far <= limit, 1)))}
+    assert len(want) >= n // 4 and _found(metric_join.within(sigs, "euclid", limit)) == want
+    tiles = metric_join.within(sigs, "euclid", limit, audit=True).agg(F.sum("rows"), F.sum("near")).first()
+    assert tiles[0] <= 16 * n and tiles[1] == len(want)  # eighty cells: each row visited forty of them, and two ranges in each
+    asked = sigs.where("id % 50 = 0").withColumn("id", F.col("id") + n)
+    between = {(i, j + n): round(float(far[i, j]), 8) for i, j in zip(*np.nonzero(far <= limit)) if j % 50 == 0}
+    assert _found(metric_join.within(sigs, "euclid", limit, queries=asked)) == between
