@@ -155,3 +155,20 @@ def test_weights_with_a_dominating_group(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lineages)], "id long, lineage array<string>")
     got = {r["id"]: r["weight"] for r in T.genome_weights(df, "phylum").collect()}
     assert got == {i: pytest.approx(1 / 30) if i % 3 == 0 else 1.0 for i in range(90)}
+
+
+def test_a_tile_holds_a_bounded_number_of_pairs(monkeypatch):
+    from sigloom.operators import pairs as module
+
+    class Side:
+        n = 300
+        lengths, missing, values, lineage, group = np.full(300, 2), np.zeros(300, bool), np.arange(600.0), None, None
+        starts, order = np.arange(300) * 2, np.arange(300)
+        matrix = module._Rows.matrix
+
+    monkeypatch.setattr(module, "_BLOCK_PAIRS", 3_000, raising=False)
+    spec = dict(method="manhattan", theta=None, scale="none", common_format=False, sketch_size=None, length_tail=False, include_self=False, lineage=False,
+                low=None, high=None, only=None, drop_incomparable=False)
+    blocks = list(module._compare(Side(), Side(), True, spec))
+    assert max(len(i) for i, *_ in blocks) <= 3_000
+    assert {(a, b): x for i, j, _, d in blocks for a, b, x in zip(i.tolist(), j.tolist(), d.tolist())} == {(a, b): 4.0 * (b - a) for a in range(300) for b in range(a + 1, 300)}
