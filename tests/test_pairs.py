@@ -172,3 +172,22 @@ def test_a_tile_holds_a_bounded_number_of_pairs(monkeypatch):
     blocks = list(module._compare(Side(), Side(), True, spec))
     assert max(len(i) for i, *_ in blocks) <= 3_000
     assert {(a, b): x for i, j, _, d in blocks for a, b, x in zip(i.tolist(), j.tolist(), d.tolist())} == {(a, b): 4.0 * (b - a) for a in range(300) for b in range(a + 1, 300)}
+
+
+def test_matrix_cells_travel_as_runs(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(reports, "_RUN_CELLS", 1_000)
+    cells = [(i % 7, i, None if i == 5 else i / 2) for i in range(2_500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*cells[at:at + 250])], names=["row", "_c", "value"]) for at in range(0, 2_500, 250)]
+    runs = [r for b in reports._packer(["row", "_c", "value"])(iter(batches)) for r in b.to_pylist()]
+    assert len(runs) == 3 * 7 and sorted((r["row"], c, v) for r in runs for c, v in zip(r["_c"], r["value"]) if v is not None) == sorted(x for x in cells if x[2] is not None)
+    sigs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, sig array<double>")
+    pairs = PairJob(sigs, "manhattan", include_self=True).pairs()
+    plan = reports.matrix_cells(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1  # every pair is compared once for both of its cells
+    assert {(r["row"], r["col"]): r["value"] for r in reports.matrix_cells(pairs).collect()} == {(i, j): float(abs(i - j)) for i in range(40) for j in range(40)}
+    labels = spark.createDataFrame([(i, 29 - i, f"n{i}") for i in range(30)], "id long, ord long, name string")
+    lines = {r["ord"]: r["line"] for r in reports.matrix_lines(pairs.where("id_a <> 3 or id_b <> 4"), labels).collect()}
+    want = lambda i, j: "NaN" if {i, j} == {3, 4} else f"{abs(i - j):.6f}"
+    assert lines == {29 - i: ",".join([f"n{i}", *(want(i, j) for j in range(29, -1, -1))]) for i in range(30)}
