@@ -265,3 +265,23 @@ def test_genes_are_found_across_the_borders_of_pieces(spark, contigs, monkeypatc
     genomes = {g: [base(at) + gene + base(640 - 60 - at)] for g, at in places.items()}
     found = genes.find_genes(contigs(genomes), spark.createDataFrame([(1, gene)], "gene_id long, gene string")).collect()
     assert {(r["genome_id"], r["end"], r["seq"], r["score"]) for r in found} == {(g, at + 60, gene, 1.0) for g, at in places.items()}
+
+
+def test_ward_rounds_leave_no_distances_behind(spark, monkeypatch):
+    import os
+
+    written = []
+
+    def kept(df):
+        written.append(cut_lineage(df))
+        return written[-1]
+
+    from sigloom.session import cut_lineage
+    monkeypatch.setattr(cluster, "cut_lineage", kept)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(40, 3))
+    rows = [(i, j, float(np.linalg.norm(points[i] - points[j]))) for i in range(40) for j in range(i + 1, 40)]
+    merges = cluster.ward_linkage(spark.createDataFrame(rows, "id_a long, id_b long, dist double"), spark.range(40))
+    assert merges.count() == 39
+    distances = [t for t in written if t.columns == ["a", "b", "d"]]
+    assert len(distances) > 3 and sum(os.path.exists(t._sigloom_path.removeprefix("file:")) for t in distances) <= 1
