@@ -6,20 +6,31 @@
   reach the limit goes before any sketch is looked at.
 * Only the pairs that are left learn the hash range that both sketches cover.  A sketch is joined once per side, and a sketch that is
   close to very many others is repeated over salts.
+* Where hashes are so common that most sketches meet in many of them, a row per meeting would be far more than the sketches.  What the index would make is counted
+  first; if it is more than a grid of slices ships, the sketches form that grid, and each tile counts through an index of its own.  Nothing then grows with
+  the meetings except time.
 
 Pairs that share nothing have distance 1 and are never made, so the limit must be below 1.
 """
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from sigloom.operators.dealing import dealt_join
+from sigloom.operators.pairs import _SIDE_A, _SIDE_B, _SIDE_BOTH, _rectangle, _spread, _triangle, rows_that_fit, slice_count
 from sigloom.operators.sketch import DEFAULT_K, DEFAULT_SIZE
 from sigloom.session import cut_lineage, is_written
 
 #: Postings of one hash that make one slice.
 SLICE = 1_000
+#: Meetings of two sketches in one hash that the index may always make.
+MEETINGS = 1 << 24
+_EMIT_PAIRS = 1 << 18  # pairs that a tile holds before it sends them
 _WHOLE = (1 << 63) - 1  # the top of a sketch that holds all hashes of its genome
 
 
@@ -70,6 +81,113 @@ def _met_between(refs, queries):
     return a.join(b, ["hash", "i", "j"]).select("id_a", "id_b", "pos_a", "pos_b")
 
 
+# ---------------------------------------------------------------- a grid, where hashes are common
+
+
+def _meetings(refs, asked=None):
+    """Rows that the index would make: one per pair of sketches and hash."""
+    n = F.col("n").cast("double")
+    held = lambda rows: _postings(rows).groupBy("hash").agg(F.count("*").alias("n"))
+    if asked is None:
+        return held(refs).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    return held(refs).join(held(asked).withColumnRenamed("n", "m"), "hash").agg(F.sum(n * F.col("m"))).first()[0] or 0
+
+
+def _grid(refs, asked=None):
+    """The tiles of a grid of the sketches, or None where the index makes fewer rows than the grid would ship hashes."""
+    met = _meetings(refs, asked)
+    if met <= MEETINGS:
+        return None
+    parallelism = refs.sparkSession.sparkContext.defaultParallelism
+    measure = [F.count("*"), F.max(F.size("sig")), F.sum(F.size("sig"))]
+    refs = refs.where("id is not null")
+    n, widest, hashes = refs.agg(*measure).first()
+    if asked is None:
+        slices = slice_count(n, rows_that_fit(widest), parallelism)
+        return None if met <= hashes * slices else _spread(_triangle(refs, "id", slices), slices * (slices + 1) // 2, parallelism)
+    asked = asked.where("id is not null")
+    m, wider, more = asked.agg(*measure).first()
+    r, q = (max(1, math.ceil(x / rows_that_fit(max(widest, wider)))) for x in (n, m))
+    r = max(r, min(2 * parallelism, n // 128))
+    return None if met <= hashes * q + more * r else _spread(_rectangle(refs, asked, "id", r, q), r * q, parallelism)
+
+
+class _Sketches:
+    """One side of a tile: sketches as one array of hashes, and an index of them."""
+
+    def __init__(self, table, least, size):
+        self.ids = table.column("id").combine_chunks()
+        sigs = table.column("sig").combine_chunks()
+        self.lengths = sigs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashes = sigs.flatten().to_numpy(zero_copy_only=False)
+        self.stops = np.cumsum(self.lengths)
+        self.starts = self.stops - self.lengths
+        self.top = np.where(self.lengths >= size, self.hashes[self.stops - 1], _WHOLE)
+        # the union holds all of the sketch that is covered whole, which is the fuller one
+        self.need = np.ceil(least * np.minimum(self.lengths, size) - 1e-9)
+
+    def index(self):
+        order = np.argsort(self.hashes, kind="stable")
+        words, first = np.unique(self.hashes[order], return_index=True)
+        return words, np.append(first, len(order)), np.repeat(np.arange(len(self.lengths)), self.lengths)[order]
+
+    def up_to(self, rows, cut):
+        """How many hashes of each row are at most ``cut``."""
+        return np.array([np.searchsorted(self.hashes[self.starts[r]:self.stops[r]], c, side="right") for r, c in zip(rows.tolist(), cut.tolist())], np.int64)
+
+
+def _shared(left, right, same):
+    """``i, j, shared`` of the pairs with enough common hashes, one left row at a time, at the cost of a look at each meeting."""
+    words, first, owners = right.index()
+    n = len(right.lengths)
+    for i in range(len(left.lengths)):
+        mine = left.hashes[left.starts[i]:left.stops[i]]
+        at = np.searchsorted(words, mine)
+        at = at[at < len(words)]
+        at = at[words[at] == mine[:len(at)]]  # ascending, so what lies behind the last word is at the end
+        if not len(at):
+            continue
+        shared = np.bincount(np.concatenate([owners[a:b] for a, b in zip(first[at].tolist(), first[at + 1].tolist())]), minlength=n)
+        keep = shared >= np.maximum(np.maximum(right.need, left.need[i]), 1)
+        if same:
+            keep[:i + 1] = False
+        j = np.flatnonzero(keep)
+        if len(j):
+            yield np.full(len(j), i), j, shared[j]
+
+
+def _emit_close(least, size, oriented, names):
+    def batch_of(left, right, found):
+        i, j, shared = (np.concatenate(x) for x in zip(*found))
+        cut = np.minimum(left.top[i], right.top[j])
+        ids_a, ids_b = left.ids.take(pa.array(i)), right.ids.take(pa.array(j))
+        if oriented:
+            swap = pc.greater(ids_a, ids_b)
+            ids_a, ids_b = pc.if_else(swap, ids_b, ids_a), pc.if_else(swap, ids_a, ids_b)
+        every = left.up_to(i, cut) + right.up_to(j, cut) - shared
+        near = pa.array(shared >= least * every)
+        return pa.RecordBatch.from_arrays([x.filter(near) for x in (ids_a, ids_b, pa.array(shared), pa.array(every))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        side = table.column("_side").to_numpy()
+        same = bool((side == _SIDE_BOTH).any())
+        left, right = (table, table) if same else (table.filter(pa.array(side == x)) for x in (_SIDE_A, _SIDE_B))
+        if not left.num_rows or not right.num_rows:
+            return
+        left = _Sketches(left, least, size)
+        right = left if same else _Sketches(right, least, size)
+        found, n = [], 0
+        for some in _shared(left, right, same):
+            found, n = [*found, some], n + len(some[0])
+            if n >= _EMIT_PAIRS:
+                yield batch_of(left, right, found)
+                found, n = [], 0
+        if found:
+            yield batch_of(left, right, found)
+    return run
+
+
 def _sides(rows, side, size):
     top = F.when(F.size("sig") >= size, F.element_at("sig", -1)).otherwise(_WHOLE)
     return rows.select(F.col("id").alias(f"id_{side}"), F.size("sig").alias(f"n_{side}"), top.alias(f"top_{side}"))
@@ -85,8 +203,19 @@ def neighbours(sketches: DataFrame, limit: float, k=DEFAULT_K, size=DEFAULT_SIZE
         raise ValueError("pairs that share no hash have distance 1: the limit must be below 1")
     refs = _held(sketches, id_col)
     asked = refs if queries is None else _held(queries, id_col)
-    met = _met_within(refs) if queries is None else _met_between(refs, asked)
     least = least_resemblance(limit, k) * (1 - 1e-12)
+
+    def close(pairs, j):
+        dist = -F.log(2 * j / (1 + j)) / k + 0.0
+        return pairs.select("id_a", "id_b", dist.alias("dist")).where(F.col("dist") <= limit)
+
+    tiles = _grid(refs, None if queries is None else asked)
+    if tiles is not None:
+        schema = T.StructType([T.StructField("id_a", refs.schema["id"].dataType), T.StructField("id_b", asked.schema["id"].dataType),
+                               T.StructField("shared", T.LongType()), T.StructField("every", T.LongType())])
+        pairs = tiles.groupBy("_part", "_tile").applyInArrow(_emit_close(least, size, queries is None, schema.fieldNames()), schema)
+        return close(pairs, F.col("shared") / F.col("every"))
+    met = _met_within(refs) if queries is None else _met_between(refs, asked)
     counted = met.groupBy("id_a", "id_b").agg(F.count("*").alias("shared"), (F.max("pos_a") + 1).alias("from_a"), (F.max("pos_b") + 1).alias("from_b"))
     pairs = cut_lineage(counted.where(F.col("shared") >= least * (F.col("from_a") + F.col("from_b") - F.col("shared"))).drop("from_a", "from_b"))
     pairs = dealt_join(pairs, _sides(refs, "a", size), ["id_a"], ["id_b"])
@@ -100,6 +229,4 @@ def neighbours(sketches: DataFrame, limit: float, k=DEFAULT_K, size=DEFAULT_SIZE
         return cut.select("id_a", "id_b", "shared", "whole", F.size(F.filter("sig", lambda x: x <= F.col("cut"))).alias("part"))
 
     ranged = covered(longer_a, refs, "id_a", "id_b").unionAll(covered(longer_b, asked, "id_b", "id_a"))
-    j = F.col("shared") / (F.col("whole") + F.col("part") - F.col("shared"))
-    dist = -F.log(2 * j / (1 + j)) / k + 0.0
-    return ranged.select("id_a", "id_b", dist.alias("dist")).where(F.col("dist") <= limit)
+    return close(ranged, F.col("shared") / (F.col("whole") + F.col("part") - F.col("shared")))

@@ -68,6 +68,23 @@ def test_a_hash_of_a_third_of_all_sketches_is_spread(spark, monkeypatch):
     assert len(sizes) > 4 and max(sizes) < 0.4 * sum(sizes)
 
 
+@pytest.mark.parametrize("limit", [0.05, 0.4])
+def test_common_hashes_are_counted_in_tiles(spark, limit, monkeypatch):
+    refs, asked = _sketches(spark), _sketches(spark, 60, 1, 100)
+    pairs, found = (_found(sketch_join.neighbours(refs, limit, K, SIZE, q)) for q in (None, asked))
+    monkeypatch.setattr(sketch_join, "MEETINGS", 0)
+    # hash 1 to 9 in every sketch: an index would make nine rows per pair
+    rows = [(i, [*range(1, 10), 100 + i // 3]) for i in range(300)]
+    common = spark.createDataFrame(rows, "id long, sig array<long>")
+    monkeypatch.setattr(sketch_join, "_met_within", None)
+    assert _found(sketch_join.neighbours(common, 0.05, K, SIZE)) == _found(PairJob(common, "approxANI", theta=K, sketch_size=SIZE, high=0.05).pairs())
+    monkeypatch.setattr(sketch_join, "_EMIT_PAIRS", 50)
+    monkeypatch.setattr(sketch_join, "slice_count", lambda *_: 3)
+    monkeypatch.setattr(sketch_join, "_meetings", lambda *_: 1 << 40)
+    assert _found(sketch_join.neighbours(refs, limit, K, SIZE)) == pairs and pairs
+    assert _found(sketch_join.neighbours(refs, limit, K, SIZE, asked)) == found and found
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_dealt_join_equals_a_join(spark, how):
     large = spark.createDataFrame([(None if i % 11 == 10 else 0 if i % 3 else i, i) for i in range(900)], "k long, v long")
