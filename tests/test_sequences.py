@@ -1,12 +1,13 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.functions import hashing, sequences as Q
+from sigloom.functions import alignment, hashing, sequences as Q
 from sigloom.operators import kmers, signatures as S, sketch
 from sigloom.operators.pairs import PairJob
 
@@ -139,3 +140,17 @@ def test_long_contigs_are_cut_without_losing_a_word(spark, contigs, monkeypatch)
         for module in (K, sketch, genes):
             monkeypatch.setattr(module, "in_pieces", lambda frame, k, seq_col="seq", piece=piece: cut(frame, k, seq_col, piece))
         assert whole() == expected
+
+
+def test_short_alignments_share_small_tables():
+    rng = np.random.default_rng(4)
+    genes = [rng.integers(0, 4, 40).astype(np.uint8) for _ in range(4_000)]
+    regions = [np.concatenate((g[:20], rng.integers(0, 4, 40).astype(np.uint8), g[20:])) for g in genes]
+    for free in (True, False):
+        tracemalloc.start()
+        alignment.align_many(genes, regions, free)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12 << 20
+    few, wide = alignment.align_many(genes[:30], regions[:30], True), [np.concatenate((r, np.full(3_000, 4, np.uint8))) for r in regions[:30]]
+    assert (few == alignment.align_many(genes[:30], wide, True)).all()  # 32 and 64 bits a cell
