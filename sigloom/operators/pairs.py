@@ -320,6 +320,17 @@ def _emit_row_sums(spec):
     return run
 
 
+def _nearest_of(me, you, dist, order):
+    """Positions of the smallest ``(dist, order)`` of every ``me``.  Only what ties with the smallest distance is sorted."""
+    at = np.arange(len(dist))
+    if not np.isnan(dist).any():
+        smallest = np.full(me.max(initial=-1) + 1, np.inf)
+        np.minimum.at(smallest, me, dist)
+        at = np.flatnonzero(dist == smallest[me])
+    at = at[np.lexsort((order[you[at]], dist[at], me[at]))]
+    return at[np.r_[True, me[at][1:] != me[at][:-1]]] if len(at) else at
+
+
 def _emit_nearest(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, same = _tile_sides(batches, spec)
@@ -329,9 +340,7 @@ def _emit_nearest(spec):
         for i, j, _, dist in _compare(left, right, same, spec):
             directions = [(0, i, j, right)] if spec["rectangle"] else [(0, i, j, right), (0 if same else 1, j, i, left)]
             for side, me, you, other in directions:
-                order = np.lexsort((other.order[you], dist, me))
-                first = np.concatenate(([True], me[order][1:] != me[order][:-1]))
-                for p in order[first]:
+                for p in _nearest_of(me, you, dist, other.order):
                     found = (float(dist[p]), other.order[you[p]], int(you[p]))
                     held = best[side].get(int(me[p]))
                     if held is None or found < held:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import vectors as V
 from sigloom.model import RELATION_LABELS
-from sigloom.operators import profiles, reports, taxonomy as T
+from sigloom.operators import pairs, profiles, reports, taxonomy as T
 from sigloom.operators.pairs import PairJob, slice_count
 
 A, B = [1.0, 1.01, 0.9, 1.2], [1.0, 1.0, 0.95, 1.3]
@@ -191,3 +191,17 @@ def test_matrix_cells_travel_as_runs(spark, monkeypatch):
     lines = {r["ord"]: r["line"] for r in reports.matrix_lines(pairs.where("id_a <> 3 or id_b <> 4"), labels).collect()}
     want = lambda i, j: "NaN" if {i, j} == {3, 4} else f"{abs(i - j):.6f}"
     assert lines == {29 - i: ",".join([f"n{i}", *(want(i, j) for j in range(29, -1, -1))]) for i in range(30)}
+
+
+def test_nearest_sorts_only_ties(monkeypatch):
+    rng = np.random.default_rng(5)
+    me, you = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(90), indexing="ij"))
+    dist, order, sizes = rng.integers(0, 40, len(me)) / 4, rng.permutation(90), []
+    want = [min(range(i * 90, i * 90 + 90), key=lambda p: (dist[p], order[you[p]])) for i in range(60)]
+    sort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    assert pairs._nearest_of(me, you, dist, order).tolist() == want
+    assert sizes[0] < len(me) // 10
+    dist[::7] = np.nan
+    found = pairs._nearest_of(me, you, dist, order)
+    assert (dist[found] == np.nanmin(dist.reshape(60, 90), axis=1)).all()
