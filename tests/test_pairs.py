@@ -205,3 +205,16 @@ def test_nearest_sorts_only_ties(monkeypatch):
     dist[::7] = np.nan
     found = pairs._nearest_of(me, you, dist, order)
     assert (dist[found] == np.nanmin(dist.reshape(60, 90), axis=1)).all()
+
+
+def test_six_decimals_and_rounding_are_those_of_the_formatter(spark):
+    from pyspark.sql import functions as F
+    from sigloom.plans.queries_vectors import rounded
+    rng = np.random.default_rng(6)
+    values = [*rng.random(2_000), *(rng.integers(0, 10**7, 2_000) / 2e6), *(-rng.random(50)), 0.0, -0.0, 5e-7, 1e-9, -1e-9, 999.9999999, 123456.7, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "dist double")
+    both = rounded(df.select("dist", F.round("dist", 6).alias("r"), F.format_string("%.6f", "dist").alias("f"), reports.six_decimals("dist").alias("s")))
+    assert both.where("not (dist <=> r) or cast(dist as string) <> cast(r as string) or f <> s").collect() == []
+    plan = rounded(df)._jdf.queryExecution().executedPlan().toString()
+    assert "rint" in plan.lower()
+    assert rounded(spark.range(3), "id").schema["id"].dataType.simpleString() == "bigint"
