@@ -218,3 +218,46 @@ def test_six_decimals_and_rounding_are_those_of_the_formatter(spark):
     plan = rounded(df)._jdf.queryExecution().executedPlan().toString()
     assert "rint" in plan.lower()
     assert rounded(spark.range(3), "id").schema["id"].dataType.simpleString() == "bigint"
+
+
+def _tile_of_pairs(matrix, method, **more):
+    """What one tile of all rows sends, from rows in no order."""
+    import pyarrow as pa
+
+    spec = dict(id="id", order="id", method=method, theta=0.1, scale="none", common_format=False, sketch_size=None, length_tail=False, include_self=False, lineage=False,
+                low=None, high=None, only=None, drop_incomparable=False, weighted=False, within=None, oriented=True, rectangle=False, carry_order=False, names=["id_a", "id_b", "dist"], **more)
+    ids = np.random.default_rng(3).permutation(len(matrix))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(matrix[ids])), pa.array(np.full(len(ids), 2))], names=["id", "sig", "_side"])
+    return pa.Table.from_batches(list(pairs._emit_pairs(spec)(iter([rows]))))
+
+
+@pytest.mark.parametrize("method, most", [("exceed", 1.1), ("spearman", 2.3), ("pearson", 7.0)])
+def test_pairs_are_written_small(method, most):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    m = np.random.default_rng(9).normal(size=(1_400, 64)) / 8
+    found = _tile_of_pairs(m, method)
+    a, b, dist = (found[c].to_numpy() for c in found.column_names)
+    assert (a < b).all() and len(set(zip(a.tolist(), b.tolist()))) == len(a) == 1_400 * 1_399 // 2
+    if method == "pearson":
+        assert dist == pytest.approx((1 - np.corrcoef(m)[a, b]) / 2, abs=1e-9)
+    sink = pa.BufferOutputStream()
+    with pq.ParquetWriter(sink, found.schema, compression="snappy") as out:
+        out.write_table(found.set_column(2, "dist", pa.array(np.rint(dist * 1e6) / 1e6)))
+    assert sink.getvalue().size / len(a) < most
+
+
+def test_a_tile_holds_few_pairs_to_lay_them_out(monkeypatch):
+    monkeypatch.setattr(pairs, "_BLOCK_PAIRS", 2_000)
+    monkeypatch.setattr(pairs, "_LAID_PAIRS", 10_000)
+    monkeypatch.setattr(pairs, "_BATCH_PAIRS", 3_000)
+    monkeypatch.setattr(pairs, "_FEW_VALUES", 10)
+    held, laid_out = [], pairs._laid_out
+    monkeypatch.setattr(pairs, "_laid_out", lambda dist: held.append(len(dist)) or laid_out(dist))
+    m = np.random.default_rng(4).integers(0, 60, (400, 3)).astype(float)
+    m[7] = np.nan
+    found = _tile_of_pairs(m, "manhattan")
+    assert max(held) < 12_000 and max(c.num_rows for c in found.to_batches()) <= 3_000
+    got = {(r["id_a"], r["id_b"]): r["dist"] for r in found.to_pylist()}
+    assert got == {(i, j): np.abs(m[i] - m[j]).sum() for i in range(400) for j in range(i + 1, 400) if 7 not in (i, j)}
