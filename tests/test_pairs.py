@@ -261,3 +261,28 @@ def test_a_tile_holds_few_pairs_to_lay_them_out(monkeypatch):
     assert max(held) < 12_000 and max(c.num_rows for c in found.to_batches()) <= 3_000
     got = {(r["id_a"], r["id_b"]): r["dist"] for r in found.to_pylist()}
     assert got == {(i, j): np.abs(m[i] - m[j]).sum() for i in range(400) for j in range(i + 1, 400) if 7 not in (i, j)}
+
+
+def test_sketches_are_indexed_once_for_all_blocks(monkeypatch):
+    from sigloom.functions import kernels
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 30)))[:12].astype(float) for _ in range(90)]
+    sets[4], sets[5] = sets[4][:0], sets[6]
+    top = lambda x: x[-1] if len(x) >= 12 else math.inf
+
+    def alike(x, y):
+        cut = min(top(x), top(y))
+        shared, every = len(set(x) & set(y)), (x <= cut).sum() + (y <= cut).sum()
+        return shared / (every - shared) if every else math.nan
+
+    want = np.array([[alike(x, y) for y in sets] for x in sets])
+    whole, keep = kernels.Sketches(sets), np.arange(90) % 3 > 0
+    np.testing.assert_array_equal(kernels.sketch_resemblance(whole, whole, 12), want)
+    np.testing.assert_array_equal(kernels.sketch_resemblance(sets, whole[keep], 12), want[:, keep])
+    np.testing.assert_array_equal(kernels.sketch_resemblance(whole[keep], whole[~keep], 12), want[np.ix_(keep, ~keep)])
+    sizes, indexed = [], kernels.Sketches.__init__
+    monkeypatch.setattr(kernels.Sketches, "__init__", lambda self, lists: indexed(self, lists) or sizes.append(len(self)))
+    monkeypatch.setattr(pairs, "_BLOCK_PAIRS", 900)
+    got = _tile_of_pairs(np.array(sets, dtype=object), "approxANI")
+    assert sizes.count(90) == 1 and len(got) == 90 * 89 // 2 - np.isnan(np.triu(want, 1)).sum()
