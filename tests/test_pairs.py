@@ -248,6 +248,13 @@ def test_pairs_are_written_small(method, most):
     assert sink.getvalue().size / len(a) < most
 
 
+def test_pairs_to_be_sorted_are_not_laid_out_first(monkeypatch):
+    monkeypatch.setattr(pairs, "_laid_out", lambda dist: 1 / 0)
+    m = np.random.default_rng(1).integers(0, 9, (50, 3)).astype(float)
+    got = {(r["id_a"], r["id_b"]): r["dist"] for r in _tile_of_pairs(m, "manhattan", laid_out=False).to_pylist()}
+    assert got == {(i, j): np.abs(m[i] - m[j]).sum() for i in range(50) for j in range(i + 1, 50)}
+
+
 def test_a_tile_holds_few_pairs_to_lay_them_out(monkeypatch):
     monkeypatch.setattr(pairs, "_BLOCK_PAIRS", 2_000)
     monkeypatch.setattr(pairs, "_LAID_PAIRS", 10_000)
