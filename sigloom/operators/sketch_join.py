@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sigloom.operators.dealing import dealt_join
-from sigloom.operators.pairs import _SIDE_A, _SIDE_B, _SIDE_BOTH, _rectangle, _spread, _triangle, rows_that_fit, slice_count
+from sigloom.operators.pairs import _SIDE_A, _SIDE_B, _SIDE_BOTH, _SLICE_BYTES, _rectangle, _spread, _triangle, slice_count
 from sigloom.operators.sketch import DEFAULT_K, DEFAULT_SIZE
 from sigloom.session import cut_lineage, is_written
 
@@ -31,6 +31,10 @@ SLICE = 1_000
 #: Meetings of two sketches in one hash that the index may always make.
 MEETINGS = 1 << 24
 _EMIT_PAIRS = 1 << 18  # pairs that a tile holds before it sends them
+_SLICE_ROWS = 32_768  # sketches of one slice of the grid
+_COMMON = 1 / 1024  # share of a tile's pairs that meet in a hash from which it gets a column of the matrices
+_MATRIX_BYTES = 64 << 20  # bytes of one such matrix
+_BLOCK_ROWS, _BLOCK_COLUMNS, _MET = 1_024, 4_096, 1 << 22  # sketches of a block of pairs, meetings looked at together
 _WHOLE = (1 << 63) - 1  # the top of a sketch that holds all hashes of its genome
 
 
@@ -93,6 +97,10 @@ def _meetings(refs, asked=None):
     return held(refs).join(held(asked).withColumnRenamed("n", "m"), "hash").agg(F.sum(n * F.col("m"))).first()[0] or 0
 
 
+def _rows_that_fit(widest):
+    return max(1, min(_SLICE_ROWS, _SLICE_BYTES // (8 * max(1, widest))))
+
+
 def _grid(refs, asked=None):
     """The tiles of a grid of the sketches, or None where the index makes fewer rows than the grid would ship hashes."""
     met = _meetings(refs, asked)
@@ -103,57 +111,108 @@ def _grid(refs, asked=None):
     refs = refs.where("id is not null")
     n, widest, hashes = refs.agg(*measure).first()
     if asked is None:
-        slices = slice_count(n, rows_that_fit(widest), parallelism)
+        slices = slice_count(n, _rows_that_fit(widest), parallelism)
         return None if met <= hashes * slices else _spread(_triangle(refs, "id", slices), slices * (slices + 1) // 2, parallelism)
     asked = asked.where("id is not null")
     m, wider, more = asked.agg(*measure).first()
-    r, q = (max(1, math.ceil(x / rows_that_fit(max(widest, wider)))) for x in (n, m))
+    r, q = (max(1, math.ceil(x / _rows_that_fit(max(widest, wider)))) for x in (n, m))
     r = max(r, min(2 * parallelism, n // 128))
     return None if met <= hashes * q + more * r else _spread(_rectangle(refs, asked, "id", r, q), r * q, parallelism)
 
 
 class _Sketches:
-    """One side of a tile: sketches as one array of hashes, and an index of them."""
+    """One side of a tile, the shortest sketches first: all hashes as one array, by sketch."""
 
     def __init__(self, table, least, size):
-        self.ids = table.column("id").combine_chunks()
         sigs = table.column("sig").combine_chunks()
-        self.lengths = sigs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.hashes = sigs.flatten().to_numpy(zero_copy_only=False)
+        lengths = sigs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(lengths, kind="stable")
+        self.ids = table.column("id").combine_chunks().take(pa.array(order))
+        self.lengths = lengths[order]
         self.stops = np.cumsum(self.lengths)
         self.starts = self.stops - self.lengths
+        shift = (np.cumsum(lengths) - lengths)[order] - self.starts
+        self.hashes = sigs.flatten().to_numpy(zero_copy_only=False)[np.repeat(shift, self.lengths) + np.arange(self.lengths.sum())]
+        self.rows = np.repeat(np.arange(len(order)), self.lengths)
         self.top = np.where(self.lengths >= size, self.hashes[self.stops - 1], _WHOLE)
         # the union holds all of the sketch that is covered whole, which is the fuller one
-        self.need = np.ceil(least * np.minimum(self.lengths, size) - 1e-9)
-
-    def index(self):
-        order = np.argsort(self.hashes, kind="stable")
-        words, first = np.unique(self.hashes[order], return_index=True)
-        return words, np.append(first, len(order)), np.repeat(np.arange(len(self.lengths)), self.lengths)[order]
+        self.need = np.maximum(np.ceil(least * np.minimum(self.lengths, size) - 1e-9), 1)
+        self.whole = int(np.searchsorted(self.lengths, size))  # sketches before this one hold all hashes of their genome
+        self.part = least / (1 + least) * self.lengths - 1e-4  # two of those are near if they share the sum of this
+        self.words = np.unique(self.hashes)
+        self.ranked = self.rows * len(self.words) + np.searchsorted(self.words, self.hashes)
 
     def up_to(self, rows, cut):
         """How many hashes of each row are at most ``cut``."""
-        return np.array([np.searchsorted(self.hashes[self.starts[r]:self.stops[r]], c, side="right") for r, c in zip(rows.tolist(), cut.tolist())], np.int64)
+        out = self.lengths[rows]
+        some = np.flatnonzero(cut < self.hashes[self.stops - 1][rows])
+        upto = np.searchsorted(self.words, cut[some], side="right")
+        out[some] = np.searchsorted(self.ranked, rows[some] * len(self.words) + upto) - self.starts[rows[some]]
+        return out
+
+    def columns(self, place):
+        """The sketches as rows of a matrix: ``place`` tells the column of each hash, -1 where it has none."""
+        out = np.zeros((len(self.lengths), int(place.max(initial=-1)) + 1), np.float32)
+        np.add.at(out, (self.rows[place >= 0], place[place >= 0]), 1)
+        return out
 
 
 def _shared(left, right, same):
-    """``i, j, shared`` of the pairs with enough common hashes, one left row at a time, at the cost of a look at each meeting."""
-    words, first, owners = right.index()
+    """``i, j, shared`` of the pairs with enough common hashes, a block of pairs at a time.
+
+    Hashes that many sketches hold on both sides are counted by a product of matrices, at a fixed cost per pair; the others at the cost of a look at each meeting.
+    """
+    words = np.intersect1d(left.words, right.words, assume_unique=True)
+    if not len(words):
+        return
     n = len(right.lengths)
-    for i in range(len(left.lengths)):
-        mine = left.hashes[left.starts[i]:left.stops[i]]
-        at = np.searchsorted(words, mine)
-        at = at[at < len(words)]
-        at = at[words[at] == mine[:len(at)]]  # ascending, so what lies behind the last word is at the end
-        if not len(at):
-            continue
-        shared = np.bincount(np.concatenate([owners[a:b] for a, b in zip(first[at].tolist(), first[at + 1].tolist())]), minlength=n)
-        keep = shared >= np.maximum(np.maximum(right.need, left.need[i]), 1)
-        if same:
-            keep[:i + 1] = False
-        j = np.flatnonzero(keep)
-        if len(j):
-            yield np.full(len(j), i), j, shared[j]
+    mine, theirs = (np.searchsorted(words, x.hashes) for x in (left, right))
+    mine, theirs = (np.where(words[np.minimum(c, len(words) - 1)] == x.hashes, c, -1) for c, x in ((mine, left), (theirs, right)))
+    met = np.prod([np.bincount(c[c >= 0], minlength=len(words)).astype(float) for c in (mine, theirs)], axis=0)
+    common = np.flatnonzero(met > _COMMON * len(left.lengths) * n)
+    room = max(1, _MATRIX_BYTES // (4 * max(len(left.lengths), n)))
+    common = common[np.argsort(-met[common], kind="stable")[:room]]
+    place = np.full(len(words) + 1, -1)  # the last one is that of a hash of one side only
+    place[common] = np.arange(len(common))
+    a, b = left.columns(place[mine])[:, :len(common)], right.columns(place[theirs])[:, :len(common)]
+    rare = lambda codes: np.flatnonzero((codes >= 0) & (place[codes] < 0))
+    at, postings = rare(mine), rare(theirs)
+    at_row, at_word = left.rows[at], mine[at]
+    postings = np.sort(theirs[postings] * n + right.rows[postings])
+    for c in range(0, n, _BLOCK_COLUMNS):
+        d = min(n, c + _BLOCK_COLUMNS)
+        first, last = (np.searchsorted(postings, np.arange(len(words)) * n + x) for x in (c, d))
+        for r in range(0, len(left.lengths), _BLOCK_ROWS):
+            s = min(len(left.lengths), r + _BLOCK_ROWS)
+            if same and r >= d or right.lengths[d - 1] < left.need[r] or left.lengths[s - 1] < right.need[c]:
+                continue  # no sketch of these is long enough for one of the others
+            shared = a[r:s] @ b[c:d].T
+            some = slice(*np.searchsorted(at_row, (r, s)))
+            _look(shared, at_row[some] - r, first[at_word[some]], last[at_word[some]], postings, n, c)
+            if s <= left.whole and d <= right.whole:
+                keep = shared >= np.maximum(left.part[r:s, None].astype(np.float32) + right.part[None, c:d].astype(np.float32), np.float32(1))
+            else:
+                keep = shared >= np.maximum(left.need[r:s, None].astype(np.float32), right.need[None, c:d].astype(np.float32))
+            if same:
+                keep &= np.arange(r, s)[:, None] < np.arange(c, d)[None, :]
+            i, j = np.nonzero(keep)
+            if len(i):
+                yield i + r, j + c, shared[i, j].astype(np.int64)
+
+
+def _look(shared, rows, first, last, postings, n, c):
+    """Count every meeting of ``rows`` with the postings between ``first`` and ``last``, a bounded number at once."""
+    many = last - first
+    rows, first, many = (x[many > 0] for x in (rows, first, many))
+    done, upto = 0, np.cumsum(many)
+    while done < len(rows):
+        stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + _MET, side="right")))
+        held = many[done:stop]
+        before = np.cumsum(held) - held
+        met = postings[np.repeat(first[done:stop] - before, held) + np.arange(held.sum())] % n - c
+        flat = np.repeat(rows[done:stop] * shared.shape[1], held) + met
+        np.add.at(shared.reshape(-1), flat, np.float32(1))
+        done = stop
 
 
 def _emit_close(least, size, oriented, names):

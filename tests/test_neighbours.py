@@ -1,6 +1,7 @@
 """Close pairs through an index of hashes, and joins on hot keys."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,49 @@ def test_a_plan_with_a_limit_uses_the_index(spark):
         def rounded(df):
             return sorted(str(r) for r in df.withColumn("dist", F.round("dist", 9)).collect())
         assert rounded(got) == rounded(want)
+
+
+def _tile(n, seed, side=None, size=SIZE):
+    """Sketches of few words of uneven frequency as one side of a tile."""
+    rng = np.random.default_rng(seed)
+    share = 1 / (1 + np.arange(400)) ** 0.7
+    sigs = [np.sort(rng.choice(400, rng.integers(1, size + 1), replace=False, p=share / share.sum())).tolist() for _ in range(n)]
+    side = 2 if side is None else side
+    return pa.table({"id": pa.array(np.arange(n) + 1_000 * side), "sig": pa.array(sigs, pa.list_(pa.int64())), "_side": pa.array([side] * n)})
+
+
+@pytest.mark.parametrize("common", [1e-9, 1 / 64, 2.0])
+def test_a_tile_counts_by_matrices_and_by_meetings_alike(monkeypatch, common):
+    monkeypatch.setattr(sketch_join, "_COMMON", common)
+    for name, value in (("_BLOCK_ROWS", 7), ("_BLOCK_COLUMNS", 11), ("_MET", 13), ("_EMIT_PAIRS", 50)):
+        monkeypatch.setattr(sketch_join, name, value)
+    least, names = 0.2, ["id_a", "id_b", "shared", "every"]
+    for table in (_tile(60, 1), pa.concat_tables([_tile(40, 2, 0), _tile(50, 3, 1)])):
+        rows = list(zip(table["id"].to_pylist(), table["_side"].to_pylist(), table["sig"].to_pylist()))
+        want = set()
+        for x, (a, side_a, sig_a) in enumerate(rows):
+            for b, side_b, sig_b in rows[x + 1:]:
+                if side_a == side_b != 2:
+                    continue
+                cut = min([s[-1] for s in (sig_a, sig_b) if len(s) >= SIZE], default=1 << 62)
+                shared = len(set(sig_a) & set(sig_b))
+                every = sum(h <= cut for h in sig_a) + sum(h <= cut for h in sig_b) - shared
+                if shared and shared >= least * every:
+                    want.add((min(a, b), max(a, b), shared, every))
+        batches = sketch_join._emit_close(least, SIZE, True, names)(iter(table.combine_chunks().to_batches()))
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        assert len(found) == len(set(found)) and set(found) == want and want
+
+
+def test_common_hashes_get_columns():
+    """Most meetings of a tile lie in few hashes; they are not looked at one by one."""
+    looked = []
+    side = sketch_join._Sketches(_tile(300, 4), 0.2, SIZE)
+    original = sketch_join._look
+    sketch_join._look = lambda *args: (looked.append(int((args[3] - args[2]).sum())), original(*args))
+    try:
+        list(sketch_join._shared(side, side, True))
+    finally:
+        sketch_join._look = original
+    counts = np.bincount(side.hashes)
+    assert sum(looked) < (counts.astype(float) ** 2).sum() / 10
