@@ -1,10 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.functions import vectors as V
+from sigloom.functions import kernels, vectors as V
 from sigloom.model import RELATION_LABELS
 from sigloom.operators import pairs, profiles, reports, taxonomy as T
 from sigloom.operators.pairs import PairJob, slice_count
@@ -293,3 +294,46 @@ def test_sketches_are_indexed_once_for_all_blocks(monkeypatch):
     monkeypatch.setattr(pairs, "_BLOCK_PAIRS", 900)
     got = _tile_of_pairs(np.array(sets, dtype=object), "approxANI")
     assert sizes.count(90) == 1 and len(got) == 90 * 89 // 2 - np.isnan(np.triu(want, 1)).sum()
+
+
+def test_small_whole_numbers_are_summed_as_integers(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(9, (90, 50)).astype(float) - 4
+    cases = [(kernels.manhattan, {}), (kernels.euclid_sq, {"scale": "inverse_dims"}), (kernels.hamming, {}), (kernels.element_hamming, {"scale": "mean"}),
+             (kernels.saturated_manhattan, {"theta": 3.0}), (kernels.manhattan, {"scale": "mean"})]
+    wide = counts * 900  # sums of squares need more than 32 bits
+    tiny, huge = counts.copy(), counts.copy()
+    tiny[0, 0], huge[0, 0] = 1e-20, 1e18
+    gaps = counts.copy()
+    gaps[3, 3], gaps[4, 4] = np.nan, np.inf
+    for rows, whole in ((counts, True), (wide, None), (counts + 0.5, False), (tiny, False), (huge, False), (gaps, False)):
+        for method, extra in cases:
+            used = []
+            with monkeypatch.context() as m, np.errstate(invalid="ignore"):
+                plain = kernels._accumulate_whole
+                m.setattr(kernels, "_accumulate_whole", lambda *args: (used.append(1), plain(*args))[1])
+                found = method(rows[:40], rows[40:], **extra)
+                m.setattr(kernels, "_whole_numbers", lambda *args: None)
+                np.testing.assert_array_equal(found, method(rows[:40], rows[40:], **extra))
+            assert whole is None or bool(used) == whole
+
+
+def test_a_histogram_makes_no_index_of_its_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.poisson(6, 12)], None if i == 4 else ["World", f"p{i % 2}", None if i % 7 == 0 else f"c{i % 3}"], 1 / (1 + i % 4)) for i in range(50)]
+    table = pa.table({"id": pa.array([r[0] for r in rows]), "sig": pa.array([r[1] for r in rows]), "lineage": pa.array([r[2] for r in rows]), "weight": pa.array([r[3] for r in rows]),
+                      "_side": pa.array([pairs._SIDE_BOTH] * len(rows))})
+    job = PairJob(spark.createDataFrame(rows, "id long, sig array<double>, lineage array<string>, weight double"), "manhattan")
+    spec = {**job.spec, "weighted": True, "round_bins": False, "bin_width": 0.7, "names": ["bin", "relation", "weight"]}
+    want = {}
+    left = pairs._Rows(table, spec)
+    for i, j, relation, dist in pairs._compare(left, left, True, spec):
+        for a, b, r, d in zip(i, j, relation, dist):
+            key = (int(d // 0.7), int(r))
+            want[key] = want.get(key, 0) + rows[a][3] * rows[b][3]
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(pairs, "_FEW_KEYS", few)
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "_compare", None)
+            found = {(x["bin"], x["relation"]): x["weight"] for batch in pairs._emit_histogram(spec)(iter(table.to_batches())) for x in batch.to_pylist()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
