@@ -43,6 +43,8 @@ class Metric:
     each: Callable
     total: Callable
     saturated: bool = False
+    theta: float = 0.0
+    squared: bool = False
 
     def between(self, a, b):
         """Distances of all rows of ``a`` to all rows of ``b``."""
@@ -62,6 +64,78 @@ class Metric:
             summed = [_accumulate(a, b[at:at + _COLUMNS], self.each) for at in range(0, len(b), _COLUMNS)]
         return self.total(np.concatenate(summed, axis=1), a.shape[1])
 
+    def bound(self, a, b, limit):
+        """A function that tells for a slice of the rows of ``a`` which of them can be within ``limit`` of which rows of ``b``; None where only the distance itself tells."""
+        if self.theta > 0:
+            return _bound_by_steps(a, b, limit, self.theta)
+        return _bound_by_products(a, b, limit) if self.squared else None
+
+
+def _bound_by_products(a, b, limit):
+    """Squared differences as one product of matrices, with room for its rounding."""
+    eps, width = np.finfo(float).eps, a.shape[1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = b.mean(axis=0)
+        moved = 8 * math.sqrt(width) * eps * max(np.abs(m).max(initial=0.0) for m in (a, b))
+        a, b = a - middle, b - middle
+        long_a, long_b = (np.square(m).sum(axis=1) for m in (a, b))
+        room = (limit + moved) ** 2 + 64 * (width + 8) * eps * (long_a.max(initial=0.0) + long_b.max(initial=0.0))
+    if not np.isfinite(room):
+        return None
+    left = np.column_stack((-2 * a, long_a, np.ones(len(a))))
+    right = np.column_stack((b, np.ones(len(b)), long_b)).T
+    return lambda rows: np.concatenate([left[rows] @ right[:, at:at + _COLUMNS] <= room for at in range(0, len(b), _COLUMNS)], axis=1)
+
+
+_STEPS = 25  # steps of a cap
+_STEP_ROWS, _STEP_COLUMNS = 64, 4_096
+
+
+def _bound_by_steps(a, b, limit, theta):
+    """Capped differences in steps of one byte; their mean is at most the limit, and at most the root mean square.
+
+    Numbers are taken modulo 256 steps, which can only bring them nearer.  What rounding to steps moves a row is added up for the row: the sum of the
+    differences is not smaller than that of the steps less what both rows were moved.
+    """
+    width = a.shape[1]
+    if not width or width * _STEPS > 60_000:
+        return None
+    sides = []
+    for m in (a, b):
+        with np.errstate(over="ignore"):
+            scaled = m / (theta / _STEPS)
+        if not (np.abs(scaled) < 1e9).all():
+            return None
+        whole = np.rint(scaled)
+        sides.append((np.mod(whole, 256).astype(np.uint8), np.ceil(np.abs(whole - scaled).sum(axis=1)) + 1))
+    (low, off_a), (high, off_b) = sides
+    room_a = np.clip(np.floor(limit * width * _STEPS * (1 + 1e-9)) + off_a, 0, 62_000).astype(np.uint16)
+    room_b = off_b.astype(np.uint16)
+    columns = np.ascontiguousarray(high.T)
+    flush = 255 // _STEPS
+
+    def near(rows):
+        mine, room = low[rows], room_a[rows]
+        out = np.empty((len(mine), len(high)), bool)
+        for c in range(0, len(high), _STEP_COLUMNS):
+            some = columns[:, c:c + _STEP_COLUMNS]
+            for r in range(0, len(mine), _STEP_ROWS):
+                part = mine[r:r + _STEP_ROWS]
+                apart = np.empty((len(part), some.shape[1]), np.uint8)
+                signed, held, caps = apart.view(np.int8), np.zeros_like(apart), np.full_like(apart, _STEPS)
+                total = np.zeros(apart.shape, np.uint16)
+                for j in range(width):
+                    np.subtract(part[:, j, None], some[j], out=apart)
+                    np.abs(signed, out=signed)
+                    np.minimum(apart, caps, out=apart)
+                    np.add(held, apart, out=held)
+                    if j % flush == flush - 1 or j == width - 1:
+                        np.add(total, held, out=total)
+                        held[:] = 0
+                out[r:r + _STEP_ROWS, c:c + _STEP_COLUMNS] = total <= room[r:r + _STEP_ROWS, None] + room_b[None, c:c + _STEP_COLUMNS]
+        return out
+    return near
+
 
 def metric_of(method, theta=None, scale="none") -> Metric | None:
     """The metric of a method, or None where the triangle inequality does not hold.  ``euclid`` is squared in the library; here it is its root."""
@@ -72,11 +146,11 @@ def metric_of(method, theta=None, scale="none") -> Metric | None:
     if name == "hamming" or name == "PaSiT" and theta == 0:
         return Metric(lambda d: d > 0, lambda s, n: s / n)
     if name == "PaSiT":
-        return Metric(lambda d: np.minimum(d, theta, out=d), lambda s, n: s / (n * theta), True)
+        return Metric(lambda d: np.minimum(d, theta, out=d), lambda s, n: s / (n * theta), True, theta)
     if name == "sateucl":
-        return Metric(lambda d: np.square(np.minimum(d, theta, out=d), out=d), lambda s, n: np.sqrt(s / (n * theta * theta)), True)
+        return Metric(lambda d: np.square(np.minimum(d, theta, out=d), out=d), lambda s, n: np.sqrt(s / (n * theta * theta)), True, theta, True)
     if name == "euclid" and scale == "none":
-        return Metric(lambda d: np.square(d, out=d), lambda s, n: np.sqrt(s))
+        return Metric(lambda d: np.square(d, out=d), lambda s, n: np.sqrt(s), squared=True)
     return None
 
 
@@ -208,14 +282,25 @@ class _Side:
 def _candidates(left, right, same, metric, limit, between):
     """Index pairs that no lower bound rules out, a block of left rows at a time."""
     reach = limit * (1 + 1e-9) + 1e-12
+    ranged, guests, following = (x.any() or y.any() for x, y in ((left.away, right.away), (left.guest, right.guest), (left.next, right.next)))
+    bound = metric.bound(left.matrix, right.matrix, reach) if len(left.away) * len(right.away) > _BLOCK else None
     for at in range(0, len(left.away), _BLOCK):
         rows = slice(at, at + _BLOCK)
-        open_ = np.abs(left.away[rows, None] - right.away[None, :]) <= reach
-        open_ &= ~(left.next[rows, None] & right.next[None, :])
-        open_ &= (left.guest[rows, None] != right.guest[None, :]) if between else ~(left.guest[rows, None] & right.guest[None, :])
+        open_ = np.ones((len(left.away[rows]), len(right.away)), bool)
+        if ranged:
+            open_ &= np.abs(left.away[rows, None] - right.away[None, :]) <= reach
+        if following:
+            open_ &= ~(left.next[rows, None] & right.next[None, :])
+        if between:
+            open_ &= left.guest[rows, None] != right.guest[None, :]
+        elif guests:
+            open_ &= ~(left.guest[rows, None] & right.guest[None, :])
         if same:
             open_ &= np.arange(at, at + open_.shape[0])[:, None] < np.arange(len(right.away))[None, :]
-        for k in range(left.probes.shape[1]):
+        quick = bound is not None and open_.mean() > _DENSE
+        if quick:
+            open_ &= bound(rows)
+        for k in range(0 if quick else left.probes.shape[1]):
             if not open_.any():
                 break
             open_ &= np.abs(left.probes[rows, k, None] - right.probes[None, :, k]) <= reach

@@ -107,3 +107,45 @@ def test_rows_that_would_visit_every_cell_form_a_grid(spark, monkeypatch):
     asked = sigs.where("id % 50 = 0").withColumn("id", F.col("id") + n)
     between = {(i, j + n): round(float(far[i, j]), 8) for i, j in zip(*np.nonzero(far <= limit)) if j % 50 == 0}
     assert _found(metric_join.within(sigs, "euclid", limit, queries=asked)) == between
+
+
+@pytest.mark.parametrize("method, theta", [("euclid", None), ("satman", 0.1), ("sateucl", 0.1)])
+def test_bounds_rule_out_most_pairs_and_none_within_the_limit(method, theta):
+    rng = np.random.default_rng(8)
+    metric = metric_join.metric_of(method, theta=theta)
+    plain = rng.normal(scale=0.125, size=(200, 40))
+    near = np.concatenate([plain[:50] + rng.normal(scale=0.03, size=(50, 40)), plain])
+    for a, b in ((plain, near), (plain * 300, near * 300), (plain + 1e6, near + 1e6), (np.rint(plain * 8) / 10, np.rint(near * 8) / 10), (plain * 0, near * 0)):
+        dist = metric.between(a, b)
+        for limit in np.quantile(dist, [0.0, 0.01, 0.3]).tolist() + [0.6]:
+            can = metric.bound(a, b, limit * (1 + 1e-9) + 1e-12)(slice(20, 170))
+            assert can.shape == (150, 250) and can[dist[20:170] <= limit].all()
+    far = metric.between(plain, near)
+    can = metric.bound(plain, near, np.quantile(far, 0.01))(slice(None))
+    assert can.mean() < 0.4
+
+
+def test_bounds_leave_odd_values_to_the_distance():
+    rows = np.random.default_rng(9).normal(size=(20, 6))
+    rows[3, 3] = np.inf
+    assert metric_join.metric_of("satman", theta=0.1).bound(rows, rows, 0.5) is None
+    rows[3, 3] = 1e200
+    assert all(metric_join.metric_of(m, theta=0.1).bound(rows, rows, 0.5) is None for m in ("satman", "sateucl", "euclid"))
+    assert metric_join.metric_of("manhattan").bound(rows, rows, 0.5) is None
+
+
+@pytest.mark.parametrize("method, theta, limit", [("euclid", None, 1.0), ("satman", 0.1, 0.7)])
+def test_a_grid_does_not_compare_what_bounds_rule_out(spark, monkeypatch, method, theta, limit):
+    rng = np.random.default_rng(10)
+    rows = rng.normal(scale=0.125, size=(300, 64))
+    rows[150:200] = rows[:50] + rng.normal(scale=0.05, size=(50, 64))
+    sigs = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], _SIGS)
+    metric = metric_join.metric_of(method, theta=theta)
+    dist = metric.between(rows, rows)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if dist[i, j] <= limit}
+    found = metric_join.within(sigs, method, limit, theta=theta).collect()
+    assert len(found) == len(want) and {(r["id_a"], r["id_b"]) for r in found} == want and want
+    monkeypatch.setattr(metric_join.Metric, "block", None)
+    side = type("Side", (), {"away": np.zeros(300), "guest": np.zeros(300, bool), "next": np.zeros(300, bool), "matrix": rows, "probes": metric.between(rows, rows[:3])})
+    looked = {(int(i), int(j)) for a, b in metric_join._candidates(side, side, True, metric, limit, False) for i, j in zip(a, b)}
+    assert want <= looked and len(looked) < 0.3 * 300 * 299 / 2
