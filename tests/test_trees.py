@@ -285,3 +285,37 @@ def test_ward_rounds_leave_no_distances_behind(spark, monkeypatch):
     assert merges.count() == 39
     distances = [t for t in written if t.columns == ["a", "b", "d"]]
     assert len(distances) > 3 and sum(os.path.exists(t._sigloom_path.removeprefix("file:")) for t in distances) <= 1
+
+
+def test_ward_rounds_from_signatures_write_few_distances(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 5)) * 4
+    sigs = [[float(x) for x in centres[i % 12] + rng.normal(size=5)] for i in range(150)]
+    sigs[20], sigs[31], sigs[90] = sigs[19], sigs[30], sigs[30]  # copies
+    sigs[5], sigs[6], sigs[77], sigs[78] = None, [], [0.5, 1.0, 2.0], [0.25, 1.0, 2.5]  # leaves without a distance to the others
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sigs)], "id long, sig array<double>")
+    job, leaves = PairJob(frame, "manhattan", rows_per_tile=60, n_rows=150), spark.range(150)
+    want = {r["step"]: tuple(r) for r in cluster.ward_linkage(job.pairs(), leaves).collect()}
+    written = []
+    monkeypatch.setattr(cluster, "_TABLE_PAIRS", 500)
+    monkeypatch.setattr(cluster, "_TILE_LEAVES", 20)
+    monkeypatch.setattr(cluster, "slice_count", lambda *_: 3)
+    over = cluster._over_clusters
+    monkeypatch.setattr(cluster, "_over_clusters", lambda members, method, nearest: (written.append(None if nearest else over(members, method, nearest).count()), over(members, method, nearest))[1])
+    found = {r["step"]: tuple(r) for r in cluster.ward_linkage(job, leaves).collect()}
+    assert len(written) > 2 and written[-1] <= 500
+    assert found.keys() == want.keys() and len(found) == 146
+    for step, (_, left, right, height, size) in want.items():
+        assert found[step][1:3] == (left, right) and found[step][4] == size and abs(found[step][3] - height) <= 1e-9 * max(1, height)
+    monkeypatch.setattr(cluster, "_LARGE_CLUSTER", 1)  # then the distances of the second round are written
+    assert {s: x[1:3] for s, x in ((r["step"], tuple(r)) for r in cluster.ward_linkage(job, leaves).collect())} == {s: x[1:3] for s, x in want.items()}
+    assert written[-1] > 500
+
+
+def test_only_plain_comparisons_go_without_a_table(spark):
+    frame = spark.createDataFrame([(i, [float(i * i), 1.0]) for i in range(6)], "id long, sig array<double>")
+    assert PairJob(frame, "manhattan").plain_method() == "manhattan"
+    assert PairJob(frame, "manhattan", high=9.0).plain_method() is None and PairJob(frame, "PaSiT", theta=0.5).plain_method() is None
+    leaves = spark.range(6)
+    for job in (PairJob(frame, "manhattan"), PairJob(frame, "manhattan", high=9.0)):
+        assert sorted(map(tuple, cluster.ward_linkage(job, leaves).collect())) == sorted(map(tuple, cluster.ward_linkage(job.pairs(), leaves).collect()))
