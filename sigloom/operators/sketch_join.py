@@ -31,10 +31,10 @@ SLICE = 1_000
 #: Meetings of two sketches in one hash that the index may always make.
 MEETINGS = 1 << 24
 _EMIT_PAIRS = 1 << 18  # pairs that a tile holds before it sends them
-_SLICE_ROWS = 32_768  # sketches of one slice of the grid
+_SLICE_ROWS = 24_576  # sketches of one slice of the grid
 _COMMON = 1 / 1024  # share of a tile's pairs that meet in a hash from which it gets a column of the matrices
-_MATRIX_BYTES = 64 << 20  # bytes of one such matrix
-_BLOCK_ROWS, _BLOCK_COLUMNS, _MET = 1_024, 4_096, 1 << 22  # sketches of a block of pairs, meetings looked at together
+_MATRIX_BYTES = 16 << 20  # bytes of one such matrix
+_BLOCK_ROWS, _BLOCK_COLUMNS, _MET = 1_024, 4_096, 1 << 19  # sketches of a block of pairs, meetings looked at together
 _WHOLE = (1 << 63) - 1  # the top of a sketch that holds all hashes of its genome
 
 
@@ -133,60 +133,70 @@ class _Sketches:
         self.starts = self.stops - self.lengths
         shift = (np.cumsum(lengths) - lengths)[order] - self.starts
         self.hashes = sigs.flatten().to_numpy(zero_copy_only=False)[np.repeat(shift, self.lengths) + np.arange(self.lengths.sum())]
-        self.rows = np.repeat(np.arange(len(order)), self.lengths)
+        self.rows = np.repeat(np.arange(len(order), dtype=np.int32), self.lengths)
         self.top = np.where(self.lengths >= size, self.hashes[self.stops - 1], _WHOLE)
         # the union holds all of the sketch that is covered whole, which is the fuller one
         self.need = np.maximum(np.ceil(least * np.minimum(self.lengths, size) - 1e-9), 1)
         self.whole = int(np.searchsorted(self.lengths, size))  # sketches before this one hold all hashes of their genome
         self.part = least / (1 + least) * self.lengths - 1e-4  # two of those are near if they share the sum of this
-        self.words = np.unique(self.hashes)
-        self.ranked = self.rows * len(self.words) + np.searchsorted(self.words, self.hashes)
 
     def up_to(self, rows, cut):
         """How many hashes of each row are at most ``cut``."""
         out = self.lengths[rows]
         some = np.flatnonzero(cut < self.hashes[self.stops - 1][rows])
-        upto = np.searchsorted(self.words, cut[some], side="right")
-        out[some] = np.searchsorted(self.ranked, rows[some] * len(self.words) + upto) - self.starts[rows[some]]
+        low, high, cut = self.starts[rows[some]], self.stops[rows[some]], cut[some]
+        for _ in range(int(self.lengths.max()).bit_length()):
+            middle = np.minimum((low + high) // 2, len(self.hashes) - 1)
+            beyond = (low < high) & (self.hashes[middle] <= cut)
+            low, high = np.where(beyond, middle + 1, low), np.where(beyond, high, middle)
+        out[some] = low - self.starts[rows[some]]
         return out
 
     def columns(self, place):
         """The sketches as rows of a matrix: ``place`` tells the column of each hash, -1 where it has none."""
-        out = np.zeros((len(self.lengths), int(place.max(initial=-1)) + 1), np.float32)
-        np.add.at(out, (self.rows[place >= 0], place[place >= 0]), 1)
+        out = np.zeros((len(self.lengths), int(place.max(initial=-1)) + 1), np.uint8)
+        held = np.flatnonzero(place >= 0)
+        np.add.at(out, (self.rows[held], place[held]), 1)
         return out
 
 
+def _places(words, hashes):
+    """Where each hash is among the ascending ``words``, -1 if it is not."""
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1).astype(np.int32)
+    return np.where(words[at] == hashes, at, np.int32(-1))
+
+
 def _shared(left, right, same):
     """``i, j, shared`` of the pairs with enough common hashes, a block of pairs at a time.
 
     Hashes that many sketches hold on both sides are counted by a product of matrices, at a fixed cost per pair; the others at the cost of a look at each meeting.
     """
-    words = np.intersect1d(left.words, right.words, assume_unique=True)
+    words = np.intersect1d(np.unique(left.hashes), np.unique(right.hashes), assume_unique=True)
     if not len(words):
         return
     n = len(right.lengths)
-    mine, theirs = (np.searchsorted(words, x.hashes) for x in (left, right))
-    mine, theirs = (np.where(words[np.minimum(c, len(words) - 1)] == x.hashes, c, -1) for c, x in ((mine, left), (theirs, right)))
+    mine, theirs = (_places(words, x.hashes) for x in (left, right))
     met = np.prod([np.bincount(c[c >= 0], minlength=len(words)).astype(float) for c in (mine, theirs)], axis=0)
     common = np.flatnonzero(met > _COMMON * len(left.lengths) * n)
-    room = max(1, _MATRIX_BYTES // (4 * max(len(left.lengths), n)))
+    room = max(1, _MATRIX_BYTES // max(len(left.lengths), n))
     common = common[np.argsort(-met[common], kind="stable")[:room]]
-    place = np.full(len(words) + 1, -1)  # the last one is that of a hash of one side only
+    place = np.full(len(words) + 1, -1, np.int32)  # the last one is that of a hash of one side only
     place[common] = np.arange(len(common))
     a, b = left.columns(place[mine])[:, :len(common)], right.columns(place[theirs])[:, :len(common)]
     rare = lambda codes: np.flatnonzero((codes >= 0) & (place[codes] < 0))
     at, postings = rare(mine), rare(theirs)
     at_row, at_word = left.rows[at], mine[at]
-    postings = np.sort(theirs[postings] * n + right.rows[postings])
+    postings = np.sort(theirs[postings].astype(np.int64) * n + right.rows[postings])
+    del mine, theirs, at
     for c in range(0, n, _BLOCK_COLUMNS):
         d = min(n, c + _BLOCK_COLUMNS)
+        others = b[c:d].astype(np.float32).T
         first, last = (np.searchsorted(postings, np.arange(len(words)) * n + x) for x in (c, d))
         for r in range(0, len(left.lengths), _BLOCK_ROWS):
             s = min(len(left.lengths), r + _BLOCK_ROWS)
             if same and r >= d or right.lengths[d - 1] < left.need[r] or left.lengths[s - 1] < right.need[c]:
                 continue  # no sketch of these is long enough for one of the others
-            shared = a[r:s] @ b[c:d].T
+            shared = a[r:s].astype(np.float32) @ others
             some = slice(*np.searchsorted(at_row, (r, s)))
             _look(shared, at_row[some] - r, first[at_word[some]], last[at_word[some]], postings, n, c)
             if s <= left.whole and d <= right.whole:
@@ -231,11 +241,11 @@ def _emit_close(least, size, oriented, names):
         table = pa.Table.from_batches(list(batches))
         side = table.column("_side").to_numpy()
         same = bool((side == _SIDE_BOTH).any())
-        left, right = (table, table) if same else (table.filter(pa.array(side == x)) for x in (_SIDE_A, _SIDE_B))
-        if not left.num_rows or not right.num_rows:
+        if not same and (side == side[0]).all():
             return
-        left = _Sketches(left, least, size)
-        right = left if same else _Sketches(right, least, size)
+        left = _Sketches(table if same else table.filter(pa.array(side == _SIDE_A)), least, size)
+        right = left if same else _Sketches(table.filter(pa.array(side == _SIDE_B)), least, size)
+        del table
         found, n = [], 0
         for some in _shared(left, right, same):
             found, n = [*found, some], n + len(some[0])
